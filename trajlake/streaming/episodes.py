@@ -53,7 +53,7 @@ class EpisodeFold(StatefulProcessor):
         """Keep the turns; returns the latest event time in ms."""
         latest = 0
         for frame in frames:
-            latest = max(latest, int(pd.Timestamp(frame["_time"].max()).timestamp() * 1000))
+            latest = max(latest, int(pd.Timestamp(frame["event_time"].max()).timestamp() * 1000))
             for row in frame.itertuples(index=False):
                 crash = row.crashed_type if isinstance(row.crashed_type, str) else ""
                 self.pending.updateValue((int(row.turn),), (
@@ -147,7 +147,7 @@ def stream_episodes(
     Turns beyond ``max_turns`` are dropped before the shuffle.
     """
     turns = outcomes.filter(F.col("turn") <= max_turns).select(
-        "trajectory_id", "turn", F.col(time).alias("_time"), *TURN_FIELDS).withWatermark("_time", delay)
+        "trajectory_id", "turn", F.col(time).alias("event_time"), *TURN_FIELDS).withWatermark("event_time", delay)
     return turns.groupBy("trajectory_id").transformWithStateInPandas(
         EpisodeFold(response_length, max_errors, max_turns, timeout_ms),
         outputStructType=OUTPUT, outputMode="append", timeMode="EventTime")
