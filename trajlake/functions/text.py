@@ -57,6 +57,10 @@ SYSTEM_TEMPLATE = "You are a helpful assistant that can interact with a computer
 INSTANCE_TEMPLATE = "{{task}}"
 TRANSIENT_MARKS = ("timeout", "i/o", "eof", "unknown blob", "connection")
 MISSING_MARKS = ("manifest unknown", "not found")
+# Characters that end a line, and all other white space.
+LINE_BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
+BLANKS = (" \t\x1f\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u202f\u205f\u3000")
 TOOL_CALL_OPEN = "<tool_call>"
 TOOL_CALL_CLOSE = "</tool_call>"
 
@@ -148,7 +152,13 @@ def strip_ansi(text: Column) -> Column:
 
 def strip_space(text: Column) -> Column:
     """Remove Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.btrim(text, F.lit(LINE_BREAKS + BLANKS))
+
+
+def plain_space(text: Column) -> Column:
+    """Every line break as a newline, every other white space as a blank."""
+    targets = "\n" * len(LINE_BREAKS) + " " * len(BLANKS)
+    return F.translate(text, LINE_BREAKS + BLANKS, targets)
 
 
 def failure_class(text: Column) -> Column:

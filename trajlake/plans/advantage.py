@@ -61,12 +61,12 @@ def grpo_reward_signal(spark, sf):
 
 @query("group_stats", """
 SELECT o_custkey AS instance_id, count(*) AS group_size,
-       round(avg(o_totalprice), 4) AS group_mean, round(stddev_pop(o_totalprice), 4) AS group_std,
+       round(avg(o_totalprice), 6) AS group_mean, round(stddev_pop(o_totalprice), 6) AS group_std,
        min(o_totalprice) = max(o_totalprice) AS uniform
 FROM orders GROUP BY 1""")
 def group_stats(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("instance_id"), "o_totalprice")
-    return rounded(adv.group_stats(orders, ["instance_id"], "o_totalprice"), 4)
+    return rounded(adv.group_stats(orders, ["instance_id"], "o_totalprice"))
 
 
 @query("large_group_advantage", """

@@ -105,7 +105,7 @@ def prefix_deltas(spark, sf):
 SELECT conv_id, turn,
        md5('system: You are a helpful assistant that can interact with a computer shell.' || chr(10)
            || 'user: <task>' || text || '</task>') AS digest,
-       CAST(length(text) + 90 AS BIGINT) AS n_chars
+       CAST(length(text) + 96 AS BIGINT) AS n_chars
 FROM conversations""")
 def chat_text(spark, sf):
     from trajlake.functions.text import chat_text as linear

@@ -113,7 +113,7 @@ def streamed_episodes(spark, sf):
     size, is_call = F.length("text"), F.col("role") == "assistant"
     turns = _stream(spark, sf, "conversations").select(
         F.col("conv_id").alias("trajectory_id"), (F.col("turn") + 1).alias("turn"),
-        F.timestamp_seconds(F.col("conv_id") * 3600 + F.col("turn")).alias("ts"),
+        F.timestamp_seconds(86400 + F.col("conv_id") * 3600 + F.col("turn")).alias("ts"),
         F.regexp_count("text", F.lit(r"\S+")).cast("long").alias("gen_tokens"), (size % 20).cast("long").alias("tool_tokens"),
         F.when(is_call, F.lit(2)).otherwise(F.lit(0)).cast("long").alias("n_calls"),
         F.when(is_call & (F.col("conv_id") % 2 == 0), F.lit(2)).otherwise(F.lit(0)).cast("long").alias("n_salvaged"),
