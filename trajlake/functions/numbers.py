@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text that reads as a decimal number: sign, digits, optional fraction and exponent.
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+# A character no decimal number holds. A cast alone would also take "1d", "0x1p3" or "Infinity".
+NOT_DECIMAL = r"[^0-9eE.+-]"
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
@@ -16,10 +16,16 @@ def safe_ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def finite_double(text: Column) -> Column:
-    """Text to double; null for anything that is not a finite number."""
-    value = F.when(F.trim(text).rlike(NUMBER), F.trim(text).try_cast("double"))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+def decimal_double(text: Column) -> Column:
+    """Text to double, null for anything but a decimal number. Too large a number is infinite;
+    ``finite`` tells."""
+    text = F.trim(text)
+    return F.when(~text.rlike(NOT_DECIMAL), text).try_cast("double")
+
+
+def finite(value: Column) -> Column:
+    """Neither null nor infinite."""
+    return F.abs(value) < F.lit(float("inf"))
 
 
 def generation_time(trajectory_s: Column, tool_s: Column) -> Column:

@@ -158,7 +158,9 @@ def strip_space(text: Column) -> Column:
 def plain_space(text: Column) -> Column:
     """Every line break as a newline, every other white space as a blank."""
     targets = "\n" * len(LINE_BREAKS) + " " * len(BLANKS)
-    return F.translate(text, LINE_BREAKS + BLANKS, targets)
+    plain = F.translate(text, LINE_BREAKS + BLANKS, targets)
+    # Most texts are printable ASCII with newlines, which one cheap scan tells.
+    return F.when(text.rlike(r"[^\n -~]"), plain).otherwise(text)
 
 
 def failure_class(text: Column) -> Column:

@@ -110,10 +110,18 @@ def arguments_command(arguments: Column) -> Column:
 
 
 def unescape_once(text: Column) -> Column:
-    """One left-to-right pass over the known escapes; an unknown escape stays as it is."""
-    table = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in ("\\" + pair[0], pair[1])])
-    parts = F.regexp_extract_all(text, F.lit(r"(?s)(\\.|[^\\]+|\\)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at(table, p), p)), "")
+    """One left-to-right pass over the known escapes; an unknown escape stays as it is.
+
+    Escaped backslashes are cut out first. What is left holds single backslashes only, so
+    the other escapes can be replaced one after the other without touching each other.
+    """
+    def plain(part: Column) -> Column:
+        for letter, char in ESCAPES.items():
+            if letter != "\\":
+                part = F.replace(part, F.lit("\\" + letter), F.lit(char))
+        return part
+
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
 
 
 def lenient_command(block: Column) -> Column:

@@ -70,19 +70,23 @@ def join_group_values(
         hot_values = (values.filter(F.col(weight) >= hot_rows)
                       .orderBy(F.desc(weight)).limit(hot_keys))
 
-    def renamed(side: DataFrame, tag: str) -> DataFrame:
-        return side.select(
-            *[F.col(c).alias(f"_{tag}_{c}") for c in keys + extra], F.lit(1).alias(f"_{tag}"))
+    hot_side = hot_values.select(*[F.col(c).alias(f"_h_{c}") for c in keys + extra], F.lit(1).alias("_h"))
 
     def on(tag: str) -> list[Column]:
         return [F.col(k).eqNullSafe(F.col(f"_{tag}_{k}")) for k in keys]
 
     spread = _spread_hash(rows, spread_by)
-    tagged = rows.join(F.broadcast(renamed(hot_values, "h")), on("h"), "left")
+    tagged = rows.join(F.broadcast(hot_side), on("h"), "left")
     # A row already served by the broadcast gets a spread value no cold key has: it
     # passes the shuffle join unmatched and evenly distributed.
     tagged = tagged.withColumn("_spread", F.when(F.col("_h").isNotNull(), spread).otherwise(F.lit(0)))
-    cold = renamed(values, "c").withColumn("_zero", F.lit(0).cast("long"))
+    # Zero for every key, but no literal: a literal would be folded into a filter and the
+    # spread value dropped from the hash.
+    # The weight's place in the list keeps the aggregation equal to the hot side's, for reuse.
+    zero = (F.col(weight) % 1 if weight else F.pmod(F.xxhash64(*keys), F.lit(1))).cast("long").alias("_zero")
+    cold = values.select(
+        *[F.col(k).alias(f"_c_{k}") for k in keys], zero,
+        *[F.col(c).alias(f"_c_{c}") for c in extra], F.lit(1).alias("_c"))
     joined = tagged.join(cold, [*on("c"), F.col("_spread") == F.col("_zero")], "left")
 
     found = F.col("_h").isNotNull() | F.col("_c").isNotNull()

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.functions.numbers import finite_double
+from trajlake.functions.numbers import decimal_double, finite
 from trajlake.functions.predicates import is_error_line, is_noise_line
 from trajlake.functions.text import failure_class, failure_tail, strip_ansi
 
@@ -27,9 +27,9 @@ def parse_step_lines(lines: DataFrame, keep: Sequence[str] = (), line: str = "va
     step = F.regexp_extract("_text", r"step:(\d+) - ", 1).cast("long")
     pairs = hits.select(*keep, step.alias("step"), F.explode(F.split(body, " - ")).alias("_pair"))
     name = F.regexp_extract("_pair", r"^\s*(.*):[^:]*$", 1)
-    value = finite_double(F.substring_index("_pair", ":", -1))
+    value = decimal_double(F.substring_index("_pair", ":", -1))
     return pairs.select(*keep, "step", name.alias("metric"), value.alias("value")).filter(
-        (F.col("metric") != "") & F.col("value").isNotNull())
+        (F.col("metric") != "") & finite(F.col("value")))
 
 
 def metric_matrix(long: DataFrame, steps: Sequence[int] | None = None) -> DataFrame:

@@ -37,26 +37,24 @@ episodes AS (
 def episodes(spark, sf) -> DataFrame:
     """Orders as episodes, their line items as turns."""
     li = table(spark, sf, "lineitem")
-    # Observations per line number first: an order then has few of them, however many rows.
-    per_turn = li.groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").cast("long").alias("_obs"))
-    obs = per_turn.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "_obs"))), lambda x: x["_obs"]
-                    ).alias("tool_obs_tokens"))
 
     def count_if(cond):
         return F.sum(cond.cast("long"))
 
-    folded = li.groupBy("l_orderkey").agg(
-        F.sum("l_quantity").cast("long").alias("completion_tokens"),
-        F.max("l_partkey").alias("prompt_tokens"), F.sum("l_suppkey").alias("cached_prompt_tokens"),
-        F.count("*").alias("num_turns"),
-        count_if(F.col("l_returnflag") == "R").alias("format_errors"),
-        count_if(F.col("l_linestatus") == "F").alias("edit_count"),
-        (F.sum("l_tax") * 100).alias("total_trajectory_time"),
-        (F.sum("l_discount") * 100).alias("total_tool_call_time"),
-        count_if(F.col("l_returnflag") == "A").alias("f2p_passed"),
-        count_if(F.col("l_returnflag") != "N").alias("f2p_total"),
-        count_if(F.col("l_linestatus") == "O").alias("p2p_passed"), F.count("*").alias("p2p_total"))
+    # Line numbers are folded first: an order then has few rows to gather, however many it had.
+    per_turn = li.groupBy("l_orderkey", "l_linenumber").agg(
+        F.sum("l_quantity").alias("qty"), F.max("l_partkey").alias("part"), F.sum("l_suppkey").alias("supp"),
+        F.count("*").alias("n"), F.sum("l_tax").alias("tax"), F.sum("l_discount").alias("discount"),
+        count_if(F.col("l_returnflag") == "R").alias("r"), count_if(F.col("l_returnflag") == "A").alias("a"),
+        count_if(F.col("l_linestatus") == "F").alias("f"), count_if(F.col("l_linestatus") == "O").alias("o"))
+    obs = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("qty").cast("long").alias("obs"))))
+    folded = per_turn.groupBy("l_orderkey").agg(
+        F.sum("qty").cast("long").alias("completion_tokens"), F.max("part").alias("prompt_tokens"),
+        F.sum("supp").alias("cached_prompt_tokens"), F.sum("n").alias("num_turns"), F.sum("r").alias("format_errors"),
+        F.sum("f").alias("edit_count"), (F.sum("tax") * 100).alias("total_trajectory_time"),
+        (F.sum("discount") * 100).alias("total_tool_call_time"), F.sum("a").alias("f2p_passed"),
+        F.sum(F.col("a") + F.col("r")).alias("f2p_total"), F.sum("o").alias("p2p_passed"), F.sum("n").alias("p2p_total"),
+        F.transform(obs, lambda x: x["obs"]).alias("tool_obs_tokens"))
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), month(F.col("o_orderdate")).alias("step"),
         F.col("o_orderpriority").alias("exit_status"),
@@ -66,7 +64,7 @@ def episodes(spark, sf) -> DataFrame:
         (F.col("o_orderstatus") == "P").alias("empty_patch"),
         F.when(F.col("o_orderkey") % 50 == 0, F.lit("timeout")).alias("eval_error"),
         (F.col("o_orderstatus") != "P").alias("patch_applied"))
-    joined = orders.join(folded, "l_orderkey", "left").join(obs, "l_orderkey", "left")
+    joined = orders.join(folded, "l_orderkey", "left")
     return joined.withColumns({
         "tool_call_count": F.col("num_turns") * 2, "salvaged_tool_calls": F.col("num_turns") - F.col("format_errors"),
         "response_tokens": F.col("completion_tokens"),

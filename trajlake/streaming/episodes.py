@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from trajlake.operators.episodes import INCOMPLETE, MAX_ERRORS, MAX_TURNS, RESPONSE
+from trajlake.session import DEFAULTS
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 TURN_FIELDS = ("gen_tokens", "tool_tokens", "n_calls", "n_salvaged", "attempted", "submitted_call_idx", "crashed_type")
 PENDING = "gen long, tool long, calls long, salvaged long, tried boolean, submit long, crash string"
 FOLD = "turn long, length long, streak long, calls long, errors long, salvaged long, done boolean"
@@ -146,6 +148,8 @@ def stream_episodes(
     the watermark delay, ``timeout_ms`` the silence after which an episode is given up.
     Turns beyond ``max_turns`` are dropped before the shuffle.
     """
+    # This operator needs the RocksDB state store.
+    outcomes.sparkSession.conf.set(PROVIDER, DEFAULTS[PROVIDER])
     turns = outcomes.filter(F.col("turn") <= max_turns).select(
         "trajectory_id", "turn", F.col(time).alias("event_time"), *TURN_FIELDS).withWatermark("event_time", delay)
     return turns.groupBy("trajectory_id").transformWithStateInPandas(
