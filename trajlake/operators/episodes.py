@@ -158,7 +158,7 @@ def episode_counters(
         total(generated & (F.col("turn") >= 1)).alias("num_turns"),
         total(parsed & F.col("usable"), calls).alias("tool_call_count"),
         total(parsed & ~F.col("usable")).alias("format_errors"),
-        total(parsed, F.col("n_salvaged")).alias("salvaged_tool_calls"),
+        total(parsed & F.col("usable"), F.col("n_salvaged")).alias("salvaged_tool_calls"),
         obs.alias("_obs"),
         completion.alias("_completion"), response.alias("_response"))
     empty = F.col("_response") == 0

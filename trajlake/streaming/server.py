@@ -51,7 +51,9 @@ def close_steps(
     kept = spark.read.schema(SAMPLES).option("recursiveFileLookup", "true").parquet(store)
     todo = steps.join(_done_steps(spark, out, batch_id), "step", "left_anti")
     if horizon is not None:
-        todo = todo.filter(F.col("t_end") <= F.lit(horizon))
+        # With an inclusive end, a sample at the end itself does not prove the step over.
+        ended = F.col("t_end") < F.lit(horizon) if inclusive_end else F.col("t_end") <= F.lit(horizon)
+        todo = todo.filter(ended)
     start = todo.agg(F.min("t_start")).first()[0]
     if start is None:
         return
@@ -76,7 +78,7 @@ def stream_server_summary(
 ) -> DataStreamWriter:
     """Store the samples of every trigger and summarise each step once it has ended.
 
-    A step has ended when a sample at or after its end arrived. Windows are half open
+    A step has ended when a sample at or after its end (after it, if inclusive) arrived. Windows are half open
     unless ``inclusive_end``. ``scrapes`` carries ``(t, text)``, or tracked metric columns
     when ``parsed``. Call ``close_steps`` with ``horizon=None`` after the last trigger to
     close what is left.
