@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,12 +58,14 @@ def test_server_summary_equals_batch(spark, tmp_path, make, inclusive):
     store, out, check = (str(tmp_path / x) for x in ("store", "out", "check"))
     steps = make([(s, s * 10.0, s * 10.0 + 10) for s in range(4)], "step long, t_start double, t_end double")
     texts = []
-    for upto in (12, 25, 40):
+    for upto in (15, 40):
         for t in range(len(texts), upto + 1):
             text = "no gauges 1\n" if t % 7 == 3 else scrape(0 if 20 <= t < 30 else t % 5, t % 3, t * 10)
             texts.append((float(t), text))
             (folder / f"{t}.0.txt").write_text(text)
-        stream = stream_scrapes(spark, str(folder), max_files=9)
+            # Files are taken in the order of their times, samples must not overtake each other.
+            os.utime(folder / f"{t}.0.txt", (1_700_000_000 + t, 1_700_000_000 + t))
+        stream = stream_scrapes(spark, str(folder), max_files=20)
         run(stream_server_summary(stream, steps, store, out, check, inclusive_end=inclusive))
     closed = spark.read.parquet(f"{out}/closed").count()
     assert closed == (3 if inclusive else 4)

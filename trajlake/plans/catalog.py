@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-# Folders streaming queries wrote to, all below the session's checkpoint folder.
-STREAM_DIRS: list[str] = []
+# Folders written by queries, all below the session's checkpoint folder.
+WORK_DIRS: list[str] = []
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

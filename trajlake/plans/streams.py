@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.functions.numbers import epoch_seconds
-from trajlake.plans.catalog import STREAM_DIRS, query, rounded, table
+from trajlake.plans.catalog import query, rounded, table
 from trajlake.plans.episodes import states_sql
 from trajlake.plans.server import DRAIN_COLUMNS, DRAIN_SQL, LATENCY_COLUMNS, LATENCY_SQL, samples
-from trajlake.session import ensure_checkpoint_dir
+from trajlake.plans.sources import work_folder
 from trajlake.streaming.episodes import stream_episodes
 from trajlake.streaming.metrics import stream_run_verdict, stream_trajectory_metrics
 from trajlake.streaming.server import close_steps, stream_server_summary
 
 
-def _folder(spark: SparkSession) -> str:
-    folder = f"{ensure_checkpoint_dir(spark)}/trajlake-{uuid.uuid4().hex}"
-    STREAM_DIRS.append(folder)
-    return folder
-
-
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     schema = table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
@@ -44,7 +36,7 @@ def streamed_metrics(spark, sf):
         F.date_format("o_orderdate", "yyyy").alias("step"), F.col("o_orderpriority").alias("exit_status"),
         (F.col("o_orderstatus") == "F").cast("double").alias("reward"),
         F.col("o_totalprice").alias("total_trajectory_time"))
-    folder = _folder(spark)
+    folder = work_folder(spark)
     _run(stream_trajectory_metrics(orders, f"{folder}/out", f"{folder}/checkpoint"))
     long = spark.read.parquet(f"{folder}/out")
     shown = F.col("metric").startswith("traj/exit/") | F.col("metric").isin("traj/mean_reward", "latency/max_trajectory_s")
@@ -60,7 +52,7 @@ def streamed_summary(spark, sf):
     day = F.floor(epoch_seconds(F.col("ts")) / 86400)
     steps = table(spark, sf, "events").select(day.alias("step")).distinct().select(
         "step", (F.col("step") * 86400.0).alias("t_start"), ((F.col("step") + 1) * 86400.0).alias("t_end"))
-    folder = _folder(spark)
+    folder = work_folder(spark)
     store, out = f"{folder}/samples", f"{folder}/out"
     _run(stream_server_summary(stream, steps, store, out, f"{folder}/checkpoint", parsed=True))
     close_steps(spark, steps, store, out, "last", horizon=None)
@@ -77,7 +69,7 @@ def streamed_verdict(spark, sf):
         F.when(F.col("doc_id") % 40 == 0, F.lit("global_step_6")).otherwise(F.lit("global_step_5")),
         F.when(F.col("doc_id") % 3 == 0, F.lit(" saved")).otherwise(F.lit("")))
     lines = _stream(spark, sf, "documents").select(F.col("lang").alias("run"), line.alias("value"))
-    folder = _folder(spark)
+    folder = work_folder(spark)
 
     def publish(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out")
@@ -119,7 +111,7 @@ def streamed_episodes(spark, sf):
         F.when(is_call & (F.col("conv_id") % 2 == 0), F.lit(2)).otherwise(F.lit(0)).cast("long").alias("n_salvaged"),
         (F.col("role") == "user").alias("attempted"), F.when(size % 5 == 0, F.lit(0)).alias("submitted_call_idx"),
         F.when(size % 31 == 0, F.lit("Timeout")).alias("crashed_type"))
-    folder = _folder(spark)
+    folder = work_folder(spark)
     _run(stream_episodes(turns, **CONV_LIMITS).writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out"))
     return spark.read.parquet(f"{folder}/out").filter(F.col("exit_status") != "IncompleteRollout")

@@ -75,10 +75,12 @@ def stream_server_summary(
     parsed: bool = False,
     capacity: float | None = None,
     inclusive_end: bool = False,
+    grace: float = 0.0,
 ) -> DataStreamWriter:
     """Store the samples of every trigger and summarise each step once it has ended.
 
-    A step has ended when a sample at or after its end (after it, if inclusive) arrived. Windows are half open
+    A step has ended when a sample at or after its end (after it, if inclusive) arrived;
+    ``grace`` seconds are waited on top where samples may arrive out of order. Windows are half open
     unless ``inclusive_end``. ``scrapes`` carries ``(t, text)``, or tracked metric columns
     when ``parsed``. Call ``close_steps`` with ``horizon=None`` after the last trigger to
     close what is left.
@@ -86,11 +88,14 @@ def stream_server_summary(
     def publish(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         samples = batch if parsed else to_samples(batch)
-        _sample_columns(samples).write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
-        seen = spark.read.schema(SAMPLES).option("recursiveFileLookup", "true").parquet(store)
-        horizon = seen.agg(F.max("t")).first()[0]
+        own = f"{store}/batch={batch_id}"
+        _sample_columns(samples).write.mode("overwrite").parquet(own)
+        # One row per trigger, so that the latest time needs no look at earlier samples.
+        latest = spark.read.schema(SAMPLES).parquet(own).agg(F.max("t").alias("t"))
+        latest.write.mode("overwrite").parquet(f"{out}/horizon/batch={batch_id}")
+        horizon = spark.read.schema("t double").parquet(f"{out}/horizon").agg(F.max("t")).first()[0]
         if horizon is not None:
-            close_steps(spark, steps, store, out, batch_id, horizon=horizon, capacity=capacity,
+            close_steps(spark, steps, store, out, batch_id, horizon=horizon - grace, capacity=capacity,
                         inclusive_end=inclusive_end)
 
     return scrapes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
