@@ -62,15 +62,16 @@ def test_heavy_key_is_spread_over_the_shuffle(spark, make, rows):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("levels", [1, 2, 3])
-def test_running_sums_over_many_chunks(make, levels):
+@pytest.mark.parametrize("hot_rows", [1, 290, 10_000])
+@pytest.mark.parametrize("levels", [1, 2])
+def test_running_sums_over_many_chunks(make, levels, hot_rows):
     rng = random.Random(levels)
     data = []
     for key in ("a", "b"):
-        for order in rng.sample(range(-(1 << 20), 1 << 34), 300):
+        for order in rng.sample(range(-(1 << 20), 1 << 34), 300 if key == "a" else 280):
             data.append((key, order, rng.randrange(100)))
     out = running_sums(make(data, "k string, o long, v long"), "o", {"upto": F.col("v"), "n": F.lit(1)},
-                       keys=["k"], levels=levels)
+                       keys=["k"], levels=levels, hot_rows=hot_rows, hot_keys=1 if hot_rows > 1 else 9)
     want = []
     for key in ("a", "b"):
         total = 0

@@ -48,8 +48,8 @@ def test_prepared_roundtrip_prunes_nested_fields(spark, tmp_path, make):
     assert spark.read.parquet(f"{tmp_path}/one.parquet").count() == 1
     with pytest.raises(LookupError):
         prep.require_row(prep.lookup_id(tagged, "nope"), "nope")
-    assert prep.lookup_index(tagged, 4, ["row_idx"]).collect()[0].instance_id == "id4"
-    assert prep.lookup_index(tagged, 5, ["row_idx"]).collect() == []
+    assert prep.lookup_index(tagged, 4, "row_idx").collect()[0].instance_id == "id4"
+    assert prep.lookup_index(tagged, 5, "row_idx").collect() == []
 
 
 def test_episode_lines(spark, tmp_path):

@@ -60,8 +60,8 @@ def any_of(flags: list[Column]) -> Column:
 
 
 def epoch_seconds(ts: Column) -> Column:
-    """A zone-less timestamp, read as UTC, in seconds since the epoch."""
-    return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
+    """A zone-less timestamp, read as UTC whatever the session's zone, in seconds since the epoch."""
+    return F.unix_micros(F.from_utc_timestamp(ts.cast("timestamp"), F.current_timezone())) / F.lit(1e6)
 
 
 def run_name(ts: Column) -> Column:

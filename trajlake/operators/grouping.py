@@ -4,8 +4,8 @@ Two building blocks replace per-key windows wherever a key is not bounded:
 
 * ``join_group_values`` attaches per-key values to rows. The values of the few
   heaviest keys are broadcast, all other keys meet in a shuffle join.
-* ``running_sums`` / ``with_positions`` compute ordered sums from fixed-width
-  chunks of the order column, so no task ever sorts a whole key.
+* ``running_sums`` / ``with_positions`` compute ordered sums; a heavy key is cut into
+  fixed-width chunks of the order column, so no task ever sorts the whole of it.
 """
 
 from __future__ import annotations
@@ -60,10 +60,7 @@ def join_group_values(
         weight = None
 
     if weight is None:
-        counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
-        hot = (counts.filter(F.col("_rows") >= hot_rows)
-               .orderBy(F.desc("_rows")).limit(hot_keys).select(*keys))
-        hot = hot.select(*[F.col(k).alias(f"_w_{k}") for k in keys])
+        hot = heavy_keys(rows, keys, hot_rows, hot_keys)
         match = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
         hot_values = values.join(F.broadcast(hot), match, "inner").select(*keys, *extra)
     else:
@@ -101,48 +98,75 @@ def join_group_values(
           for c in extra])
 
 
-def running_sums(
+def heavy_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int, hot_keys: int) -> DataFrame:
+    """The keys worth a special path: at most ``hot_keys``, each with ``hot_rows`` rows or more."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= hot_rows)
+    return counts.orderBy(F.desc("_rows")).limit(hot_keys).select(*[F.col(k).alias(f"_w_{k}") for k in keys])
+
+
+def _chunked_sums(
     df: DataFrame,
     order: str,
     sums: Mapping[str, Column],
-    *,
-    keys: Sequence[str] = (),
-    ties: Sequence[str] = (),
-    levels: int = 3,
+    keys: Sequence[str],
+    ties: Sequence[str],
+    levels: int,
+    chunk: Column,
 ) -> DataFrame:
-    """Add inclusive running sums along ``order`` within ``keys``.
-
-    ``order`` is an integer column, unique within a key (or made so by ``ties``). The
-    rows are windowed per chunk of 2**16 order values, the chunk totals are summed the
-    same way one level up, and the chunk offset is added back, so with unique order
-    values no window holds more than 2**16 rows. ``levels`` = 3 covers order values
-    below 2**48; 1 is a plain window for keys of known small size. Keys must not be null.
-    """
-    keys = list(keys)
+    """Windows per (keys, chunk), plus the totals of the chunks before. A null chunk is a
+    whole key of its own, with nothing before it."""
+    chunked = df.withColumn("_chunk", chunk)
     frame = (Window.partitionBy(*keys, "_chunk").orderBy(order, *ties)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    if levels <= 1:
-        plain = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order, *ties)
-                 .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumns({name: F.sum(expr).over(plain) for name, expr in sums.items()})
-
-    chunked = df.withColumn("_chunk", F.shiftright(F.col(order).cast("long"), CHUNK_BITS))
     local = chunked.withColumns({name: F.sum(expr).over(frame) for name, expr in sums.items()})
-    totals = chunked.groupBy(*keys, "_chunk").agg(
+    totals = chunked.filter(F.col("_chunk").isNotNull()).groupBy(*keys, F.col("_chunk").alias("_at")).agg(
         *[F.sum(expr).alias(f"_own_{name}") for name, expr in sums.items()])
-    offsets = running_sums(
-        totals.withColumnRenamed("_chunk", "_at"), "_at",
-        {f"_upto_{name}": F.col(f"_own_{name}") for name in sums}, keys=keys, levels=levels - 1)
-    offsets = offsets.select(
+    upto = {f"_upto_{name}": F.col(f"_own_{name}") for name in sums}
+    if levels > 1:
+        totals = _chunked_sums(totals, "_at", upto, keys, (), levels - 1, F.shiftright("_at", CHUNK_BITS))
+    else:
+        top = (Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_at")
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        totals = totals.withColumns({name: F.sum(expr).over(top) for name, expr in upto.items()})
+    offsets = totals.select(
         *[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_at").alias("_o_chunk"),
         *[(F.col(f"_upto_{name}") - F.col(f"_own_{name}")).alias(f"_before_{name}") for name in sums])
     on = [F.col(k) == F.col(f"_o_{k}") for k in keys] + [F.col("_chunk") == F.col("_o_chunk")]
-    joined = local.join(offsets, on, "left")
-    return joined.select(
+    return local.join(offsets, on, "left").select(
         *[F.col(c) for c in df.columns if c not in sums],
         *[(F.col(name) + F.coalesce(F.col(f"_before_{name}"), F.lit(0))).alias(name) for name in sums])
 
 
+def running_sums(
+    df: DataFrame,
+    order: str,
+    sums: Mapping[str, Column],
+    *,
+    keys: Sequence[str] = (),
+    ties: Sequence[str] = (),
+    levels: int = 2,
+    hot_rows: int = HOT_ROWS,
+    hot_keys: int = HOT_KEYS,
+) -> DataFrame:
+    """Add inclusive running sums along ``order`` within ``keys``.
+
+    ``order`` is an integer column, unique within a key (or made so by ``ties``); keys must
+    not be null. Keys of ordinary size are windowed whole. A heavy key, or the whole table if
+    there are no keys, is windowed per chunk of 2**16 order values; the chunk totals are
+    summed the same way up to ``levels`` times and added back. With two levels and order
+    values below 2**48 no window of a heavy key holds more than 2**16 rows.
+    """
+    keys = list(keys)
+    chunk = F.shiftright(F.col(order).cast("long"), CHUNK_BITS)
+    if not keys:
+        return _chunked_sums(df, order, sums, keys, ties, levels, chunk)
+    hot = heavy_keys(df, keys, hot_rows, hot_keys).withColumn("_hot", F.lit(True))
+    marked = df.join(F.broadcast(hot), [F.col(k) == F.col(f"_w_{k}") for k in keys], "left")
+    marked = marked.select(*df.columns, "_hot")
+    out = _chunked_sums(marked, order, sums, keys, ties, levels, F.when(F.col("_hot"), chunk))
+    return out.drop("_hot")
+
+
 def with_positions(
     df: DataFrame,
     order: str,
@@ -150,8 +174,8 @@ def with_positions(
     keys: Sequence[str] = (),
     ties: Sequence[str] = (),
     name: str = "row_idx",
-    levels: int = 3,
+    **limits: int,
 ) -> DataFrame:
     """Add the 0-based position of each row along ``order`` within ``keys``."""
-    numbered = running_sums(df, order, {name: F.lit(1).cast("long")}, keys=keys, ties=ties, levels=levels)
+    numbered = running_sums(df, order, {name: F.lit(1).cast("long")}, keys=keys, ties=ties, **limits)
     return numbered.withColumn(name, F.col(name) - 1)

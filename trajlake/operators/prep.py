@@ -124,11 +124,9 @@ def lookup_id(df: DataFrame, instance_id, column: str = "instance_id", order: Se
     return df.filter(F.col(column) == F.lit(instance_id)).orderBy(*(order or [column])).limit(1)
 
 
-def lookup_index(df: DataFrame, index: int, order: Sequence[str]) -> DataFrame:
-    """The row at a 0-based position along ``order``: a bounded top-k, then its last row."""
-    head = df.orderBy(*order).limit(index + 1)
-    return head.orderBy(*[F.desc(c) for c in order]).limit(1).filter(
-        head.agg(F.count("*")).scalar() == index + 1)
+def lookup_index(df: DataFrame, index: int, order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The row at a 0-based position along ``order``, empty if there are fewer rows."""
+    return with_positions(df, order, ties=ties, name="_at").filter(F.col("_at") == index).drop("_at")
 
 
 def require_row(df: DataFrame, what: str) -> DataFrame:

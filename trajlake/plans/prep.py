@@ -107,7 +107,7 @@ def point_lookup(spark, sf):
     nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     wanted = nation.agg(F.max("n_name")).first()[0]
     by_id = p.lookup_id(nation, wanted, "n_name", ["n_nationkey"])
-    by_index = p.lookup_index(nation, 4, ["n_nationkey"])
+    by_index = p.lookup_index(nation, 4, "n_nationkey")
     return by_id.select(F.lit("id").alias("how"), "*").unionByName(by_index.select(F.lit("index").alias("how"), "*"))
 
 
