@@ -110,16 +110,20 @@ def pooled_observations(df: DataFrame, by: Sequence[str], obs: str = "tool_obs_t
         F.coalesce(F.max(F.array_max(obs)), zero).cast("double").alias("tokens/max_obs"))
 
 
-def _flatten(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct(order, "_ids", "_mask")))
-    return df.groupBy(*keys).agg(parts.alias("_parts")).select(
-        *keys,
-        F.flatten(F.transform("_parts", lambda p: p["_ids"])).alias("ids"),
-        F.flatten(F.transform("_parts", lambda p: p["_mask"])).alias("mask"))
+def _gather(order: str) -> Column:
+    """Ordered parts of one trajectory; rows without a part add nothing."""
+    return F.array_sort(F.collect_list(F.when(F.col("_ids").isNotNull(), F.struct(order, "_ids", "_mask"))))
 
 
-def _ids_or_empty(name: str) -> Column:
-    return F.coalesce(F.col(name), arrays.empty_ints())
+def _joined(field: str) -> Column:
+    return F.flatten(F.transform("_parts", lambda p: p[field])).cast("array<int>")
+
+
+def _with_part(counted: DataFrame, ids: Column, room: Column) -> DataFrame:
+    """``_ids`` and ``_mask`` of the rows inside the budget, null for the others."""
+    inside = (room > 0) & (F.col("_n") > 0)
+    cut = counted.withColumn("_ids", F.when(inside, ids))
+    return cut.withColumn("_mask", F.when(inside, arrays.repeat_int(F.col("_bit"), F.size("_ids"))))
 
 
 def adapt_trajectories(
@@ -130,28 +134,23 @@ def adapt_trajectories(
     Adds attention mask, positions (from 0 after the cut), ``truncated``, and the totals
     after the cut.
     """
-    n = F.size("ids").cast("long")
     back = tokens.select(
         *keys, "msg_idx", (-F.col("msg_idx")).alias("_back"), arrays.role_bit(F.col("role")).alias("_bit"),
-        n.alias("_n"),
+        F.size("ids").cast("long").alias("_n"),
         # Tokens of one message beyond the budget can never survive.
         arrays.keep_last(F.col("ids"), budget).alias("_tail"))
-    totals = back.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     counted = running_sums(back, "_back", {"_upto": F.col("_n")}, keys=keys)
     room = F.lit(budget) - (F.col("_upto") - F.col("_n"))
-    kept = counted.filter((room > 0) & (F.col("_n") > 0)).withColumn(
-        "_ids", arrays.keep_last(F.col("_tail"), room)).withColumn(
-        "_mask", arrays.repeat_int(F.col("_bit"), F.size("_ids"))).select(*keys, "msg_idx", "_ids", "_mask")
-    sequences = _flatten(kept, keys, "msg_idx")
-    return totals.join(sequences, list(keys), "left").select(
-        *keys,
-        _ids_or_empty("ids").alias("input_ids"),
-        arrays.attention_mask(_ids_or_empty("ids")).alias("attention_mask"),
-        arrays.position_ids(_ids_or_empty("ids")).alias("position_ids"),
-        _ids_or_empty("mask").alias("response_mask"),
+    parts = _with_part(counted, arrays.keep_last(F.col("_tail"), room), room)
+    gathered = parts.groupBy(*keys).agg(F.max("_upto").alias("_total"), _gather("msg_idx").alias("_parts"))
+    flat = gathered.select(*keys, "_total", _joined("_ids").alias("input_ids"), _joined("_mask").alias("response_mask"))
+    return flat.select(
+        *keys, "input_ids",
+        arrays.attention_mask(F.col("input_ids")).alias("attention_mask"),
+        arrays.position_ids(F.col("input_ids")).alias("position_ids"), "response_mask",
         (F.col("_total") > budget).alias("truncated"),
         F.least(F.col("_total"), F.lit(budget)).cast("long").alias("total_trajectory_tokens"),
-        arrays.total(_ids_or_empty("mask")).alias("response_tokens"))
+        arrays.total(F.col("response_mask")).alias("response_tokens"))
 
 
 def accumulate_segments(
@@ -164,33 +163,30 @@ def accumulate_segments(
     """Prompt and response of one episode from its ordered segments.
 
     ``segments(keys, seg_idx, kind, ids)`` with ``kind`` in prompt (the first one counts),
-    generated and tool. The response keeps its first ``response_length`` tokens; generated tokens carry mask 1.
-    An empty prompt becomes one pad token, an empty response one pad token with mask 1.
+    generated and tool. The response keeps its first ``response_length`` tokens; generated
+    tokens carry mask 1. An empty prompt becomes one pad token, an empty response one pad
+    token with mask 1.
     """
     is_prompt = F.col("kind") == "prompt"
-    prompts = segments.filter(is_prompt).groupBy(*keys).agg(F.min_by("ids", "seg_idx").alias("_prompt"))
-
-    bit = F.when(F.col("kind") == "generated", F.lit(1)).otherwise(F.lit(0))
-    parts = segments.filter(~is_prompt).select(
-        *keys, "seg_idx", bit.alias("_bit"), F.size("ids").cast("long").alias("_n"),
-        arrays.keep_first(F.col("ids"), response_length).alias("_head"))
-    counted = running_sums(parts, "seg_idx", {"_upto": F.col("_n")}, keys=keys)
+    rows = segments.select(
+        *keys, "seg_idx", is_prompt.alias("_is_prompt"),
+        F.when(F.col("kind") == "generated", F.lit(1)).otherwise(F.lit(0)).alias("_bit"),
+        F.when(is_prompt, F.lit(0)).otherwise(F.size("ids")).cast("long").alias("_n"),
+        F.when(is_prompt, F.col("ids")).otherwise(arrays.keep_first(F.col("ids"), response_length)).alias("_head"))
+    counted = running_sums(rows, "seg_idx", {"_upto": F.col("_n")}, keys=keys)
     room = F.lit(response_length) - (F.col("_upto") - F.col("_n"))
-    kept = counted.filter((room > 0) & (F.col("_n") > 0)).withColumn(
-        "_ids", arrays.keep_first(F.col("_head"), room)).withColumn(
-        "_mask", arrays.repeat_int(F.col("_bit"), F.size("_ids"))).select(*keys, "seg_idx", "_ids", "_mask")
-    responses = _flatten(kept, keys, "seg_idx")
-
-    everyone = segments.select(*keys).distinct()
-    joined = (everyone.join(prompts, list(keys), "left").join(responses, list(keys), "left"))
-    prompt = arrays.or_pad(_ids_or_empty("_prompt"), pad)
-    response = arrays.or_pad(_ids_or_empty("ids"), pad)
-    mask = arrays.or_pad(_ids_or_empty("mask"), 1)
-    return joined.select(
-        *keys, prompt.alias("prompt_ids"), response.alias("response_ids"), mask.alias("response_mask"),
-        F.size(prompt).cast("long").alias("prompt_tokens"),
-        arrays.total(mask).alias("response_tokens"),
-        (F.size(prompt) + F.size(response)).cast("long").alias("total_trajectory_tokens"))
+    parts = _with_part(counted, arrays.keep_first(F.col("_head"), room), room)
+    gathered = parts.groupBy(*keys).agg(
+        F.min_by("_head", F.when(F.col("_is_prompt"), F.col("seg_idx"))).alias("_prompt"),
+        _gather("seg_idx").alias("_parts"))
+    padded = gathered.select(
+        *keys, arrays.or_pad(F.coalesce(F.col("_prompt"), arrays.empty_ints()), pad).alias("prompt_ids"),
+        arrays.or_pad(_joined("_ids"), pad).alias("response_ids"),
+        arrays.or_pad(_joined("_mask"), 1).alias("response_mask"))
+    return padded.select(
+        "*", F.size("prompt_ids").cast("long").alias("prompt_tokens"),
+        arrays.total(F.col("response_mask")).alias("response_tokens"),
+        (F.size("prompt_ids") + F.size("response_ids")).cast("long").alias("total_trajectory_tokens"))
 
 
 def running_response_length(
