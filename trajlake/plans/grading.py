@@ -6,14 +6,15 @@ from trajlake.operators import grading as g
 from trajlake.plans.catalog import query, table
 from trajlake.schemas import TEST_STATUS
 
-# Labelled documents as submitted patches: some empty, some failed to grade, some never graded.
+# Labelled documents as submitted patches. Texts of source 7 count as empty patches, long ones
+# failed to grade, and for source 3 no report was written.
 GRADES_SQL = """
-p AS (SELECT l.doc_id, CASE WHEN l.doc_id % 7 = 0 THEN '  ' ELSE d.text END AS patch, l.quality, l.toxic
+p AS (SELECT l.doc_id, d.source = 'src7' AS empty_patch, d.n_chars > 3000 AS failed, d.source <> 'src3' AS reported,
+             l.quality, l.toxic
       FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
 g AS (
-  SELECT doc_id, doc_id % 7 = 0 AS empty_patch,
-         CASE WHEN doc_id % 7 <> 0 AND doc_id % 11 = 0 THEN 'harness timeout' ELSE '' END AS eval_error,
-         doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0 AS graded, quality, toxic
+  SELECT doc_id, empty_patch, CASE WHEN NOT empty_patch AND failed THEN 'harness timeout' ELSE '' END AS eval_error,
+         NOT empty_patch AND NOT failed AND reported AS graded, quality, toxic
   FROM p),
 grades AS (
   SELECT doc_id, graded AND quality = 1 AS resolved,
@@ -43,17 +44,19 @@ def _reports(labels):
     report = F.struct(
         (F.col("quality") == 1).alias("resolved"), (F.col("toxic") == 0).alias("patch_successfully_applied"),
         status.alias("tests_status"))
-    return labels.filter(F.col("doc_id") % 13 != 0).select("doc_id", report.alias("report"))
+    return labels.select("doc_id", report.alias("report"))
 
 
 def grades(spark, sf):
     labels = table(spark, sf, "labels")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    patches = labels.select("doc_id").join(docs, "doc_id").select(
-        "doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit("  ")).otherwise(F.col("text")).alias("submission"))
-    errors = labels.filter(F.col("doc_id") % 11 == 0).select("doc_id", F.lit("harness timeout").alias("eval_error"))
+    docs = table(spark, sf, "documents")
+    patches = labels.select("doc_id").join(docs.select("doc_id", "source", "text"), "doc_id").select(
+        "doc_id", F.when(F.col("source") == "src7", F.lit("  ")).otherwise(F.col("text")).alias("submission"))
+    errors = docs.filter(F.col("n_chars") > 3000).select("doc_id", F.lit("harness timeout").alias("eval_error"))
+    reported = docs.filter(F.col("source") != "src3").select("doc_id")
+    reports = _reports(labels).join(reported, "doc_id", "left_semi")
     sizes = labels.select("doc_id", (F.col("doc_id") * 10).alias("pytest_output_length"))
-    return g.grade_outcome(patches, g.grade_counts(_reports(labels)), errors, sizes, keys=["doc_id"])
+    return g.grade_outcome(patches, g.grade_counts(reports), errors, sizes, keys=["doc_id"])
 
 
 @query("grade_outcome", f"WITH {GRADES_SQL} SELECT * FROM grades")
@@ -66,7 +69,7 @@ SELECT doc_id, quality = 1 AS resolved, toxic = 0 AS patch_applied, CAST(doc_id
        CAST(doc_id % 4 + 1 AS BIGINT) AS f2p_total,
        CAST(CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS p2p_passed,
        CAST(CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS BIGINT) AS p2p_total
-FROM labels WHERE doc_id % 13 <> 0""")
+FROM labels""")
 def grade_counts(spark, sf):
     return g.grade_counts(_reports(table(spark, sf, "labels")))
 

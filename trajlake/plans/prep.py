@@ -101,22 +101,23 @@ def expand_groups(spark, sf):
 
 
 @query("point_lookup", """
-SELECT 'id' AS how, n_nationkey, n_name FROM nation WHERE n_name = (SELECT max(n_name) FROM nation)
-UNION ALL SELECT 'index', n_nationkey, n_name FROM (SELECT * FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 4)""")
+SELECT 'id' AS how, c_custkey, c_name FROM customer WHERE c_name = (SELECT max(c_name) FROM customer)
+UNION ALL SELECT 'index', c_custkey, c_name FROM (SELECT * FROM customer ORDER BY c_custkey LIMIT 1 OFFSET 40)""")
 def point_lookup(spark, sf):
-    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
-    wanted = nation.agg(F.max("n_name")).first()[0]
-    by_id = p.lookup_id(nation, wanted, "n_name", ["n_nationkey"])
-    by_index = p.lookup_index(nation, 4, "n_nationkey")
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name")
+    wanted = customers.agg(F.max("c_name")).first()[0]
+    by_id = p.lookup_id(customers, wanted, "c_name", ["c_custkey"])
+    by_index = p.lookup_index(customers, 40, "c_custkey")
     return by_id.select(F.lit("id").alias("how"), "*").unionByName(by_index.select(F.lit("index").alias("how"), "*"))
 
 
 @query("split_union", """
-SELECT 'val' AS source, 0 AS source_rank, r_regionkey AS key, r_name AS name FROM region
-UNION ALL SELECT 'train', 1, n_nationkey, n_name FROM nation""")
+SELECT 'val' AS source, 0 AS source_rank, s_suppkey AS key, s_name AS name, s_acctbal AS balance FROM supplier
+UNION ALL SELECT 'train', 1, c_custkey, c_name, NULL FROM customer""")
 def split_union(spark, sf):
-    val = table(spark, sf, "region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
-    train = table(spark, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    val = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    train = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"))
     return p.union_splits([("val", val), ("missing", None), ("train", train)]).withColumn(
         "source_rank", F.when(F.col("source") == "val", 0).otherwise(1))
 

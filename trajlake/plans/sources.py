@@ -120,13 +120,12 @@ def source_step_metrics(spark, sf):
 
 
 @query("source_lines", """
-SELECT 'en: ' || count(*) AS name, count(*) AS n FROM documents WHERE lang = 'en'""")
+SELECT lang AS name, count(*) AS n FROM documents GROUP BY 1""")
 def source_lines(spark, sf):
     folder = work_folder(spark)
     padded = F.concat(F.lit("  "), F.col("lang"), F.lit("\n\n \t"))
     table(spark, sf, "documents").select(padded.alias("value")).write.text(folder)
-    names = logs.read_list(spark, folder).groupBy("name").agg(F.count("*").alias("n")).filter(F.col("name") == "en")
-    return names.select(F.concat(F.col("name"), F.lit(": "), F.col("n").cast("string")).alias("name"), "n")
+    return logs.read_list(spark, folder).groupBy("name").agg(F.count("*").alias("n"))
 
 
 @query("numbered_lines", """
