@@ -17,6 +17,9 @@ def wrap(payload):
 
 SALVAGE = [
     ('{"name":"bash","arguments":{"command":"ls"}}', ("bash", "ls")),
+    ('{"name": "b", "arguments": {"command": "a\\n\\"\\\\n\\/b"}}', ("b", 'a\n"\\n/b')),
+    ('{"name":"b","arguments":{"command":"a","x":"y"}}', ("b", "a")),
+    ('{"name":"b","arguments":{"command":"\\u00e9"}}', ("b", "é")),
     ('{"name":"bash","arguments":"{\\"command\\":\\"ls\\"}"}', ("bash", "ls")),
     ('{"name":"bash","arguments":"ls -l"}', ("bash", "ls -l")),
     ('{"name":"bash","arguments":"true"}', None),
@@ -189,3 +192,23 @@ def test_numbers_like_python(make):
         return v if v - v == 0 else None
 
     assert {r.t: r.v if r.ok else None for r in rows.collect()} == {t: rule(t) for t in texts}
+
+
+def test_random_payloads(make):
+    """A payload is a strict call exactly if the JSON parser takes it."""
+    import json
+
+    rng = random.Random(9)
+    bits = ["a", '\\"', "\\\\", "\\n", "\\/", "\\d", '"', "\n", "é", "\\u0041", "}", "{", ",", "\\"]
+    heads = ['{"name":"bash","arguments":{"command":"', '{"name": "x", "arguments": {"command": "', '{"name":"a\\"b","arguments":{"command":"']
+    payloads = [rng.choice(heads) + "".join(rng.choice(bits) for _ in range(rng.randrange(7))) + '"}}' for _ in range(1500)]
+    df = make([(i, [p]) for i, p in enumerate(payloads)], "i long, b array<string>")
+    got = {r.i: r.d[0] for r in df.withColumn("d", tc.decode_blocks(F.col("b"))).collect()}
+    for i, payload in enumerate(payloads):
+        try:
+            obj = json.loads(payload)
+        except ValueError:
+            assert not got[i].strict, payload
+            continue
+        args = obj["arguments"]
+        assert (got[i].strict, got[i].name, got[i].command) == (True, obj["name"], args.get("command", "")), payload
