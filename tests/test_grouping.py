@@ -18,12 +18,12 @@ def rows(make):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-@pytest.mark.parametrize("hot_rows", [1, 100, 10_000])
-def test_join_group_values_equals_plain_join(spark, make, rows, how, hot_rows):
+@pytest.mark.parametrize("hot_rows,broadcast_rows", [(1, 0), (100, 0), (10_000, 0), (100, 4), (100, 5)])
+def test_join_group_values_equals_plain_join(spark, make, rows, how, hot_rows, broadcast_rows):
     data, df = rows
     known = {"h": 1, "k1": 2, "k3": 3, None: 9, "unused": 4}
     values = make(list(known.items()), "k string, v long")
-    out = join_group_values(df, values, ["k"], how=how, hot_rows=hot_rows, hot_keys=2)
+    out = join_group_values(df, values, ["k"], how=how, hot_rows=hot_rows, hot_keys=2, broadcast_rows=broadcast_rows)
     got = sorted(map(tuple, out.collect()), key=repr)
     if how == "left":
         want = [(i, k, known.get(k)) for i, k in data]

@@ -23,6 +23,8 @@ HOT_KEYS = 1000
 HOT_ROWS = 100_000
 # Rows of a broadcast key are spread over this many hash values.
 SPREAD = 1 << 20
+# A side counted to be no larger than this is broadcast whole.
+BROADCAST_ROWS = 100_000
 # One chunk spans 2**CHUNK_BITS values of the (integer) order column.
 CHUNK_BITS = 16
 
@@ -45,6 +47,7 @@ def join_group_values(
     spread_by: Sequence[str] | None = None,
     hot_keys: int = HOT_KEYS,
     hot_rows: int = HOT_ROWS,
+    broadcast_rows: int = 0,
 ) -> DataFrame:
     """Join ``values`` to ``rows`` on ``keys`` without sending a heavy key to one task.
 
@@ -52,13 +55,23 @@ def join_group_values(
     counted from ``rows`` when absent. Keys compare null-safely. ``how`` is ``left``,
     ``inner``, ``left_semi`` or ``left_anti``. ``spread_by`` are the columns telling
     the rows of one key apart (default: all flat columns).
+
+    With ``broadcast_rows`` the values are counted up to that number first (a job of its
+    own); if they are no more, they are broadcast whole and the rows are not shuffled.
     """
     keys = list(keys)
     extra = [c for c in values.columns if c not in keys]
+    kept = [c for c in rows.columns if c not in extra]
     if how in ("left_semi", "left_anti"):
         values, extra = values.select(*keys).distinct(), []
         weight = None
 
+    if broadcast_rows and values.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        small = values.select(*[F.col(k).alias(f"_v_{k}") for k in keys], *[F.col(c).alias(f"_v_{c}") for c in extra])
+        match = [F.col(k).eqNullSafe(F.col(f"_v_{k}")) for k in keys]
+        return rows.join(F.broadcast(small), match, how).select(
+            *kept, *[F.col(f"_v_{c}").alias(c) for c in extra])
+
     if weight is None:
         hot = heavy_keys(rows, keys, hot_rows, hot_keys)
         match = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
@@ -91,7 +104,6 @@ def join_group_values(
         joined = joined.filter(~found)
     elif how in ("inner", "left_semi"):
         joined = joined.filter(found)
-    kept = [c for c in rows.columns if c not in extra]
     return joined.select(
         *[F.col(c) for c in kept],
         *[F.when(F.col("_h").isNotNull(), F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c)

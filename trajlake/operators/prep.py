@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.numbers import total_steps
 from trajlake.functions.predicates import contains_any
-from trajlake.operators.grouping import join_group_values, with_positions
+from trajlake.operators.grouping import BROADCAST_ROWS, join_group_values, with_positions
 
 SPEC_KEYS = ("repo", "version")
 GROUP_SIZE = 8
@@ -19,7 +19,7 @@ def _with_spec(df: DataFrame, specs: DataFrame) -> DataFrame:
     """Attach whether the row's (repo, version) has a spec, and its build error."""
     error = F.max("build_error") if "build_error" in specs.columns else F.lit(None).cast("string")
     known = specs.groupBy(*SPEC_KEYS).agg(error.alias("_error"), F.lit(True).alias("_known"))
-    return join_group_values(df, known, SPEC_KEYS)
+    return join_group_values(df, known, SPEC_KEYS, broadcast_rows=BROADCAST_ROWS)
 
 
 def keep_gradable(df: DataFrame, specs: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def expand_groups(df: DataFrame, group_size: int = GROUP_SIZE) -> DataFrame:
 
 def missing(required: DataFrame, present: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
     """Required names that are not present."""
-    return join_group_values(required, present, keys, how="left_anti")
+    return join_group_values(required, present, keys, how="left_anti", broadcast_rows=BROADCAST_ROWS)
 
 
 def skip_any(df: DataFrame, column: str, parts: Sequence[str]) -> DataFrame:
