@@ -57,7 +57,7 @@ def compare(df, con, sql: str) -> list[str]:
         problems.append(f"rows {len(got)} != {len(want)}")
     a, b = _rows(got_names, got), _rows(want_names, want)
     for x, y in zip(a, b):
-        if x != y:
+        if repr(x) != repr(y):  # also tells -0.0 from 0.0
             problems.append(f"first difference over {sorted(got_names)}:\n  spark  {x}\n  duckdb {y}")
             break
     return problems
