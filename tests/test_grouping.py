@@ -81,6 +81,13 @@ def test_running_sums_over_many_chunks(make, levels, hot_rows):
     assert sorted(map(tuple, out.select("k", "o", "v", "upto", "n").collect())) == sorted(want)
 
 
+def test_equally_heavy_keys_are_chosen_by_name(make):
+    from trajlake.operators.grouping import heavy_keys
+
+    df = make([(k,) for k in "dcba" for _ in range(5)] + [("z",)] * 6, "k string")
+    assert [r[0] for r in heavy_keys(df, ["k"], 5, 3).collect()] == ["z", "a", "b"]
+
+
 def test_positions_without_keys_and_with_ties(make):
     data = [(o, t) for o in (5, 70_000, 200_000, 1 << 40) for t in (1, 2)]
     out = with_positions(make(data, "o long, t long"), "o", ties=["t"])

@@ -24,7 +24,7 @@ INCOMPLETE = "IncompleteRollout"
 CRASH, AFTER_GENERATE, ERROR_STREAK, SUBMIT, AFTER_TOOLS, TURN_CAP = range(6)
 
 
-def extract_calls(turns: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
+def extract_calls(turns: DataFrame) -> DataFrame:
     """Add ``calls``, ``salvaged`` and ``attempted`` to every turn, without a shuffle.
 
     ``strict_calls`` of the input is used where present; otherwise the strict parse is
@@ -47,7 +47,7 @@ def extract_calls(turns: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFra
 
 def extract_tool_calls(turns: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
     """One row per call: ``call_idx, name, command, salvaged`` and the error it meets, if any."""
-    exploded = extract_calls(turns, keys).select(
+    exploded = extract_calls(turns).select(
         *keys, "turn", "salvaged", F.posexplode("calls").alias("call_idx", "call"))
     name, command = F.col("call.name"), F.col("call.command")
     return exploded.select(
@@ -58,7 +58,7 @@ def extract_tool_calls(turns: DataFrame, keys: Sequence[str] = TRAJECTORY) -> Da
 
 def turn_outcomes(turns: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
     """Turns reduced to the counts the episode fold needs."""
-    return extract_calls(turns, keys).select(
+    return extract_calls(turns).select(
         *keys, "turn", "gen_tokens", "tool_tokens",
         F.size("calls").cast("long").alias("n_calls"),
         F.when(F.col("salvaged"), F.size("calls")).otherwise(F.lit(0)).cast("long").alias("n_salvaged"),
@@ -73,7 +73,10 @@ def turn_states(
     max_errors: int = MAX_ERRORS,
     max_turns: int = MAX_TURNS,
 ) -> DataFrame:
-    """Running response length, error streak and the first event of every turn."""
+    """Running response length, error streak and the first event of every turn.
+
+    One row per (trajectory, turn), as recorded; the windows hold ``max_turns`` + 1 rows at most.
+    """
     rows = outcomes.filter(F.col("turn") <= max_turns)
     ordered = Window.partitionBy(*keys).orderBy("turn")
     upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -78,7 +78,7 @@ def join_group_values(
         hot_values = values.join(F.broadcast(hot), match, "inner").select(*keys, *extra)
     else:
         hot_values = (values.filter(F.col(weight) >= hot_rows)
-                      .orderBy(F.desc(weight)).limit(hot_keys))
+                      .orderBy(F.desc(weight), *keys).limit(hot_keys))
 
     hot_side = hot_values.select(*[F.col(c).alias(f"_h_{c}") for c in keys + extra], F.lit(1).alias("_h"))
 
@@ -111,9 +111,12 @@ def join_group_values(
 
 
 def heavy_keys(rows: DataFrame, keys: Sequence[str], hot_rows: int, hot_keys: int) -> DataFrame:
-    """The keys worth a special path: at most ``hot_keys``, each with ``hot_rows`` rows or more."""
+    """The keys worth a special path: at most ``hot_keys``, each with ``hot_rows`` rows or more.
+
+    Equal counts are ordered by key: wherever a plan asks twice, it gets the same keys.
+    """
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") >= hot_rows)
-    return counts.orderBy(F.desc("_rows")).limit(hot_keys).select(*[F.col(k).alias(f"_w_{k}") for k in keys])
+    return counts.orderBy(F.desc("_rows"), *keys).limit(hot_keys).select(*[F.col(k).alias(f"_w_{k}") for k in keys])
 
 
 def _chunked_sums(

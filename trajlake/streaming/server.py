@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +69,7 @@ def close_steps(
 
 def stream_server_summary(
     scrapes: DataFrame,
-    steps: DataFrame,
+    steps: DataFrame | Callable[[SparkSession], DataFrame],
     store: str,
     out: str,
     checkpoint: str,
@@ -82,7 +84,8 @@ def stream_server_summary(
     A step has ended when a sample at or after its end (after it, if inclusive) arrived;
     ``grace`` seconds are waited on top where samples may arrive out of order. Windows are half open
     unless ``inclusive_end``. ``scrapes`` carries ``(t, text)``, or tracked metric columns
-    when ``parsed``. Call ``close_steps`` with ``horizon=None`` after the last trigger to
+    when ``parsed``. ``steps`` may be a function that reads the step table anew at every
+    trigger. Call ``close_steps`` with ``horizon=None`` after the last trigger to
     close what is left.
     """
     def publish(batch: DataFrame, batch_id: int) -> None:
@@ -95,7 +98,8 @@ def stream_server_summary(
         latest.write.mode("overwrite").parquet(f"{out}/horizon/batch={batch_id}")
         horizon = spark.read.schema("t double").parquet(f"{out}/horizon").agg(F.max("t")).first()[0]
         if horizon is not None:
-            close_steps(spark, steps, store, out, batch_id, horizon=horizon - grace, capacity=capacity,
+            known = steps(spark) if callable(steps) else steps
+            close_steps(spark, known, store, out, batch_id, horizon=horizon - grace, capacity=capacity,
                         inclusive_end=inclusive_end)
 
     return scrapes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(publish)
