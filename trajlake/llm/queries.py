@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm import exact, orc, packing, sharding
+from trajlake.llm import decontaminate, exact, language, orc, packing, quality, sharding
 from trajlake.llm.common import documents, work_path
 from trajlake.llm.tokens import public_tokenizer
 
@@ -44,6 +44,26 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+@query("op6_language_id")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query("op8_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+
+
+@query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.rate_documents(documents(spark, sf_dir), ratings(spark, sf_dir))
+
+
 @query("op10_orc_tokens")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc.with_crc32(orc.encode_to_orc(
