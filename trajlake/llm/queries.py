@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm import decontaminate, exact, jaccard, language, orc, packing, quality, sharding
+from trajlake.llm import decontaminate, exact, jaccard, language, orc, packing, quality, sharding, suffix
 from trajlake.llm.common import documents, work_path
 from trajlake.llm.tokens import public_tokenizer
 
@@ -67,6 +67,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+@query("op7_suffix_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, sf_dir), width=50, keep_text=False)
+
+
 @query("op8_decontamination")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
