@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm import decontaminate, exact, jaccard, language, orc, packing, quality, sharding, suffix
+from trajlake.llm import decontaminate, exact, jaccard, language, orc, packing, privacy, quality, sharding, suffix
 from trajlake.llm.common import documents, work_path
 from trajlake.llm.tokens import public_tokenizer
 
@@ -24,6 +24,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_personal_data")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = privacy.find_personal_data(documents(spark, sf_dir), keep_text=False)
+    base = tuple(privacy.PATTERNS)
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *map(count, base), F.sha2(privacy.span_texts(F.col("spans"), base), 256).alias("base_sha256"),
+        privacy.span_texts(F.col("spans"), privacy.KINDS).alias("spans"))
+
+
 @query("op2_sharding")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir)).drop("row_number")
