@@ -41,11 +41,30 @@ SALVAGE = [
 def test_salvage_fixtures(make):
     df = make([(i, wrap(p)) for i, (p, _) in enumerate(SALVAGE)], "i long, raw string")
     blocks = df.withColumn("b", tc.closed_blocks(F.col("raw")))
-    out = blocks.withColumn("d", tc.decode_blocks(F.col("b"))).select("i", tc.salvage_calls(F.col("b"), F.col("d")).alias("c"))
+    out = tc.readable_blocks(blocks, "b", "r").withColumn("d", tc.decode_blocks(F.col("r"))).select("i", tc.salvage_calls(F.col("b"), F.col("d")).alias("c"))
     got = {r.i: tuple(r.c[0]) if r.c else None for r in out.collect()}
     assert got == {i: want for i, (_, want) in enumerate(SALVAGE)}
 
 
+STRICT = [
+    ('{"name":"bash","arguments":"{\\"command\\":\\"ls\\"}"}', ("bash", "ls")),  # argument text that is JSON counts as decoded
+    ('{"name":"bash","arguments":"{\\"command\\":\\"a\\",\\"command\\":\\"b\\"}"}', ("bash", "b")),
+    ('{"name":"bash","arguments":"ls -l"}', ("bash", "")),
+    ('{"name":7,"arguments":null}', ("", "")),
+    ('{"name":"x","arguments":{"command":5}}', ("x", "5")),
+    ('{"name":"x","arguments":{"command":[]}}', ("x", "")),
+    ('{"name":"x"}', None),
+    ('{"name":"x","arguments":{}}],[0', None),
+    ('{"name":"x","arguments":{}},1', None),
+]
+
+
+def test_strict_fixtures(make):
+    df = make([(i, [p]) for i, (p, _) in enumerate(STRICT)], "i long, b array<string>")
+    out = tc.readable_blocks(df, "b", "r").select("i", tc.strict_calls(tc.decode_blocks(F.col("r"))).alias("c"))
+    assert {r.i: tuple(r.c[0]) if r.c else None for r in out.collect()} == {i: want for i, (_, want) in enumerate(STRICT)}
+
+
 def turn_calls(make, rows, schema="trajectory_id long, turn long, raw_text string"):
     return {r.trajectory_id: r for r in extract_calls(make(rows, schema)).collect()}
 
@@ -203,7 +222,7 @@ def test_random_payloads(make):
     heads = ['{"name":"bash","arguments":{"command":"', '{"name": "x", "arguments": {"command": "', '{"name":"a\\"b","arguments":{"command":"']
     payloads = [rng.choice(heads) + "".join(rng.choice(bits) for _ in range(rng.randrange(7))) + '"}}' for _ in range(1500)]
     df = make([(i, [p]) for i, p in enumerate(payloads)], "i long, b array<string>")
-    got = {r.i: r.d[0] for r in df.withColumn("d", tc.decode_blocks(F.col("b"))).collect()}
+    got = {r.i: r.d[0] for r in tc.readable_blocks(df, "b", "r").withColumn("d", tc.decode_blocks(F.col("r"))).collect()}
     for i, payload in enumerate(payloads):
         try:
             obj = json.loads(payload)

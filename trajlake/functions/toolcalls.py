@@ -5,9 +5,8 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from trajlake.functions.text import attempted, strip_space
 
@@ -21,13 +20,6 @@ MISSING_COMMAND = "Missing 'command' argument in bash tool call."
 UNKNOWN_TOOL = "Unknown tool '%s'. Only 'bash' is available."
 
 CALL = "struct<name:string,command:string>"
-DECODED = T.ArrayType(T.StructType([
-    T.StructField("strict", T.BooleanType()),
-    T.StructField("name", T.StringType()),
-    T.StructField("command", T.StringType()),
-    T.StructField("near_name", T.StringType()),
-    T.StructField("near_command", T.StringType()),
-]))
 
 
 def closed_blocks(text: Column) -> Column:
@@ -36,77 +28,102 @@ def closed_blocks(text: Column) -> Column:
     return F.transform(F.coalesce(found, F.array().cast("array<string>")), strip_space)
 
 
-def _loads(payload: str):
-    """``(parsed, value)``: exact JSON acceptance, as the built-in parser has it."""
-    try:
-        return True, json.loads(payload)
-    except (ValueError, TypeError, RecursionError):
-        return False, None
+def parsed(text: Column) -> Column:
+    """The JSON value of a text as a variant; null if the text is not one JSON value and nothing else.
 
+    Set between brackets and before a zero, text after the value breaks the syntax or shifts the zero.
+    """
+    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+    alone = (F.try_variant_get(whole, "$[1]", "int") == 0) & F.try_variant_get(whole, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(whole, "$[0]", "variant"))
 
-def _text(value) -> str:
-    """Arrow-safe text (a lone surrogate cannot be encoded)."""
-    return value.encode("utf-8", "replace").decode("utf-8")
 
+def _field(value: Column, key: str) -> Column:
+    return F.try_variant_get(value, f"$.{key}", "variant")
 
-def strict_command(arguments) -> str:
-    """Command inside a call's arguments (JSON text or a decoded object); '' if unusable."""
-    if isinstance(arguments, str):
-        arguments = _loads(arguments or "{}")[1]
-    command = arguments.get("command", "") if isinstance(arguments, dict) else ""
-    if not isinstance(command, str):
-        command = json.dumps(command) if command else ""
-    return _text(command)
 
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
 
-def _near_call(payload):
-    """``(name, command)`` of a decodable payload that is close enough to a call."""
-    if not isinstance(payload, dict):
-        return None, None
-    name = payload.get("name")
-    name = _text(name) if isinstance(name, str) else BASH
-    arguments = payload.get("arguments")
-    if isinstance(arguments, str):
-        is_json, decoded = _loads(arguments)
-        if not is_json:
-            return name, _text(arguments)
-        arguments = decoded
-    for holder in (arguments, payload):
-        if isinstance(holder, dict) and isinstance(holder.get("command"), str):
-            return name, _text(holder["command"])
-    return None, None
 
+def _text(value: Column) -> Column:
+    """Text of a JSON string, null for any other value."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
-def _decode_block(block: str) -> dict:
-    parsed, payload = _loads(block)
-    out = {"strict": False, "name": None, "command": None, "near_name": None, "near_command": None}
-    if not parsed:
-        return out
-    if isinstance(payload, dict) and "name" in payload and "arguments" in payload:
-        name = payload["name"]
-        out.update(strict=True, name=_text(name) if isinstance(name, str) else "",
-                   command=strict_command(payload["arguments"]))
-    out["near_name"], out["near_command"] = _near_call(payload)
-    return out
 
+def _command(arguments: Column) -> Column:
+    """Command of a call with decoded arguments: text as it is, other values as compact JSON, '' for empty ones."""
+    given = _field(F.when(_is_object(arguments), arguments), "command")
+    shown = F.to_json(given)
+    return F.coalesce(_text(given), F.when(~shown.isin("null", "false", "0", "[]", "{}"), shown), F.lit(""))
 
-def decode_series(blocks: pd.Series) -> pd.Series:
-    return blocks.map(lambda row: [_decode_block(b) for b in row] if row is not None else [])
 
+def arguments_command(arguments: Column) -> Column:
+    """Command of a call whose arguments are JSON text; '' if they are no object with one."""
+    return F.coalesce(_command(parsed(arguments)), F.lit(""))
 
-def strict_command_series(arguments: pd.Series) -> pd.Series:
-    return arguments.map(lambda a: strict_command(a) if a is not None else "")
 
+def _may_be_json(text: Column) -> Column:
+    """Whether a text that ``parsed`` rejects may still be an object with repeated keys or NaN, which some parsers take."""
+    return parsed(text).isNull() & text.rlike(r"(?s)^\s*\{.*\}\s*$")
 
-def decode_blocks(blocks: Column) -> Column:
-    """Decode the payloads of one turn. Only JSON acceptance needs Python; rows without
-    a block carry an empty array through Arrow."""
-    return F.pandas_udf(decode_series, DECODED)(blocks)
 
+def _open_block(block: Column) -> Column:
+    inner = _text(_field(parsed(block), "arguments"))
+    return _may_be_json(block) | F.coalesce(_may_be_json(inner), F.lit(False))
 
-def arguments_command(arguments: Column) -> Column:
-    """Command of a call whose arguments are JSON text."""
-    return F.pandas_udf(strict_command_series, "string")(arguments)
+
+def _rewritten(blocks: pd.Series) -> pd.Series:
+    """Payloads written anew by the JSON module, so that repeated keys and NaN are gone; others unchanged."""
+    def again(text: str, depth: int = 1) -> str:
+        try:
+            value = json.loads(text, parse_constant=str)
+        except (ValueError, RecursionError):
+            return text
+        if depth and isinstance(value, dict) and isinstance(value.get("arguments"), str):
+            value["arguments"] = again(value["arguments"], 0)
+        return json.dumps(value, ensure_ascii=False).encode("utf-8", "replace").decode()
+
+    return blocks.map(lambda row: [again(block) for block in row])
+
+
+def readable_blocks(df: DataFrame, blocks: str, name: str) -> DataFrame:
+    """Add the payloads of ``blocks`` in a form that ``parsed`` decides.
+
+    Only rows with a payload that may be JSON in spite of it go through Python, in a branch of their own.
+    """
+    undecided = F.exists(F.col(blocks), _open_block)
+    return df.filter(~undecided).withColumn(name, F.col(blocks)).unionByName(
+        df.filter(undecided).withColumn(name, F.pandas_udf(_rewritten, "array<string>")(F.col(blocks))))
+
+
+def decode_blocks(blocks: Column) -> Column:
+    """Per payload: whether it is a strict call, the call, and the near-miss call.
+
+    A strict call is an object with ``name`` and ``arguments``. Arguments may be an object or JSON text of
+    one; a command that cannot be read is empty. A near miss needs an object only: its name defaults to
+    the shell, its command is the argument text itself where that is no JSON, else the ``command`` of the
+    arguments or of the object.
+    """
+    values = F.transform(blocks, lambda b: F.struct(parsed(b).alias("value")))
+    fields = F.transform(values, lambda x: F.struct(
+        _is_object(x["value"]).alias("object"), _field(x["value"], "name").alias("name"),
+        _field(x["value"], "arguments").alias("arguments"), _text(_field(x["value"], "command")).alias("command")))
+    texts = F.transform(fields, lambda x: F.struct(
+        x["object"].alias("object"), x["command"].alias("command"),
+        (x["object"] & x["name"].isNotNull() & x["arguments"].isNotNull()).alias("strict"),
+        _text(x["name"]).alias("name"), x["arguments"].alias("arguments"), _text(x["arguments"]).alias("text")))
+    inner = F.transform(texts, lambda x: F.struct(
+        x["object"].alias("object"), x["command"].alias("command"), x["strict"].alias("strict"), x["name"].alias("name"),
+        x["text"].alias("text"), F.coalesce(parsed(x["text"]), F.when(x["text"].isNull(), x["arguments"])).alias("inner")))
+    return F.transform(inner, lambda x: F.struct(
+        x["strict"].alias("strict"),
+        F.when(x["strict"], F.coalesce(x["name"], F.lit(""))).alias("name"),
+        F.when(x["strict"], F.coalesce(_command(x["inner"]), F.lit(""))).alias("command"),
+        F.when(x["object"], F.coalesce(x["name"], F.lit(BASH))).alias("near_name"),
+        F.when(x["object"] & x["text"].isNotNull() & x["inner"].isNull(), x["text"])
+        .when(x["object"], F.coalesce(_text(_field(F.when(_is_object(x["inner"]), x["inner"]), "command")), x["command"]))
+        .alias("near_command")))
 
 
 def unescape_once(text: Column) -> Column:

@@ -31,7 +31,8 @@ def extract_calls(turns: DataFrame) -> DataFrame:
     made from ``raw_text``. Salvage applies only to a turn whose strict parse is empty.
     """
     blocks = turns.withColumn("_blocks", toolcalls.closed_blocks(F.coalesce(F.col("raw_text"), F.lit(""))))
-    decoded = blocks.withColumn("_decoded", toolcalls.decode_blocks(F.col("_blocks")))
+    decoded = toolcalls.readable_blocks(blocks, "_blocks", "_readable").withColumn(
+        "_decoded", toolcalls.decode_blocks(F.col("_readable")))
     parsed = toolcalls.strict_calls(F.col("_decoded"))
     if "strict_calls" in turns.columns:
         given = F.col("strict_calls").cast(f"array<{toolcalls.CALL}>")
@@ -42,7 +43,7 @@ def extract_calls(turns: DataFrame) -> DataFrame:
     return with_strict.withColumn(
         "calls", F.when(use_salvage, repaired).otherwise(F.col("_strict"))).withColumn(
         "salvaged", use_salvage & (F.size("calls") > 0)).withColumn(
-        "attempted", attempted(F.col("raw_text"))).drop("_blocks", "_decoded", "_strict")
+        "attempted", attempted(F.col("raw_text"))).drop("_blocks", "_readable", "_decoded", "_strict")
 
 
 def extract_tool_calls(turns: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
