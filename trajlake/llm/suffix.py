@@ -7,28 +7,26 @@ neighbours are verified byte by byte.
 To sort only what can repeat, each window of ``width`` bytes is filed under its anchor: of its
 ``GRAM``-byte strings the one with the least hash. Equal windows have equal anchors, at equal places, so
 windows need comparing only within an anchor. Anchors that occur in one document only drop out; of the others the
-bytes around them (all that a window with that anchor can hold) are sorted once per distinct context and
-unit. All steps pass packed arrays between units (rows by hash of id and text) and buckets (anchors by hash).
+bytes around them (all that a window with that anchor can hold) are sorted, each distinct context once.
+All steps pass packed arrays between units (rows by hash of id and text) and buckets (anchors by hash).
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from trajlake.llm.common import id_and_text, mix, prefix_hashes, segment_hashes, stored, text_buffers
+from trajlake.llm import units as U
+from trajlake.llm.common import mix, prefix_hashes, segment_hashes
+from trajlake.llm.units import NO_ID, UNIT_BYTES, packed
 
-GRAM = 16
-UNIT_BYTES = 8 << 20
+GRAM = 20
 # Positions per numpy step.
 STEP = 1 << 20
-NO_ID = np.iinfo(np.int64).min
 NONE = np.iinfo(np.int64).max
 
 
@@ -63,102 +61,6 @@ def anchors(text: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarra
     return np.searchsorted(bounds, place, side="right") - 1, place, hashed[first]
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray(x).tobytes()
-
-
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, units, bytes, bounds) of each batch of (doc_id, unit, text)."""
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(2))
-        ids = batch.column(0).fill_null(NO_ID).to_numpy()
-        yield ids, batch.column(1).to_numpy(), data[offsets[0]:offsets[-1]], offsets - offsets[0]
-
-
-def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a unit as one compressed row: ids, lengths and texts."""
-    for ids, units, data, bounds in _rows(batches):
-        order = np.argsort(units, kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(units[order]) != 0)) if len(order) else []
-        out = []
-        for first, last in zip(cut, [*cut[1:], len(order)]):
-            own = order[first:last]
-            body = b"".join(data[bounds[i]:bounds[i + 1]].tobytes() for i in own.tolist())
-            out.append((int(units[own[0]]), _pack(ids[own]), _pack(np.diff(bounds)[own]), zstandard.compress(body, 1)))
-        yield pa.RecordBatch.from_arrays([
-            pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3)),
-            *[pa.nulls(len(out), pa.binary())] * 2], ["unit", "ids", "lengths", "body", "tag", "found"])
-
-
-_UNIT_SCHEMA = "unit int, ids binary, lengths binary, body binary, tag binary, found binary"
-
-
-def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[bytes, bytes]]]:
-    """ids, text, bounds of a unit, in an order that depends on its rows only, and what was found for it."""
-    rows, found = [], []
-    for ids, lengths, body, tag, hit in zip(*(table.column(c).to_pylist() for c in ("ids", "lengths", "body", "tag", "found"))):
-        if body is None:
-            found.append((tag, hit))
-        else:
-            rows.append((np.frombuffer(ids, np.int64), np.frombuffer(lengths, np.int64), np.frombuffer(zstandard.decompress(body), np.uint8)))
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.uint8), np.zeros(1, np.int64), found
-    ids, lengths = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-    return ids, np.concatenate([r[2] for r in rows]), np.append(0, np.cumsum(lengths)), found
-
-
-def _file_anchors(width: int, buckets: int):
-    """Task: per bucket, the distinct (anchor, unit) of its rows; the lowest bit tells that two rows hold it."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, units, data, bounds in _rows(batches):
-            row, _, hashed = anchors(data, bounds, width)
-            order = np.lexsort((row, units[row], hashed))
-            h, u, r = hashed[order], units[row][order], row[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (u[1:] != u[:-1]))[:len(h)]
-            group = np.cumsum(new) - 1
-            start = np.flatnonzero(new)
-            more = np.zeros(len(start), bool)
-            other = np.flatnonzero(r != r[start][group]) if len(h) else []
-            more[group[other]] = True
-            h, u = (h[start] & ~np.uint64(1)) | more.astype(np.uint64), u[start]
-            bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            cut = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)) if len(by) else np.empty(0, np.int64)
-            ends = np.append(cut[1:], len(by))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(bucket[by][cut]), pa.array([_pack(h[by[i:j]]) for i, j in zip(cut, ends)], pa.binary()),
-                pa.array([_pack(u[by[i:j]].astype(np.int32)) for i, j in zip(cut, ends)], pa.binary())], ["bucket", "h", "unit"])
-
-    return task
-
-
-def _unit_rows(unit: np.ndarray, parts: list[Callable[[np.ndarray], bytes]]) -> pa.Table:
-    """One found row per unit; each part packs the entries of a unit."""
-    order = np.argsort(unit, kind="stable")
-    cut = np.flatnonzero(np.append(True, np.diff(unit[order]) != 0)) if len(order) else np.empty(0, np.int64)
-    groups = [order[i:j] for i, j in zip(cut, [*cut[1:], len(order)])]
-    none = pa.nulls(len(groups), pa.binary())
-    return pa.table([pa.array([unit[g[0]] for g in groups], pa.int32()), none, none, none,
-                     *(pa.array([p(g) for g in groups], pa.binary()) for p in parts)],
-                    ["unit", "ids", "lengths", "body", "tag", "found"])
-
-
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Per unit, the anchors of a bucket that two documents hold."""
-    h = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("h").to_pylist()])
-    unit = np.concatenate([np.frombuffer(x, np.int32) for x in table.column("unit").to_pylist()])
-    order = np.argsort(h, kind="stable")
-    h, unit = h[order], unit[order]
-    name = h >> np.uint64(1)
-    new = np.append(True, name[1:] != name[:-1])
-    start = np.flatnonzero(new)
-    size = np.diff(np.append(start, len(h)))
-    shared = (size > 1) | (np.bitwise_or.reduceat(h, start) & np.uint64(1)).astype(bool)
-    keep = np.repeat(shared, size)
-    name, unit = name[keep], unit[keep]
-    return _unit_rows(unit, [lambda g: b"", lambda g: _pack(np.unique(name[g]))])
-
-
 def _contexts(text: np.ndarray, bounds: np.ndarray, row: np.ndarray, place: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes that windows around each anchor can hold, zero-filled to a common length, and how many there are left and right."""
     left_max, total = width - GRAM, 2 * width - GRAM
@@ -190,73 +92,66 @@ def _distinct(context: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
         seed += 100  # two contexts under one key: try other keys
 
 
-def _shared_contexts(text: np.ndarray, bounds: np.ndarray, known: np.ndarray, width: int):
-    """Row, place, hash and distinct context of the anchors in ``known`` (sorted, without their lowest bit)."""
-    row, place, hashed = anchors(text, bounds, width)
-    name = hashed >> np.uint64(1)
-    at = np.minimum(np.searchsorted(known, name), max(len(known) - 1, 0))
-    hit = known[at] == name if len(known) else np.zeros(len(name), bool)
-    row, place, name = row[hit], place[hit], name[hit]
-    context, ends = _contexts(text, bounds, row, place, width)
-    first, of = _distinct(context, ends)
-    return row, place, name, context, ends, first, of
-
-
 def _send_contexts(width: int, buckets: int):
     """Per unit: its distinct contexts, packed per bucket, each with the least and greatest id that holds it."""
     def unit_task(table: pa.Table) -> pa.Table:
         unit = table.column("unit")[0].as_py()
-        ids, text, bounds, found = _unpack(table)
-        known = np.unique(np.concatenate([np.frombuffer(x[1], np.uint64) for x in found] or [np.empty(0, np.uint64)]))
-        row, _, name, context, ends, first, of = _shared_contexts(text, bounds, known, width)
+        ids, _, text, bounds, found = U.unpacked(table)
+        row, place, hashed = anchors(text, bounds, width)
+        hit = U.levels_of(U.names(hashed, buckets), U.known_names(found)) > 0
+        row, place, hashed = row[hit], place[hit], hashed[hit]
+        context, ends = _contexts(text, bounds, row, place, width)
+        first, of = _distinct(context, ends)
         low, high = np.full(len(first), NONE), np.full(len(first), NO_ID)
         np.minimum.at(low, of, ids[row])
         np.maximum.at(high, of, ids[row])
-        key, context, ends, h = _context_keys(context[first], ends[first], 7), context[first], ends[first], name[first]
-        bucket = ((h >> np.uint64(31)) % np.uint64(buckets)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        cut = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)) if len(by) else np.empty(0, np.int64)
-        groups = [by[i:j] for i, j in zip(cut, [*cut[1:], len(by)])]
-        columns = {"bucket": pa.array([bucket[g[0]] for g in groups], pa.int32()), "unit": pa.array([unit] * len(groups), pa.int32())}
-        for c, x in (("h", h), ("key", key), ("context", context), ("ends", ends), ("low", low), ("high", high)):
-            columns[c] = pa.array([_pack(x[g]) for g in groups], pa.binary())
+        context, ends, hashed = context[first], ends[first], hashed[first]
+        groups = U.groups_of(U.bucket_of(hashed, buckets))
+        columns = {"bucket": pa.array([int(U.bucket_of(hashed[g[:1]], buckets)[0]) for g in groups], pa.int32()),
+                   "unit": pa.array([unit] * len(groups), pa.int32())}
+        for c, x in (("context", context), ("ends", ends), ("low", low), ("high", high)):
+            columns[c] = pa.array([zstandard.compress(packed(x[g]), 1) for g in groups], pa.binary())
         return pa.table(columns)
 
     return unit_task
 
 
 class Suffixes:
-    """Suffixes of a byte array, compared over at most ``width`` bytes by prefix hashes."""
+    """Suffixes of the rows of a byte matrix that start at one column, compared over ``width`` bytes.
 
-    def __init__(self, text: np.ndarray, width: int):
-        self.text, self.width = text, width
-        self.prefix = prefix_hashes(text)
+    Prefix hashes run from the start of each row, so two stretches at the same columns are equal if the
+    differences of their prefix hashes are.
+    """
+
+    def __init__(self, rows: np.ndarray, column: int, width: int):
+        self.rows, self.column, self.width = rows, column, width
+        powers = np.multiply.accumulate(np.full(rows.shape[1], 0x9E3779B97F4A7C15, np.uint64))
+        self.prefix = np.zeros((len(rows), rows.shape[1] + 1), np.uint64)
+        np.cumsum(mix(rows.astype(np.uint64), 43) * powers, axis=1, out=self.prefix[:, 1:])
         self.steps = [1 << k for k in range(width.bit_length() - 1, -1, -1)]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, up to ``width``: binary search over hashes."""
         at = np.zeros(len(a), np.int64)
+        base = self.prefix[a, self.column] - self.prefix[b, self.column]
         for step in self.steps:
-            longer = at + step
-            fits = longer <= self.width
-            x, y = a + np.where(fits, longer, 0), b + np.where(fits, longer, 0)
-            same = fits & (segment_hashes(self.prefix, a + at, np.maximum(x, a + at)) == segment_hashes(self.prefix, b + at, np.maximum(y, b + at)))
-            at[same] += step
+            to = np.minimum(at + step, self.width)
+            same = self.prefix[a, self.column + to] - self.prefix[b, self.column + to] == base
+            at = np.where(same, to, at)
         return at
 
     def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether suffix a stands before b; equal ones where ``or_equal``."""
         n = self.common(a, b)
-        whole = n >= self.width
-        x, y = (self.text[np.minimum(s + n, len(self.text) - 1)] for s in (a, b))
-        return np.where(whole, or_equal, x < y)
+        at = self.column + np.minimum(n, self.width - 1)
+        return np.where(n >= self.width, or_equal, self.rows[a, at] < self.rows[b, at])
 
-    def sort(self, group: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    def sort(self, group: np.ndarray) -> np.ndarray:
         """Order of the suffixes within each group (``group`` ascending): mergesort, all runs of a level at once.
 
         Each suffix finds its rank in the neighbouring run by binary search; place = own place + rank.
         """
-        n = len(suffix)
+        n = len(group)
         order = np.arange(n)
         start = np.searchsorted(group, group)
         size = np.searchsorted(group, group, side="right") - start
@@ -266,15 +161,14 @@ class Suffixes:
             inner = live - start[live]
             mine = inner // run
             right = mine % 2 == 1
-            sibling = start[live] + (mine ^ 1) * run
             end = start[live] + size[live]
-            low = np.minimum(sibling, end)
-            base, high = low.copy(), np.minimum(sibling + run, end)
-            own = suffix[order[live]]
+            low = np.minimum(start[live] + (mine ^ 1) * run, end)
+            base, high = low.copy(), np.minimum(low + run, end)
+            own = order[live]
             while (open_ := np.flatnonzero(low < high)).size:
                 middle = (low[open_] + high[open_]) // 2
                 # From the left run, what equals comes after; from the right run, before.
-                before = self.less(suffix[order[middle]], own[open_], right[open_])
+                before = self.less(order[middle], own[open_], right[open_])
                 low[open_] = np.where(before, middle + 1, low[open_])
                 high[open_] = np.where(before, high[open_], middle)
             place = start[live] + (mine // 2) * 2 * run + inner % run + (low - base)
@@ -288,58 +182,74 @@ def least_ids(group: np.ndarray, context: np.ndarray, ends: np.ndarray, low: np.
     """Per context and window around its anchor, the least id of a document that holds the window.
 
     ``group`` (ascending) names the anchor. Column l stands for the window that starts l bytes before
-    the anchor; NONE if the document ends before.
+    the anchor; NONE if the document ends before. Contexts are sorted once by what follows their anchor:
+    those that agree on ``width - l`` bytes from there stand next to each other. Among them, those with the
+    same l bytes before the anchor hold the same window; their bytes are compared.
     """
-    n, span = len(context), width - GRAM + 1
-    out = np.full((n, span), NONE)
+    n, middle = len(context), width - GRAM
+    out = np.full((n, middle + 1), NONE)
+    if not n:
+        return out
     left, right = ends // 256, ends % 256
-    stride = context.shape[1]
-    suffixes = Suffixes(context.ravel(), width)
-    alone = np.ones(n, bool)
-    alone[1:] &= group[1:] != group[:-1]
-    alone[:-1] &= group[1:] != group[:-1]
-    for l in range(span):
-        valid = (left >= l) & (right >= width - l)
-        single = valid & alone
-        out[single, l] = low[single]
-        many = np.flatnonzero(valid & ~alone)
-        if not len(many):
+    suffixes = Suffixes(context, middle, width)
+    order = suffixes.sort(group)
+    same_group = group[order][1:] == group[order][:-1]
+    extension = np.where(same_group, suffixes.common(order[:-1], order[1:]), -1)
+    context, low_, left, right, prefix = context[order], low[order], left[order], right[order], suffixes.prefix[order]
+    result = np.full((n, middle + 1), NONE)
+    for l in range(middle + 1):
+        valid = np.flatnonzero((left >= l) & (right >= width - l))
+        if not len(valid):
             continue
-        at = many * stride + (width - GRAM) - l
-        order = suffixes.sort(group[many], at)
-        a, g = at[order], group[many][order]
-        same = np.zeros(len(a), bool)
-        near = np.flatnonzero(g[1:] == g[:-1])
-        near = near[suffixes.common(a[near], a[near + 1]) >= width]
-        bytes_at = np.arange(width)
-        equal = (suffixes.text[a[near][:, None] + bytes_at] == suffixes.text[a[near + 1][:, None] + bytes_at]).all(1)
-        same[near[equal] + 1] = True
-        head = np.flatnonzero(~same)
-        least = np.minimum.reduceat(low[many][order], head)
-        out[many[order], l] = np.repeat(least, np.diff(np.append(head, len(a))))
+        segment = np.append(0, np.cumsum(extension < width - l))[valid]
+        before = prefix[valid, middle] - prefix[valid, middle - l]
+        key = mix(before, 44) ^ mix(segment.astype(np.uint64), 45)
+        at = np.argsort(key)
+        ranked = valid[at]
+        new = np.append(True, key[at][1:] != key[at][:-1])
+        head = np.flatnonzero(new)
+        size = np.diff(np.append(head, len(ranked)))
+        many = np.repeat(size > 1, size)
+        if many.any():  # verified by bytes; a row that differs from the head of its class stands alone
+            rows, heads = ranked[many], np.repeat(ranked[head], size)[many]
+            equal = (context[rows, middle - l:middle - l + width] == context[heads, middle - l:middle - l + width]).all(1)
+            if not equal.all():
+                wrong = rows[~equal]
+                result[wrong, l] = low_[wrong]
+                keep = np.ones(len(ranked), bool)
+                keep[np.flatnonzero(many)[~equal]] = False
+                ranked, new = ranked[keep], new[keep]
+                head = np.flatnonzero(new)
+                size = np.diff(np.append(head, len(ranked)))
+        result[ranked, l] = np.repeat(np.minimum.reduceat(low_[ranked], head), size)
+    out[order] = result
     return out
 
 
 def _settle(width: int):
-    """Per bucket: the answers for each unit's contexts, as (key, anchor) and least ids per window."""
+    """Per bucket: the answers for each unit's contexts, as keys and least ids per window."""
     stride = -(-(2 * width - GRAM) // 8) * 8
 
     def bucket_task(table: pa.Table) -> pa.Table:
-        cols = {c: [np.frombuffer(x, t) for x in table.column(c).to_pylist()] for c, t in (
-            ("h", np.uint64), ("key", np.uint64), ("context", np.uint8), ("ends", np.int32), ("low", np.int64), ("high", np.int64))}
-        unit = np.repeat(np.array(table.column("unit").to_pylist()), [len(x) for x in cols["h"]])
-        h, key, context, ends, low, high = (np.concatenate(cols[c]) for c in ("h", "key", "context", "ends", "low", "high"))
+        ends, context, low, high = (
+            [np.frombuffer(zstandard.decompress(x), t) for x in table.column(c).to_pylist()]
+            for c, t in (("ends", np.int32), ("context", np.uint8), ("low", np.int64), ("high", np.int64)))
+        unit = np.repeat(np.array(table.column("unit").to_pylist(), np.int32), [len(x) for x in ends])
+        ends, context, low, high = (np.concatenate(x) for x in (ends, context, low, high))
         context = context.reshape(-1, stride)
         first, of = _distinct(context, ends)
         least = np.full(len(first), NONE)
         np.minimum.at(least, of, low)
-        order = np.argsort(h[first], kind="stable")
+        gram = np.ascontiguousarray(context[first, width - GRAM:width])
+        _, group = np.unique(gram.view(f"V{GRAM}").ravel(), return_inverse=True)
+        order = np.argsort(group, kind="stable")
         answer = np.empty((len(first), width - GRAM + 1), np.int64)
-        answer[order] = least_ids(h[first][order], context[first][order], ends[first][order], least[order], width)
+        answer[order] = least_ids(group[order], context[first][order], ends[first][order], least[order], width)
         answer = answer[of]
         useful = np.flatnonzero(answer.min(1) < high)
-        answer, unit, key = answer[useful], unit[useful], key[useful]
-        return _unit_rows(unit, [lambda g: _pack(key[g]), lambda g: zstandard.compress(_pack(answer[g]), 1)])
+        key = _context_keys(context[useful], ends[useful], 7)
+        answer, unit = answer[useful], unit[useful]
+        return U.answers(unit, lambda g: packed(key[g]), lambda g: zstandard.compress(packed(answer[g]), 1))
 
     return bucket_task
 
@@ -349,7 +259,7 @@ def _remove(width: int, keep_text: bool):
     span = width - GRAM + 1
 
     def unit_task(table: pa.Table) -> pa.Table:
-        ids, text, bounds, found = _unpack(table)
+        ids, _, text, bounds, found = U.unpacked(table)
         covered = np.zeros(len(text) + 1, np.int32)
         if found:
             key = np.concatenate([np.frombuffer(x[0], np.uint64) for x in found])
@@ -398,17 +308,16 @@ def remove_repeats(docs: DataFrame, *, width: int = 50, id_col: str = "doc_id",
     """
     if not GRAM < width < 128:
         raise ValueError(f"width must lie between {GRAM} and 128")
-    raw = id_and_text(docs, id_col, text_col)
-    size = raw.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    units = buckets = max(1, -(-size // unit_bytes))
-    rows = raw.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int").alias("unit"), "text")
-    shared = stored(
-        rows.mapInArrow(_file_anchors(width, buckets), "bucket int, h binary, unit binary").groupBy("bucket").applyInArrow(
-            _shared_anchors, _UNIT_SCHEMA), "op7-anchors")
-    packed = rows.mapInArrow(_pack_texts, _UNIT_SCHEMA)
-    contexts = packed.unionByName(shared).groupBy("unit").applyInArrow(
-        _send_contexts(width, buckets), "bucket int, unit int, h binary, key binary, context binary, ends binary, low binary, high binary")
-    answers = stored(contexts.groupBy("bucket").applyInArrow(_settle(width), _UNIT_SCHEMA), "op7-answers")
-    return packed.unionByName(answers).groupBy("unit").applyInArrow(
+    rows, units = U.dealt(docs, id_col, text_col, unit_bytes)
+
+    def tags(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, _, hashed = anchors(data, bounds, width)
+        return row, hashed
+
+    texts = U.packed_texts(rows)
+    contexts = texts.unionByName(U.shared_tags(rows, tags, units)).groupBy("unit").applyInArrow(
+        _send_contexts(width, units), "bucket int, unit int, context binary, ends binary, low binary, high binary")
+    answers = contexts.groupBy("bucket").applyInArrow(_settle(width), U.SCHEMA)
+    return texts.unionByName(answers).groupBy("unit").applyInArrow(
         _remove(width, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
         + (", kept binary" if keep_text else ""))
