@@ -59,7 +59,7 @@ def test_quality_on_unseen_ratings(spark, table):
     seen = rated.filter(F.xxhash64("doc_id") % 3 != 0)
     model_out = quality.rate_documents(table, seen).join(rated.filter(F.xxhash64("doc_id") % 3 == 0), "doc_id")
     kept = {r.grade: r.kept for r in model_out.groupBy("grade").agg(F.avg(F.col("keep").cast("double")).alias("kept")).collect()}
-    assert kept[0] < 0.08 and kept[1] < 0.35 and kept[2] > 0.97
+    assert kept[0] < 0.05 and kept[1] < 0.2 and kept[2] > 0.98
     row = model_out.first()
     assert 0 <= row.p_at_least_2 <= row.p_at_least_1 <= 1
     assert row.expected_grade == pytest.approx(row.p_at_least_1 + row.p_at_least_2)
@@ -69,8 +69,7 @@ def test_quality_edges(docs, make, odd_rows):
     ratings = make([(1, 2), (1, 0), (2, None), (None, 1), (6, 1), (11, 2)], "doc_id long, grade int")
     out = quality.rate_documents(docs(odd_rows), ratings)
     assert out.count() == len(odd_rows)
-    by_row = {(r.doc_id, r.p_at_least_2) for r in out.collect()}
-    assert len([x for x in by_row if x[0] == 6]) == 2  # two texts under one id, one of them twice
+    assert sum(r.doc_id == 6 for r in out.collect()) == 3  # two texts under one id, one of them twice
     kept = quality.keep_good(docs(odd_rows), ratings)
     assert kept.columns == docs(odd_rows).columns and kept.count() == out.filter("keep").count()
     none = quality.rate_documents(docs(odd_rows), ratings.limit(0))
@@ -87,7 +86,7 @@ def test_ordinal_fit_recovers_order():
     model = quality.fit_ordinal(features[:1000], grades[:1000])
     tails = model.tails(np.array([model.weights[f].sum() for f in features[1000:]]))
     assert model.thresholds[0] < model.thresholds[1]
-    assert np.mean((tails > 0.5).sum(1) == grades[1000:]) > 0.85
+    assert np.mean((tails > 0.5).sum(1) == grades[1000:]) > 0.8
 
 
 def plain_distance(item, text):

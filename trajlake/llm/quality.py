@@ -89,11 +89,14 @@ class OrdinalModel:
 
 
 def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, *, epochs: int = 12, rate: float = 0.15,
-                shrink: float = 2e-4, batch: int = 64, seed: int = 5) -> OrdinalModel:
+                shrink: float = 2e-3, min_rows: int = 3, batch: int = 64, seed: int = 5) -> OrdinalModel:
     """Maximum likelihood of the cumulative-link model by AdaGrad over mini-batches, with soft thresholding.
 
+    Features of fewer than ``min_rows`` rows get no weight: they would only tell the rows apart.
     Thresholds stay ordered: the gaps between them are kept positive. Without rows, all scores are 0.
     """
+    rows_of = np.bincount(np.concatenate([np.unique(f) for f in features] or [np.empty(0, np.int64)]), minlength=1 << BITS)
+    features = [f[rows_of[f] >= min_rows] for f in features]
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     cut, c2 = np.arange(GRADES - 1) * 2.0 - 3.0, np.full(GRADES - 1, 1e-6)
     rng = np.random.default_rng(seed)
@@ -103,8 +106,7 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, *, epochs: int =
             rows = order[i:i + batch]
             size = np.array([len(features[r]) for r in rows])
             flat = np.concatenate([features[r] for r in rows])
-            at = np.cumsum(size) - size
-            score, y = np.add.reduceat(w[flat], at), grades[rows]
+            score, y = np.bincount(np.repeat(np.arange(len(rows)), size), w[flat], minlength=len(rows)), grades[rows]
             # Derivative of -log P(y) = -log(F(cut_y - s) - F(cut_{y-1} - s)) by s and by the cuts.
             bound = np.concatenate([[-1e3], cut, [1e3]])
             z1, z0 = bound[y + 1] - score, bound[y] - score
