@@ -6,6 +6,8 @@ bounded size at a time. A null text counts as empty everywhere.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 from collections.abc import Iterator
 
@@ -83,6 +85,15 @@ def runs(offsets: np.ndarray, limit: int = RUN_BYTES) -> Iterator[tuple[int, int
         first = last
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system; workers stay between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        release = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library only
+        if release is not None:
+            release(0)
+
+
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of ``data`` between byte offsets, as an Arrow binary column."""
     data = np.ascontiguousarray(data)
@@ -110,13 +121,13 @@ def byte_values(seed: int = 1) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
-_VALUES = byte_values()
+BYTE_VALUES = byte_values()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-LOWER_VALUES = _VALUES[_LOWER]
+LOWER_VALUES = BYTE_VALUES[_LOWER]
 
 
-def prefix_hashes(data: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
     """Prefix sums of value(byte) * base**position modulo 2**64; n + 1 entries."""
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
@@ -130,6 +141,11 @@ def segment_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np
     return (prefix[end] - prefix[start]) * inverse[start]
 
 
+def segment_powers(n: int) -> np.ndarray:
+    """Factors of the bytes of a segment in its hash."""
+    return _power_table("powers", _ODD, n)
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """Spread 64-bit values over all bits (a bijection)."""
     x = x ^ np.uint64((seed * 0xD6E8FEB86659FD93) & _MASK)

@@ -27,48 +27,69 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("salt", salt).join(least, ["u", "salt"]).select("u", "v", "m")
 
 
+def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each node to the smallest it reaches over the given links."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        for side in (x, y, label[x], label[y]):
+            np.minimum.at(new, side, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    tied = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[tied], nodes[label[tied]]
+
+
+# Links that a task thins out at a time.
+THIN_ROWS = 1 << 20
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace each batch of links by links of its nodes to the smallest node they reach within it."""
+    """Replace the links of a task, a bounded number at a time, by links to the smallest node reached within them."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def done() -> pa.RecordBatch:
+        a, b = thinned(*(np.concatenate(x) for x in zip(*held)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
     for batch in batches:
-        a, b = (batch.column(i).to_numpy() for i in range(2))
-        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        x, y = at[:len(a)], at[len(a):]
-        label = np.arange(len(nodes))
-        while True:
-            low = np.minimum(label[x], label[y])
-            new = label.copy()
-            np.minimum.at(new, label[x], low)
-            np.minimum.at(new, label[y], low)
-            new = new[new]
-            if (new == label).all():
-                break
-            label = new
-        tied = np.flatnonzero(label != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[label[tied]])], ["a", "b"])
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(x[0]) for x in held) >= THIN_ROWS:
+            yield done()
+            held = []
+    if held:
+        yield done()
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node links to one node, which links to none."""
+    n, nodes = edges.agg(F.count("*"), F.countDistinct("a")).first()
+    return n == nodes and not edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) of every node that has a link to another: label is the smallest node it reaches.
 
-    Links are first thinned out within each batch. Each round links every node to the smallest node
-    next to it, from both sides; written per round, the links end as stars. Nulls link nothing.
+    Links are first thinned out within each task. Each round links every node to the smallest node next
+    to it, from both sides, and thins out again; written per round, the links end as stars. Nulls link
+    nothing.
     """
     current = stored(_directed(edges.select("a", "b").dropna().mapInArrow(_forest, "a long, b long")), name)
-    before = None
-    while True:
+    while not _is_stars(current):
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             current.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
         small = _star(down)
-        after = stored(_directed(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
-            small.select(F.col("u").alias("a"), F.col("m").alias("b")))), name)
+        links = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
+            small.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        after = stored(_directed(links.filter("a <> b").mapInArrow(_forest, "a long, b long")), name)
         discard(current)
         current = after
-        found = current.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.countDistinct("a")).first()
-        # Stars: every node links to one node only, and nothing changed.
-        if found == before or found[0] == 0:
-            break
-        before = found
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())

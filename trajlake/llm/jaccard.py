@@ -1,12 +1,14 @@
 """Exact n-gram Jaccard join by prefix filters under several global token orders.
 
 Two sets whose similarity reaches the threshold share a token among the first few of each, under any
-order that holds for all sets. Under the first order (rare tokens first), all sets joined by such shared
-tokens, directly or through others, form a bundle; each further order splits the bundles in the same
-way. What is linked is in one bundle under every order, so sets are compared only within the
-intersection of the bundles. The filters name bundles instead of pairs: a group of thousands of near
-copies costs one row per set, not one per pair. Within a bundle links are verified on the whole sets until
-every pair of sets is either compared or known to be connected.
+order that holds for all sets. The first order puts tokens that one document alone holds before all
+others (of a quarter of the tokens, whose documents are counted exactly): most sets then have a prefix of
+such tokens and are done. All sets joined by shared prefix tokens, directly or through others, form a
+bundle; each further order splits the bundles in the same way. What is linked is in one bundle under every
+order, so sets are compared only within the intersection of the bundles. The filters name bundles
+instead of pairs: a group of thousands of near copies costs one row per set, not one per pair. Within a
+bundle links are verified on the whole sets until every pair of sets is either compared or known to be
+connected.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import (LOWER_VALUES, binary_array, id_and_text, mix, prefix_hashes, runs, segment_hashes,
-                                 spaced, stored, text_buffers, word_bounds)
-from trajlake.llm.graph import components
+from trajlake.llm import units as U
+from trajlake.llm.common import (LOWER_VALUES, binary_array, mix, prefix_hashes, runs, segment_hashes, spaced, stored, trim,
+                                 word_bounds)
+from trajlake.llm.graph import components, thinned
+from trajlake.llm.units import NO_ID, UNIT_BYTES
 
-# Places of the table that estimates how frequent a token is; it orders tokens and never decides a link.
-SLOTS = 1 << 21
 # Orders beyond the first.
 MORE_ORDERS = (2, 3)
 # Tokens of two blocks of a bundle that a task compares, at most about.
@@ -81,39 +83,24 @@ def _signatures(row: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, out[0], out[1]
 
 
-def _prefix(row: np.ndarray, gram: np.ndarray, size: np.ndarray, order: int, level: np.ndarray, percent: int) -> np.ndarray:
+def _counted(gram: np.ndarray) -> np.ndarray:
+    """The quarter of the tokens whose documents are counted."""
+    return (mix(gram, 90) & np.uint64(3)) == 0
+
+
+def _prefix(row: np.ndarray, gram: np.ndarray, size: np.ndarray, order: int, level: np.ndarray | None, percent: int) -> np.ndarray:
     """Places of the tokens of each set's prefix: its first n - ceil(percent n / 100) + 1 under the order.
 
-    An order sorts by level of frequency, then by a hash that is its own.
+    The first order: counted tokens by their level, then the others; ties, and the further orders as a
+    whole, go by a hash of the order's own. Tokens with one hash stay in the order of ``gram``.
     """
-    rank = mix(gram, 100 + order) >> np.uint64(22)
-    rank |= level[(gram >> np.uint64(40)).astype(np.int64) % SLOTS].astype(np.uint64) << np.uint64(42)
+    rank = mix(gram, 100 + order) >> np.uint64(25)
+    if level is not None:
+        rank |= np.where(_counted(gram), level, 255).astype(np.uint64) << np.uint64(39)
     at = np.argsort((row.astype(np.uint64) << np.uint64(48)) | rank, kind="stable")
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     length = size - (percent * size + 99) // 100 + 1
-    return at[place < length[row]]
-
-
-def _survey(words: int):
-    """Task: per row doc_id, hash of the text and the set's size and sums; at the end, its frequent slots."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SLOTS, np.int64)
-        names = ["doc_id", "text_hash", "n", "s1", "s2", "slot", "slot_n"]
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(2))
-            for first, last in _runs(offsets):
-                row, gram = shingle_sets(data, offsets[first:last + 1], words)
-                size, s1, s2 = _signatures(row, gram, last - first)
-                counts += np.bincount((gram >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS)
-                none = pa.nulls(last - first, pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[first:last], batch.column(1)[first:last], pa.array(size), pa.array(s1), pa.array(s2),
-                    none, none], names)
-        slot = np.flatnonzero(counts >= max(8, 4 * counts.mean()))
-        none = pa.nulls(len(slot), pa.int64())
-        yield pa.RecordBatch.from_arrays([none] * 5 + [pa.array(slot), pa.array(counts[slot])], names)
-
-    return task
+    return at[place < length[row[at]]]
 
 
 def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -122,31 +109,36 @@ def _runs(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
             yield i, min(i + (1 << 15), last)
 
 
+_ROW_NAMES = ["order", "token", "a", "b", "doc_id", "text_hash", "n", "s1", "s2", "tokens"]
+_ROW_SCHEMA = "order int, token long, a long, b long, doc_id long, text_hash long, n long, s1 long, s2 long, tokens binary"
+
+
 class _Joined:
     """Within a task: the first set seen under each token, and a link from every later one to it."""
 
     def __init__(self) -> None:
-        self.tokens, self.sets = [], []
+        self.tokens, self.sets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
 
     def add(self, tokens: np.ndarray, sets: np.ndarray) -> None:
         self.tokens.append(tokens)
         self.sets.append(sets)
 
-    def rows(self, order: int, names: list[str]) -> pa.RecordBatch:
-        token, own = np.concatenate(self.tokens or [np.empty(0, np.int64)]), np.concatenate(self.sets or [np.empty(0, np.int64)])
+    def rows(self, order: int) -> pa.RecordBatch:
+        token, own = np.concatenate(self.tokens), np.concatenate(self.sets)
         at = np.lexsort((own, token))
         token, own = token[at], own[at]
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
         head = own[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
-        links = np.unique(np.stack([own[~new], head[~new]], 1), axis=0)
-        links = links[links[:, 0] != links[:, 1]]
-        n = int(new.sum())
-        columns = {"order": pa.array(np.full(n + len(links), order, np.int32)),
-                   "token": pa.array(np.concatenate([token[new], np.zeros(len(links), np.int64)]), mask=np.arange(n + len(links)) >= n),
-                   "a": pa.array(np.concatenate([own[new], links[:, 0]])),
-                   "b": pa.array(np.concatenate([np.zeros(n, np.int64), links[:, 1]]), mask=np.arange(n + len(links)) < n)}
-        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n + len(links), pa.binary() if c == "tokens" else pa.int64())) for c in names], names)
+        links = np.stack(thinned(own[~new], head[~new]), 1)
+        n, m = int(new.sum()), len(links)
+        none = pa.nulls(n + m, pa.int64())
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(n + m, order, np.int32)),
+            pa.array(np.concatenate([token[new], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
+            pa.array(np.concatenate([own[new], links[:, 0]])),
+            pa.array(np.concatenate([np.zeros(n, np.int64), links[:, 1]]), mask=np.arange(n + m) < n),
+            none, none, none, none, none, pa.nulls(n + m, pa.binary())], _ROW_NAMES)
 
 
 def _links(rows: DataFrame) -> DataFrame:
@@ -160,46 +152,38 @@ def _links(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("b").isNotNull()).select("order", "a", "b").unionByName(across.select("order", "a", "b"))
 
 
-def _first_order(words: int, percent: int, level: np.ndarray):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = _Joined()
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            for first, last in _runs(offsets):
-                row, gram = shingle_sets(data, offsets[first:last + 1], words)
-                size, s1, _ = _signatures(row, gram, last - first)
-                at = _prefix(row, gram, size, 1, level, percent)
-                joined.add(gram[at].view(np.int64), s1[row[at]])
-        yield joined.rows(1, ["order", "token", "a", "b"])
-
-    return task
-
-
-def _candidates(words: int, percent: int, level: np.ndarray):
-    """Task over candidate rows (text, first label): their sets, and the tokens of the further orders.
-
-    A token counts within the bundle of the first order only.
-    """
-    names = ["order", "token", "a", "b", "s2", "n", "tokens"]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = {order: _Joined() for order in MORE_ORDERS}
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            label = batch.column(1).to_numpy().view(np.uint64)
-            for first, last in _runs(offsets):
-                row, gram = shingle_sets(data, offsets[first:last + 1], words)
-                n = last - first
-                size, s1, s2 = _signatures(row, gram, n)
-                for order in MORE_ORDERS:
-                    at = _prefix(row, gram, size, order, level, percent)
-                    joined[order].add(mix(gram[at] ^ mix(label[first:last][row[at]], 31)).view(np.int64), s1[row[at]])
-                none = pa.nulls(n, pa.int64())
-                yield pa.RecordBatch.from_arrays([
-                    pa.nulls(n, pa.int32()), none, pa.array(s1), none, pa.array(s2), pa.array(size),
-                    binary_array(gram, np.append(0, np.cumsum(size)) * 8)], names)
-        for order in MORE_ORDERS:
-            yield joined[order].rows(order, names)
+def _prefixes(words: int, percent: int, units: int):
+    """Task per unit: a row per document; of those whose first prefix is not all their own (candidates) also
+    the set, the prefix tokens under each order, and the links among them."""
+    def task(table: pa.Table) -> pa.Table:
+        ids, hashes, text, bounds, found = U.unpacked(table)
+        known = U.known_names(found)
+        joined, out = {order: _Joined() for order in (1, *MORE_ORDERS)}, []
+        for first, last in _runs(bounds):
+            n = last - first
+            row, gram = shingle_sets(text, bounds[first:last + 1], words)
+            size, s1, s2 = _signatures(row, gram, n)
+            level = np.zeros(len(gram), np.uint8)
+            counted = _counted(gram)
+            level[counted] = U.levels_of(U.names(gram[counted], units), known)
+            at = _prefix(row, gram, size, 1, level, percent)
+            at = at[(level[at] > 0) | ~counted[at]]  # a token of one document links nothing
+            joined[1].add(gram[at].view(np.int64), s1[row[at]])
+            candidate = np.zeros(n, bool)
+            candidate[row[at]] = True
+            own = candidate[row]
+            row, gram, kept = row[own], gram[own], np.where(candidate, size, 0)
+            for order in MORE_ORDERS:
+                at = _prefix(row, gram, kept, order, None, percent)
+                joined[order].add(gram[at].view(np.int64), s1[row[at]])
+            none = pa.nulls(n, pa.int64())
+            out.append(pa.RecordBatch.from_arrays([
+                pa.nulls(n, pa.int32()), none, none, none, pa.array(ids[first:last], mask=ids[first:last] == NO_ID),
+                pa.array(hashes[first:last]), pa.array(size), pa.array(s1), pa.array(s2),
+                binary_array(gram, np.append(0, np.cumsum(kept)) * 8)], _ROW_NAMES))
+        out += [joined[order].rows(order) for order in joined]
+        trim()
+        return pa.Table.from_batches(out)
 
     return task
 
@@ -282,42 +266,42 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     and text are kept together. An empty table gives no rows. Other columns are ignored. Tokens are
     64-bit hashes; sets are told apart by 128 bits.
     """
-    texts = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    survey = stored(texts.mapInArrow(
-        _survey(words), "doc_id long, text_hash long, n long, s1 long, s2 long, slot long, slot_n long"), "op5-survey")
-    counts = survey.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("slot_n").alias("n")).toArrow()  # SLOTS rows at most
-    level = np.zeros(SLOTS, np.uint8)
-    level[counts.column("slot").to_numpy()] = np.minimum(np.log2(counts.column("n").to_numpy().astype(float)), 31).astype(np.uint8)
-
-    rows = survey.filter(F.col("slot").isNull())
-    first = stored(texts.select("text").mapInArrow(
-        _first_order(words, percent, level), "order int, token long, a long, b long"), "op5-first")
-    bundles = components(_links(first), "op5-bundles")
+    dealt, units = U.dealt(docs, id_col, text_col, UNIT_BYTES)
+
+    def tags(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+        for first, last in _runs(bounds):
+            row, gram = shingle_sets(data, bounds[first:last + 1], words)
+            counted = _counted(gram)
+            found.append((first + row[counted], gram[counted]))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+    both = U.packed_texts(dealt).unionByName(U.shared_tags(dealt, tags, units))
+    surveyed = stored(both.groupBy("unit").applyInArrow(_prefixes(words, percent, units), _ROW_SCHEMA), "op5-sets")
+    rows = surveyed.filter(F.col("order").isNull()).select("doc_id", "text_hash", "n", "s1", "s2")
     # One row stands for all with the same set.
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    sets = stored(rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(least).alias("least"), F.count("*").alias("copies")), "op5-sets")
-    wanted = stored(sets.join(bundles, F.col("s1") == F.col("node")).select(
-        F.col("least.doc_id").alias("w_id"), F.col("least.text_hash").alias("w_hash"), "label"), "op5-wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    picked = texts.join(F.broadcast(wanted) if few else wanted,
-                        (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("text", "label")
-    found = stored(picked.mapInArrow(
-        _candidates(words, percent, level), "order int, token long, a long, b long, s2 long, n long, tokens binary"), "op5-candidates")
-    # The same set may stand in several bundles' rows only if rows repeat: one of them is enough.
-    held = found.filter(F.col("tokens").isNotNull()).select(F.col("a").alias("s1"), "s2", "n", "tokens")
-    once = held.groupBy("s1", "s2").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-    split = components(_links(found.filter(F.col("order").isNotNull()).select("order", "token", "a", "b")).select(
-        *[(F.col(c).bitwiseAND(F.lit(~3)) + F.col("order")).alias(c) for c in "ab"]), "op5-split")
-    by_order = split.withColumn("s", F.col("node").bitwiseAND(F.lit(~3))).groupBy("s").agg(
-        *[F.max(F.when(F.col("node").bitwiseAND(F.lit(3)) == o, F.col("label"))).alias(f"label_{o}") for o in MORE_ORDERS])
-    labelled = once.join(by_order, F.col("s1").bitwiseAND(F.lit(~3)) == F.col("s")).filter(
-        " and ".join(f"label_{o} is not null" for o in MORE_ORDERS)).select(
-        "s1", "s2", "n", "tokens", F.xxhash64(*[f"label_{o}" for o in MORE_ORDERS]).alias("bundle"))
-    labelled = stored(labelled.withColumn("node", F.monotonically_increasing_id()), "op5-labelled")
+    sets = stored(rows.filter("n > 0").groupBy("s1", "s2").agg(
+        F.min(least).alias("least"), F.first("n").alias("n"), F.count("*").alias("copies"))
+        .withColumn("node", F.monotonically_increasing_id()), "op5-classes")
+    # The orders' graphs side by side: the lowest bits of a node tell the order, the others the set.
+    trio = lambda c: (F.col(c).bitwiseAND(F.lit(~3)) + F.col("order")).alias(c)
+    joined = _links(surveyed.filter(F.col("order").isNotNull()).select("order", "token", "a", "b"))
+    labels = components(joined.select(trio("a"), trio("b")), "op5-bundles")
+    by_set = labels.groupBy(F.col("node").bitwiseAND(F.lit(~3)).alias("s")).agg(
+        *[F.max(F.when(F.col("node").bitwiseAND(F.lit(3)) == o, F.col("label"))).alias(f"label_{o}") for o in (1, *MORE_ORDERS)])
+    bundled = by_set.dropna().select("s", F.xxhash64(*[f"label_{o}" for o in (1, *MORE_ORDERS)]).alias("bundle"))
+    labelled = stored(sets.join(bundled, F.col("s1").bitwiseAND(F.lit(~3)) == F.col("s")).select(
+        "s1", "s2", "n", "least", "node", "bundle"), "op5-labelled")
     sizes = labelled.groupBy("bundle").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).filter("sets > 1").select(
         "bundle", F.ceil(F.col("all") * 2 / block_tokens).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tasks = labelled.join(sizes, "bundle").withColumn("side", own).withColumn(
+    # The sets themselves join last, and once.
+    wanted = labelled.join(sizes, "bundle").select(
+        F.col("s1").alias("w1"), F.col("s2").alias("w2"), F.col("least").alias("w_least"), "node", "bundle", "blocks",
+        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"))
+    held = surveyed.filter(F.octet_length("tokens") > 0).select("s1", "s2", least.alias("own"), "tokens")
+    tasks = held.hint("merge").join(
+        wanted, (F.col("s1") == F.col("w1")) & (F.col("s2") == F.col("w2")) & F.col("own").eqNullSafe(F.col("w_least"))).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bundle", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "tokens")
     links = tasks.repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j").mapInArrow(_verify(percent), "a long, b long")

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from trajlake.llm import units as U
-from trajlake.llm.common import mix, prefix_hashes, segment_hashes
+from trajlake.llm.common import BYTE_VALUES, mix, prefix_hashes, segment_hashes, segment_powers, trim
 from trajlake.llm.units import NO_ID, UNIT_BYTES, packed
 
 GRAM = 20
@@ -66,13 +66,22 @@ def _contexts(text: np.ndarray, bounds: np.ndarray, row: np.ndarray, place: np.n
     left_max, total = width - GRAM, 2 * width - GRAM
     left = np.minimum(left_max, place - bounds[row])
     right = np.minimum(width, bounds[row + 1] - place)
-    at = place[:, None] + np.arange(-left_max, width)[None, :]
-    inside = (at >= (place - left)[:, None]) & (at < (place + right)[:, None])
     context = np.zeros((len(place), -(-total // 8) * 8), np.uint8)
-    context[:, :total] = np.where(inside, text[np.clip(at, 0, max(len(text) - 1, 0))], 0) if len(place) else 0
+    if len(place):
+        padded = np.concatenate([np.zeros(left_max, np.uint8), text, np.zeros(width, np.uint8)])
+        context[:, :total] = np.lib.stride_tricks.sliding_window_view(padded, total)[place]
+        edge = np.flatnonzero((left < left_max) | (right < width))
+        at = np.arange(-left_max, width)[None, :]
+        context[edge, :total] *= (at >= -left[edge, None]) & (at < right[edge, None])
     return context, (left * 256 + right).astype(np.int32)
 
 
+def _anchor_tags(context: np.ndarray, width: int) -> np.ndarray:
+    """The lowest 32 bits of the anchors' hashes, from the contexts they stand in."""
+    gram = context[:, width - GRAM:width]
+    return (mix((BYTE_VALUES[gram] * segment_powers(GRAM)).sum(1, dtype=np.uint64), 41) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _context_keys(context: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
     words = context.view(np.uint64)
     key = mix(ends.astype(np.uint64), seed)
@@ -111,6 +120,7 @@ def _send_contexts(width: int, buckets: int):
                    "unit": pa.array([unit] * len(groups), pa.int32())}
         for c, x in (("context", context), ("ends", ends), ("low", low), ("high", high)):
             columns[c] = pa.array([zstandard.compress(packed(x[g]), 1) for g in groups], pa.binary())
+        trim()
         return pa.table(columns)
 
     return unit_task
@@ -249,7 +259,9 @@ def _settle(width: int):
         useful = np.flatnonzero(answer.min(1) < high)
         key = _context_keys(context[useful], ends[useful], 7)
         answer, unit = answer[useful], unit[useful]
-        return U.answers(unit, lambda g: packed(key[g]), lambda g: zstandard.compress(packed(answer[g]), 1))
+        tag = _anchor_tags(context[useful], width)
+        trim()
+        return U.answers(unit, lambda g: packed(key[g]) + packed(tag[g]), lambda g: zstandard.compress(packed(answer[g]), 1))
 
     return bucket_task
 
@@ -262,11 +274,16 @@ def _remove(width: int, keep_text: bool):
         ids, _, text, bounds, found = U.unpacked(table)
         covered = np.zeros(len(text) + 1, np.int32)
         if found:
-            key = np.concatenate([np.frombuffer(x[0], np.uint64) for x in found])
+            cut = [len(x[0]) // 12 * 8 for x in found]
+            key = np.concatenate([np.frombuffer(x[0][:n], np.uint64) for x, n in zip(found, cut)])
+            tags = np.unique(np.concatenate([np.frombuffer(x[0][n:], np.uint32) for x, n in zip(found, cut)]))
             answer = np.concatenate([np.frombuffer(zstandard.decompress(x[1]), np.int64).reshape(-1, span) for x in found])
             order = np.argsort(key)
             key, answer = key[order], answer[order]
-            row, place, _ = anchors(text, bounds, width)
+            row, place, hashed = anchors(text, bounds, width)
+            tag = (hashed & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            named = tags[np.minimum(np.searchsorted(tags, tag), len(tags) - 1)] == tag
+            row, place = row[named], place[named]
             for i in range(0, len(row), 1 << 16):
                 r, p = row[i:i + (1 << 16)], place[i:i + (1 << 16)]
                 context, ends = _contexts(text, bounds, r, p, width)
@@ -289,6 +306,7 @@ def _remove(width: int, keep_text: bool):
             digest.append(hashlib.sha256(kept.tobytes()).hexdigest())
             if keep_text:
                 left.append(kept.tobytes())
+        trim()
         return pa.table({
             "doc_id": pa.array(ids, mask=ids == NO_ID), "n_bytes": pa.array(np.diff(bounds)),
             "n_removed": pa.array(upto[bounds[1:]] - upto[bounds[:-1]]), "n_spans": pa.array(spans[bounds[1:]] - spans[bounds[:-1]]),

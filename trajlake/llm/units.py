@@ -15,11 +15,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import id_and_text, text_buffers
+from trajlake.llm.common import id_and_text, runs, text_buffers, trim
 
 UNIT_BYTES = 8 << 20
 # Text that a task packs at a time.
-PACK_BYTES = 24 << 20
+PACK_BYTES = 12 << 20
 NO_ID = np.iinfo(np.int64).min
 SCHEMA = "unit int, ids binary, hashes binary, lengths binary, body binary, tag binary, found binary"
 _NAMES = ["unit", "ids", "hashes", "lengths", "body", "tag", "found"]
@@ -51,10 +51,12 @@ def groups_of(key: np.ndarray) -> list[np.ndarray]:
     return [order[i:j] for i, j in zip(cut, [*cut[1:], len(order)])]
 
 
-def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _columns(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """ids, text hashes, units, bytes and bounds of some rows at a time."""
     data, offsets = text_buffers(batch.column(3))
-    return (batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(),
-            data[offsets[0]:offsets[-1]], offsets - offsets[0])
+    ids, hashes, units = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    for a, b in runs(offsets, PACK_BYTES // 2):
+        yield ids[a:b], hashes[a:b], units[a:b], data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,13 +74,14 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5)),
             *[pa.nulls(len(out), pa.binary())] * 2], _NAMES)
 
-    for batch in batches:
-        held.append(_columns(batch))
+    for part in (part for batch in batches for part in _columns(batch)):
+        held.append(part)
         if sum(len(h[3]) for h in held) >= PACK_BYTES:
             yield done()
             held = []
     if held:
         yield done()
+    trim()
 
 
 def packed_texts(rows: DataFrame) -> DataFrame:
@@ -136,8 +139,7 @@ def shared_tags(rows: DataFrame, make: MakeHashes, buckets: int) -> DataFrame:
     however many documents hold it.
     """
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, _, units, data, bounds = _columns(batch)
+        for _, _, units, data, bounds in (part for batch in batches for part in _columns(batch)):
             row, hashed = make(data, bounds)
             name, unit = names(hashed, buckets), units[row]
             order = np.lexsort((row, name, unit))
@@ -159,6 +161,7 @@ def shared_tags(rows: DataFrame, make: MakeHashes, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array([o[0] for o in out], pa.int32()), *(pa.array([o[k] for o in out], pa.binary()) for k in (1, 2, 3))],
                 ["bucket", "tags", "units", "counts"])
+        trim()
 
     def tell(table: pa.Table) -> pa.Table:
         tag = np.concatenate([_from_five(x) for x in table.column("tags").to_pylist()])
