@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-from trajlake.llm.common import RUN_BYTES, mix, prefix_hashes, runs, segment_hashes
+from trajlake.llm.common import BYTE_VALUES, LOWER_VALUES, RUN_BYTES, mix, prefix_hashes, runs, segment_hashes
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -24,7 +24,7 @@ _ODD_SPACE[[9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 # Bytes outside visible ASCII and U+00C0 to U+00FF: texts with them may change when normalised.
 _STRANGE = np.ones(256, bool)
 _STRANGE[33:127] = _STRANGE[0x80:0xC0] = _STRANGE[0xC3] = False
-WORDS_PER_TEXT = 256
+WORDS_PER_TEXT = 64
 _OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -109,7 +109,10 @@ class Encoder:
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.id_bytes[i] = len(token.removesuffix(suffix) if suffix else token)
+        # A tokenizer that drops blanks, or case, gives one piece the ids of another: they share a key.
         self.blank_bytes = int(self.id_bytes[self._library([" a"])[0]].sum()) - 1  # 0 if blanks are dropped
+        lower = [self._library([x])[0].tolist() for x in ("ABC xyz", "abc xyz")]
+        self.values = LOWER_VALUES if lower[0] == lower[1] else BYTE_VALUES
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,13 +120,14 @@ class Encoder:
         return np.array([i for x in found for i in x], np.uint32), length
 
     def _words(self, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces that are a blank and a plain word each: many in one text, told apart by their bytes."""
+        """Ids of plain words with the blank before each: many in one text, told apart by their bytes."""
         if not len(start):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        words = [raw[i:j] for i, j in zip(start.tolist(), end.tolist())]
+        blank = b"" if self.blank_bytes else b" "
+        words = [blank + raw[i:j] for i, j in zip(start.tolist(), end.tolist())]
         ids, _ = self._library([b"".join(words[i:i + WORDS_PER_TEXT]).decode() for i in range(0, len(words), WORDS_PER_TEXT)])
         upto = np.cumsum(self.id_bytes[ids])
-        ends = np.cumsum(end - start - (1 - self.blank_bytes))
+        ends = np.cumsum(end - start)
         at = np.searchsorted(upto, ends)
         if len(upto) and at[-1] == len(upto) - 1 and (upto[at] == ends).all():
             return ids, np.diff(at + 1, prepend=0)
@@ -168,7 +172,8 @@ class Encoder:
             cut[at[r] + 1:at[r + 1]] = False
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
-        keys = mix(segment_hashes(prefix_hashes(text), start, end) + (end - start).astype(np.uint64))
+        own = start if self.blank_bytes else start + (blank[start] & (end - start > 1))
+        keys = mix(segment_hashes(prefix_hashes(text, self.values), own, end) + (end - own).astype(np.uint64))
         unique, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.pieces.start) > self.pieces.limit:
             self.pieces.clear()
@@ -178,9 +183,11 @@ class Encoder:
             raw = text.tobytes()
             strange = np.zeros(n + 1, np.int64)
             np.cumsum(_STRANGE[text], out=strange[1:])
-            s, e = start[where[new]], end[where[new]]
-            word = (text[s] == 32) & (e - s > 1) & (e - s <= 64)
-            word[word] = strange[e[word]] == strange[s[word] + 1]
+            s, e = own[where[new]], end[where[new]]
+            word = (e - s <= 64) & (strange[e] == strange[s])
+            if self.blank_bytes:
+                word = (text[s] == 32) & (e - s > 1) & (e - s <= 64)
+                word[word] = strange[e[word]] == strange[s[word] + 1]
             slots[new[word]] = self.pieces.put(*self._words(raw, s[word], e[word]))
             slots[new[~word]] = self.pieces.put(*self._library([
                 raw[i:j].decode("utf-8", "replace") for i, j in zip(s[~word].tolist(), e[~word].tolist())]))
