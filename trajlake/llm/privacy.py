@@ -30,7 +30,6 @@ REMOVE_AT = 0.9
 GENERALISE_AT = 0.75
 # Different texts in which term and entity must occur together.
 MIN_SUPPORT = 3
-BROADCAST_TERMS = 50_000
 
 
 def _may_hold(kind: str, text: Column) -> Column:
@@ -124,13 +123,10 @@ def disclosing_terms(rows: DataFrame, entities: DataFrame, *, remove_at: float =
     pairs = near.groupBy("term", "kind", "value").agg(
         F.countDistinct("rid").alias("together"), F.countDistinct("text_hash").alias("support")).filter(F.col("support") >= min_support)
     pairs = stored(pairs, "op1-pairs")
-    terms = pairs.select("term").distinct()
-    n = terms.count()
-    if not n:
+    if not pairs.limit(1).count():
         return near.limit(0).select("rid", "start", "end", F.lit("").alias("action"))
     words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    term_docs = words.join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("term").agg(
-        F.count("*").alias("term_docs"))
+    term_docs = words.groupBy("term").agg(F.count("*").alias("term_docs"))
     entity_docs = entities.groupBy("kind", "value").agg(F.countDistinct("rid").alias("entity_docs"))
     total = rows.agg(F.count("*").alias("total"))
     rated = pairs.join(term_docs, "term").join(entity_docs, ["kind", "value"]).join(F.broadcast(total))
