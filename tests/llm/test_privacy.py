@@ -61,6 +61,23 @@ def test_disclosing_terms(docs):
     assert out[400].text == "quixotic [EMAIL] rests"
 
 
+def test_terms_far_from_the_entity_and_at_the_ends(docs):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    filler = lambda n: " ".join(word() for _ in range(n))
+    rows = [(i, f"Zanzibar {filler(60)} kim@corp.example.com {filler(60)} ZANZIBAR {filler(3)} quixotic") for i in range(6)]
+    rows += [(10 + i, f"{filler(20)} Éééékim@corp.example.com {filler(20)}") for i in range(3)]
+    rows += [(50, rows[0][1]), (51, rows[0][1])]
+    rows += [(100 + i, f"{filler(20)} corp example {filler(20)}") for i in range(200)]
+    out = {r.doc_id: r for r in privacy.find_personal_data(docs(rows)).collect()}
+    for i, text in rows[:6] + rows[9:11]:
+        terms = [text[s.start:s.end] for s in out[i].spans if s.kind == "term"]
+        assert terms == ["Zanzibar", "ZANZIBAR", "quixotic"]
+        assert "zanzibar" not in out[i].text.lower() and "[EMAIL]" in out[i].text
+    assert all(out[i].text == text for i, text in rows[11:])
+    assert all("[EMAIL]" in out[10 + i].text and "kim@" not in out[10 + i].text for i in range(3))
+
+
 def test_overlaps_and_empty_table(docs):
     text = "1.2.3.4 then +1.2.3.4.5.6.7.8.9 end"
     row = privacy.find_personal_data(docs([(1, text)])).first()

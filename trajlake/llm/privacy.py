@@ -1,9 +1,10 @@
 """Personal data: patterns for four kinds, and information-theoretic sanitisation around them.
 
-What the patterns find are the protected entities. A term near an entity discloses it as far as seeing
-the term makes the entity likelier: pointwise mutual information of the two over the corpus, against the
-information of the entity itself. A ratio of 1 means the term never occurs without the entity. Terms above
-one threshold are removed, terms above a lower one are generalised to a mark. Column functions throughout.
+What the patterns find are the protected entities. A term in a text with an entity discloses it as far as
+seeing the term makes the entity likelier: pointwise mutual information of the two over whole documents,
+against the information of the entity itself. A ratio of 1 means the term never occurs without the entity.
+Terms above one threshold are removed, terms above a lower one are generalised to a mark, wherever they
+stand in the documents that hold the entity. Column functions throughout.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import stored
+from trajlake.operators.grouping import join_group_values
 
 # Kinds in the order in which spans with one start are listed. Possessive quantifiers and the look-behind
 # (not within a run that failed before, unless a match ended here) give the leftmost matches in linear time.
@@ -24,12 +26,12 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 # Letters of a term; shorter ones carry too little to disclose anything.
 TERM = r"[A-Za-zÀ-ɏ]{4,}"
-CONTEXT_CHARS = 120
-CONTEXT_TERMS = 8
 REMOVE_AT = 0.9
 GENERALISE_AT = 0.75
 # Different texts in which term and entity must occur together.
 MIN_SUPPORT = 3
+# Entities, terms and texts with so many rows are joined by broadcast, 1000 of them at most.
+HOT_ROWS = 1000
 
 
 def _may_hold(kind: str, text: Column) -> Column:
@@ -60,7 +62,7 @@ def _valid(kind: Column, match: Column) -> Column:
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """Valid matches in (rid, text): rid, kind, start, end (code points), value, left and right context.
+    """Valid matches in (rid, text): rid, kind, start, end (code points), value.
 
     A text splits into what lies between matches; the lengths of those parts, summed up, give the places.
     """
@@ -73,69 +75,92 @@ def mentions(rows: DataFrame) -> DataFrame:
             F.when(_may_hold(kind, text), hits).alias("hits")))
     by_kind = rows.filter(text.contains("@") | text.rlike("[0-9]")).select("rid", F.inline(F.array(*found))).filter(F.size("hits") > 0)
     one = by_kind.select("rid", "kind", "parts", F.posexplode("hits").alias("i", "match")).select(
-        "rid", "kind", "i", "match", F.length(F.get("parts", F.col("i"))).alias("gap"),
-        F.right(F.get("parts", F.col("i")), F.lit(CONTEXT_CHARS)).alias("left"),
-        F.left(F.get("parts", F.col("i") + 1), F.lit(CONTEXT_CHARS)).alias("right"))
+        "rid", "kind", "i", "match", F.length(F.get("parts", F.col("i"))).alias("gap"))
     upto = Window.partitionBy("rid", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = one.withColumn("end", F.sum(F.col("gap") + F.length("match")).over(upto))
     value = F.when(F.col("kind") == "email", F.lower("match")).when(F.col("kind") == "ip", F.col("match")).otherwise(_digits(F.col("match")))
     return placed.filter(_valid(F.col("kind"), F.col("match"))).select(
-        "rid", "kind", (F.col("end") - F.length("match")).alias("start"), "end", value.alias("value"), "left", "right")
-
-
-def _terms(side: str) -> Column:
-    """Terms of a context next to the entity, with their distance to it: structs (term, from, to)."""
-    context = F.col(side)
-    if side == "left":  # a term cut off by the end of the context is left out
-        context = F.regexp_replace(context, r"^[A-Za-zÀ-ɏ]+", " ")
-        pad = F.length(side) - F.length(context)
-    else:
-        context, pad = F.regexp_replace(context, r"[A-Za-zÀ-ɏ]+$", ""), F.lit(0)
-    parts, hits = F.split(context, TERM, -1), F.regexp_extract_all(context, F.lit(TERM), F.lit(0))
-    empty = F.array().cast("array<struct<term: string, from: int, to: int>>")
-    gone = F.aggregate(  # a context holds a few dozen terms at most
-        F.sequence(F.lit(1), F.size(hits)),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda acc, k: F.struct(
-            (acc["at"] + F.length(F.element_at(parts, k)) + F.length(F.element_at(hits, k))).alias("at"),
-            F.array_append(acc["out"], F.struct(
-                F.lower(F.element_at(hits, k)).alias("term"),
-                (pad + acc["at"] + F.length(F.element_at(parts, k))).alias("from"),
-                (pad + acc["at"] + F.length(F.element_at(parts, k)) + F.length(F.element_at(hits, k))).alias("to"))).alias("out")),
-        lambda acc: acc["out"])
-    out = F.when(F.size(hits) > 0, gone).otherwise(empty)
-    near = F.slice(F.reverse(out), 1, CONTEXT_TERMS) if side == "left" else F.slice(out, 1, CONTEXT_TERMS)
-    base = F.col("start") - F.length(side) if side == "left" else F.col("end")
-    return F.transform(near, lambda x: F.struct(
-        x["term"].alias("term"), (base + x["from"]).alias("start"), (base + x["to"]).alias("end")))
+        "rid", "kind", (F.col("end") - F.length("match")).alias("start"), "end", value.alias("value"))
+
+
+def _blanked(text: Column, places: Column) -> Column:
+    """The text with blanks at its places, sorted structs (start, end), so that all else stays where it is."""
+    part = lambda start, end: F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+    done = F.aggregate(
+        places, F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
+        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
+            F.concat(acc["out"], part(acc["at"], F.greatest(s["start"], acc["at"])),
+                     F.repeat(F.lit(" "), (s["end"] - F.greatest(s["start"], acc["at"])).cast("int"))).alias("out"),
+            s["end"].alias("at"))))
+    return F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), F.length(text)))
 
 
 def disclosing_terms(rows: DataFrame, entities: DataFrame, *, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT,
                      min_support: int = MIN_SUPPORT) -> DataFrame:
-    """(rid, start, end, action) of the terms near an entity that disclose it beyond a threshold.
+    """(rid, start, end, action) of all occurrences of the terms that disclose an entity of their document beyond a threshold.
 
     ``rows``: (rid, text_hash, text), all of them counted; ``entities``: mentions with text_hash. Counts
-    are of documents; the support is of different texts, so that copies do not pass for evidence.
+    are of whole documents, without the letters inside mentions; the support is of different texts, so that
+    copies do not pass for evidence. Equal texts, told by 64-bit hashes, are worked on once and count as often
+    as they occur.
+
+    Term and entity are paired only where their counts allow the lower threshold at all: they occur together
+    in ``entity_docs`` documents at most, so ``term_docs`` is total * (entity_docs / total) ** generalise_at at most.
     """
-    near = entities.select("rid", "text_hash", "kind", "value", F.explode(F.concat(_terms("left"), _terms("right"))).alias("t")).select(
-        "rid", "text_hash", "kind", "value", "t.*")
-    near = stored(near, "op1-near")
-    pairs = near.groupBy("term", "kind", "value").agg(
-        F.countDistinct("rid").alias("together"), F.countDistinct("text_hash").alias("support")).filter(F.col("support") >= min_support)
-    pairs = stored(pairs, "op1-pairs")
-    if not pairs.limit(1).count():
-        return near.limit(0).select("rid", "start", "end", F.lit("").alias("action"))
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    term_docs = words.groupBy("term").agg(F.count("*").alias("term_docs"))
-    entity_docs = entities.groupBy("kind", "value").agg(F.countDistinct("rid").alias("entity_docs"))
-    total = rows.agg(F.count("*").alias("total"))
-    rated = pairs.join(term_docs, "term").join(entity_docs, ["kind", "value"]).join(F.broadcast(total))
-    information = F.log2(F.col("total") / F.col("entity_docs"))
-    mutual = F.log2(F.col("total") * F.col("together") / (F.col("term_docs") * F.col("entity_docs")))
+    nothing = rows.select("rid", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"), F.lit("").alias("action")).limit(0)
+    total = rows.count()
+    copies = stored(rows.groupBy("text_hash").agg(F.min("rid").alias("rid"), F.count("*").alias("n")), "op1-copies")
+    held = entities.drop("text_hash").join(copies, "rid").select("text_hash", "kind", "value", "n").distinct()
+    protected = stored(held.groupBy("kind", "value").agg(F.sum("n").alias("entity_docs"), F.count("*").alias("texts")).filter(
+        F.col("texts") >= min_support), "op1-entities")
+    most = protected.agg(F.max("entity_docs")).first()[0]
+    if most is None:
+        return nothing
+    # Rounding must not drop what just reaches the threshold.
+    bound = lambda docs: F.lit(total) * F.pow(docs / F.lit(total), F.lit(generalise_at)) * (1 + 1e-9)
+    held = join_group_values(held.drop("n"), protected, ["kind", "value"], how="inner", weight="texts", spread_by=["text_hash"],
+                             hot_rows=HOT_ROWS).drop("texts")
+    held = stored(held, "op1-held")
+
+    places = entities.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
+        F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("places"))
+    texts = rows.select("rid", "text").join(copies, "rid").join(places, "rid", "left").select(
+        "text_hash", "n", F.when(F.col("places").isNull(), F.col("text")).otherwise(_blanked(F.col("text"), F.col("places"))).alias("text"))
+    texts = stored(texts, "op1-texts")
+    hits = F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0))
+    words = lambda of: of.select("text_hash", "n", F.explode(F.array_distinct(F.transform(hits, F.lower))).alias("term"))
+    terms = words(texts).groupBy("term").agg(F.sum("n").alias("term_docs"), F.count("*").alias("texts"))
+    terms = stored(terms.filter((F.col("texts") >= min_support) & (F.col("term_docs") <= bound(F.lit(most)))), "op1-terms")
+    concerned = texts.join(held.select("text_hash").distinct(), "text_hash", "left_semi")
+    likely = join_group_values(words(concerned), terms, ["term"], how="inner", weight="texts", spread_by=["text_hash"], hot_rows=HOT_ROWS)
+    pairs = stored(likely.drop("texts").join(held, "text_hash").filter(F.col("term_docs") <= bound(F.col("entity_docs"))), "op1-pairs")
+
+    rated = pairs.groupBy("term", "kind", "value").agg(
+        F.sum("n").alias("together"), F.count("*").alias("texts"), F.max("term_docs").alias("term_docs"),
+        F.max("entity_docs").alias("entity_docs")).filter(F.col("texts") >= min_support)
+    information = F.log2(F.lit(total) / F.col("entity_docs"))
+    mutual = F.log2(F.lit(total) * F.col("together") / (F.col("term_docs") * F.col("entity_docs")))
     rated = rated.withColumn("disclosure", F.when(information > 0, mutual / information).otherwise(0.0)).filter(
         F.col("disclosure") >= generalise_at)
-    rated = rated.select("term", "kind", "value", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
-    return near.join(rated, ["term", "kind", "value"]).groupBy("rid", "start", "end").agg(F.max("action").alias("action"))
+    rated = stored(rated.select(
+        "term", "kind", "value", "texts", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action")), "op1-rated")
+    if not rated.limit(1).count():
+        return nothing
+    marks = join_group_values(pairs.select("text_hash", "term", "kind", "value"), rated, ["term", "kind", "value"], how="inner",
+                              weight="texts", spread_by=["text_hash"], hot_rows=HOT_ROWS)
+    marks = stored(marks.groupBy("text_hash", "term").agg(F.max("action").alias("action")), "op1-marks")
+    marked = texts.join(marks.select("text_hash").distinct(), "text_hash", "left_semi")
+    at = marked.select("text_hash", "n", F.posexplode(F.arrays_zip(
+        F.split("text", TERM, -1).alias("gap"), hits.alias("match"))).alias("i", "w")).filter(F.col("w")["match"].isNotNull())
+    at = at.select("text_hash", "n", "i", F.lower(F.col("w")["match"]).alias("term"), F.length(F.col("w")["gap"]).cast("long").alias("gap"),
+                   F.length(F.col("w")["match"]).cast("long").alias("size"))
+    upto = Window.partitionBy("text_hash").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = at.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto)).join(marks, ["text_hash", "term"])
+    found = at.groupBy("text_hash").agg(F.max("n").alias("n"), F.collect_list(F.struct(
+        (F.col("end") - F.col("size")).alias("start"), "end", "action")).alias("found"))
+    found = stored(found, "op1-found")
+    return join_group_values(rows.select("rid", "text_hash"), found, ["text_hash"], how="inner", weight="n", spread_by=["rid"],
+                             hot_rows=HOT_ROWS).select("rid", F.inline("found"))
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True,
@@ -143,8 +168,8 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Spans of every document: doc_id, spans (kind, start, end, action) by start and kind, and the sanitised text.
 
     Base spans (kinds of PATTERNS) are replaced by a mark of their kind; disclosing terms (kind ``term``)
-    are removed or generalised to a mark. A term span that a base span overlaps is dropped, base spans
-    always stay. Where spans of several kinds overlap, the text is replaced once, by the first.
+    are removed or generalised to a mark, at each place. The letters within base spans are no terms, base
+    spans always stay. Where spans of several kinds overlap, the text is replaced once, by the first.
 
     Null text: empty, no spans. Repeated rows are treated alike, each counted as a document; null ids
     stay null. An empty table gives no rows. Other columns are ignored.
@@ -152,8 +177,8 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text"))
     # The places of patterns and terms are settled on a copy with row numbers.
-    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()), "op1-rows")
-    entities = stored(mentions(rows).join(rows.select("rid", F.xxhash64("text").alias("text_hash")), "rid"), "op1-mentions")
+    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text")), "op1-rows")
+    entities = stored(mentions(rows).join(rows.select("rid", "text_hash"), "rid"), "op1-mentions")
     extra = disclosing_terms(rows, entities, **thresholds)
     base = entities.select("rid", F.col("start").cast("long"), F.col("end").cast("long"), "kind", F.lit("mask").alias("action"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
