@@ -160,3 +160,26 @@ def test_recall_under_edits(docs, make):
         rows.append((i, words(rng, 20) + " " + "".join(chars) + " " + words(rng, 20)))
     got = decontaminate.find_leaks(docs(rows), make(list(enumerate(texts)), "item_id long, text string"))
     assert len({(r.doc_id, r.item_id) for r in got.collect()} & {(i, i) for i in range(80)}) >= 0.95 * 80
+
+
+@pytest.mark.parametrize("size", [9, 13, 19, 34, 40, 66, 72, 80, 90, 120, 159])
+def test_short_items_are_all_found_up_to_the_limit(size):
+    rng = random.Random(size)
+    texts = [words(rng, 60)[:size - 1] + "z" for _ in range(60)]
+    rows = []
+    for t in texts:
+        chars = list(t)
+        for _ in range(int(0.1 * size)):
+            p, kind = rng.randrange(len(chars)), rng.random()
+            chars[p:p + 1] = [] if kind < 0.3 else [chars[p], "e"] if kind < 0.6 else ["z"]
+        rows.append(words(rng, 20) + " " + "".join(chars) + " " + words(rng, 20))
+    items = decontaminate.index_items(list(range(60)), texts)
+    data = np.frombuffer("".join(rows).encode(), np.uint8)
+    found = decontaminate.find_items(data, np.append(0, np.cumsum([len(r) for r in rows])), items)
+    best = {(row, item): distance for row, item, distance, _ in found}
+    lengths = [len(t) for t in items.texts]
+    for i in range(60):
+        want = plain_distance(items.texts[i].decode(), " ".join(rows[i].split()))
+        if want <= int(0.1 * lengths[i]):
+            assert best[i, i] == want
+    assert sum((i, i) in best for i in range(60)) >= 55

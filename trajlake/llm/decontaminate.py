@@ -8,7 +8,9 @@ other walks, makes the item-sized stretch around it a candidate. Candidates are
 distance of the item to the best stretch there.
 
 An item of n words has up to n windows per repetition, so one of them matches with high probability
-even if single windows seldom do: README lists the measured recall.
+even if single windows seldom do: README lists the measured recall. Shorter items have too few windows for
+that and are looked up exactly: cut into one piece more than edits are allowed, one piece stands unchanged
+wherever the item does, so none is missed. Shared 4-byte grams thin out the candidates before the distances.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from trajlake.llm.common import id_and_text, mix, text_buffers, runs
 
 REPETITIONS = 3
-# Steps of the walk, by the length of the item at least; an item below the least is looked up whole words only.
-WALKS = (64, 32, 16, 8)
+STEPS = 64
+# Items of fewer bytes are looked up by pieces; those below the least are left out.
+SHORT = 200
+LEAST = 8
 SAMPLED = 11
 MAX_EDIT_SHARE = 0.1
 # Items are sent to tasks in blocks of this many bytes at most, one pass over the documents per block.
@@ -93,34 +97,73 @@ class Walk:
 
 @dataclass
 class Items:
-    """Normalised items, and per walk the sorted keys of their windows with item and place."""
+    """Normalised items, per walk the sorted keys of the windows of long ones with item and place, and per
+    size the same of the pieces of short ones, with their last 8 bytes."""
 
     ids: list[int]
     texts: list[bytes]
     index: list[tuple[Walk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def index_items(ids: list[int], texts: list[str], repetitions: int = REPETITIONS) -> Items:
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    sieve = np.zeros(1 << 20, bool)
+    sieve[(keys >> np.uint64(44)).astype(np.int64)] = True
+    return sieve
+
+
+def _words(padded: np.ndarray, n: int) -> np.ndarray:
+    """The 8 bytes from each of the first n places on, as one number."""
+    out = np.zeros(n, np.uint64)
+    for i in range(8):
+        out |= padded[i:n + i].astype(np.uint64) << np.uint64(8 * i)
+    return out
+
+
+def _piece_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """Keys of the first ``size`` bytes, 8 at most."""
+    return (words & np.uint64((1 << 8 * size) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _piece_index(words: np.ndarray, bounds: np.ndarray, share: float) -> list:
+    """Pieces of the short items, one more per item than edits are allowed, by the bytes in their keys."""
+    item, place, length = [], [], []
+    for i, n in enumerate(np.diff(bounds).tolist()):
+        if LEAST <= n < SHORT:
+            parts = min(int(share * n) + 1, n)
+            cuts = [n * j // parts for j in range(parts + 1)]
+            item += [i] * parts
+            place += cuts[:-1]
+            length += [b - a for a, b in zip(cuts[:-1], cuts[1:])]
+    item, place, length = (np.array(x, np.int64) for x in (item, place, length))
+    out = []
+    for size in np.unique(np.minimum(length, 8)).tolist():
+        own = np.flatnonzero(np.minimum(length, 8) == size)
+        at = bounds[item[own]] + place[own]
+        keys = _piece_keys(words[at], size)
+        order = np.argsort(keys, kind="stable")
+        skip = np.maximum(length[own] - 8, 0)
+        last = _piece_keys(words[at + skip], size)
+        out.append((size, _sieve(keys), *(x[order] for x in (keys, item[own], place[own], np.stack([skip.astype(np.uint64), last], 1)))))
+    return out
+
+
+def index_items(ids: list[int], texts: list[str], repetitions: int = REPETITIONS, share: float = MAX_EDIT_SHARE) -> Items:
     data, offsets = text_buffers(pa.array(texts, pa.string()))
     norm, bounds, _ = normalise(data, offsets)
     length = np.diff(bounds)
-    padded = np.append(norm, np.zeros(max(WALKS) + 1, np.uint8))
+    padded = np.append(norm, np.zeros(STEPS + 1, np.uint8))
     start = _starts(norm, bounds)
     item = np.searchsorted(bounds, start, side="right") - 1
     index = []
-    for k, steps in enumerate(WALKS):
-        most = WALKS[k - 1] if k else 1 << 62
-        own = (length[item] >= steps) & (length[item] < most) & (bounds[item + 1] - start >= steps)
-        if not own.any():
-            continue
-        for r in range(repetitions):
-            walk = Walk(steps, r)
-            keys = walk.keys(padded, start[own])
-            order = np.argsort(keys, kind="stable")
-            sieve = np.zeros(1 << 20, bool)
-            sieve[(keys >> np.uint64(44)).astype(np.int64)] = True
-            index.append((walk, sieve, keys[order], item[own][order], (start[own] - bounds[item[own]])[order]))
-    return Items(ids, [norm[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], index)
+    own = (length[item] >= SHORT) & (bounds[item + 1] - start >= STEPS)
+    for r in range(repetitions if own.any() else 0):
+        walk = Walk(STEPS, r)
+        keys = walk.keys(padded, start[own])
+        order = np.argsort(keys, kind="stable")
+        index.append((walk, _sieve(keys), keys[order], item[own][order], (start[own] - bounds[item[own]])[order]))
+    return Items(ids, [norm[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], index,
+                 _piece_index(_words(padded, len(norm)), bounds, share))
 
 
 def best_match(item: bytes, stretch: bytes, limit: int) -> tuple[int, int] | None:
@@ -146,19 +189,66 @@ def best_match(item: bytes, stretch: bytes, limit: int) -> tuple[int, int] | Non
     return best
 
 
+def _pairs(key: np.ndarray, sieve: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``key`` and in the sorted ``keys`` that hold the same."""
+    near = np.flatnonzero(sieve[(key >> np.uint64(44)).astype(np.int64)])
+    low, high = (np.searchsorted(keys, key[near], side=s) for s in ("left", "right"))
+    n = high - low
+    return np.repeat(near, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _grams(words: np.ndarray) -> np.ndarray:
+    """12-bit hashes of the 4 bytes from each place on."""
+    return ((words.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.uint16)
+
+
+def _piece_hits(text: np.ndarray, padded: np.ndarray, bounds: np.ndarray, items: Items, share: float) -> Iterator[np.ndarray]:
+    """(row, item, begin) where a piece of a short item stands and enough of its 4-byte grams are near.
+
+    An edit changes 4 of the item's grams at most, so all others of them stand in the stretch around it.
+    """
+    words = _words(padded, len(text))
+    found = []
+    for size, sieve, keys, item, place, tail in items.pieces:
+        at, which = _pairs(_piece_keys(words, size), sieve, keys)
+        end = at + tail[which, 0].astype(np.int64)
+        same = end < len(text)
+        same[same] = _piece_keys(words[end[same]], size) == tail[which[same], 1]
+        at, which = at[same], which[same]
+        found.append(np.stack([np.searchsorted(bounds, at, side="right") - 1, item[which], at - place[which]], 1))
+    if not found:
+        return
+    hits = np.unique(np.concatenate(found), axis=0)
+    hits = hits[np.argsort(hits[:, 1], kind="stable")]
+    grams = _grams(words)
+    for own in np.split(hits, np.flatnonzero(np.diff(hits[:, 1])) + 1):
+        if not len(own):
+            continue
+        item = items.texts[own[0, 1]]
+        limit = int(share * len(item))
+        least = len(item) - 3 - 4 * limit
+        table = np.zeros(1 << 12, bool)
+        table[_grams(_words(np.frombuffer(item + bytes(8), np.uint8), len(item) - 3))] = True
+        for part in np.split(own, range(1 << 14, len(own), 1 << 14)):
+            places = part[:, 2:] + np.arange(-limit, len(item) + limit - 3)
+            inside = (places >= bounds[part[:, 0]][:, None]) & (places < bounds[part[:, 0] + 1][:, None])
+            near = table[grams[np.clip(places, 0, len(text) - 1)]] & inside
+            yield part[near.sum(1) >= least]
+
+
 def find_items(data: np.ndarray, offsets: np.ndarray, items: Items, share: float = MAX_EDIT_SHARE) -> list[tuple[int, int, int, int]]:
-    """(row, item, distance, end) of each item found in each row; ``end`` counts normalised bytes."""
+    """(row, item, distance, end) of each item found in each row; ``end`` counts normalised bytes.
+
+    ``share`` must be the one the items were indexed for."""
     text, bounds, _ = normalise(data, offsets)
-    start = _starts(text, bounds)
-    padded = np.append(text, np.zeros(max(WALKS) + 1, np.uint8))
+    padded = np.append(text, np.zeros(STEPS + 1, np.uint8))
     hits: list[np.ndarray] = []
+    if items.pieces and len(text):
+        hits += _piece_hits(text, padded, bounds, items, share)
+    start = _starts(text, bounds) if items.index else None
     for walk, sieve, keys, item, place in items.index:
-        key = walk.keys(padded, start)
-        near = np.flatnonzero(sieve[(key >> np.uint64(44)).astype(np.int64)])
-        low, high = (np.searchsorted(keys, key[near], side=s) for s in ("left", "right"))
-        n = high - low
-        which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at = np.repeat(start[near], n)
+        near, which = _pairs(walk.keys(padded, start), sieve, keys)
+        at = start[near]
         row = np.searchsorted(bounds, at, side="right") - 1
         hits.append(np.stack([row, item[which], at - place[which]], 1))
     out: dict[tuple[int, int], tuple[int, int]] = {}
@@ -182,14 +272,14 @@ def find_items(data: np.ndarray, offsets: np.ndarray, items: Items, share: float
     return [(row, i, d, end) for (row, i), (d, end) in out.items()]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, share: float) -> Iterator[Items]:
     """Indexed items, a bounded block at a time. Items without a letter or digit, or null, match nothing."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     for b in range(blocks):
         block = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield index_items([r["item_id"] for r in block], [r["text"] for r in block])
+        yield index_items([r["item_id"] for r in block], [r["text"] for r in block], share=share)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -203,7 +293,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
     null. Empty tables give no rows.
     """
     out = None
-    for items in _blocks(benchmark, item_id_col, item_text_col):
+    for items in _blocks(benchmark, item_id_col, item_text_col, max_edit_share):
         def task(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = text_buffers(batch.column(1))
@@ -225,7 +315,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                item_text_col: str = "text", max_edit_share: float = MAX_EDIT_SHARE) -> DataFrame:
     """The documents in which ``find_leaks`` finds no item, with all their columns."""
     at = docs.columns.index(text_col)
-    for items in _blocks(benchmark, item_id_col, item_text_col):
+    for items in _blocks(benchmark, item_id_col, item_text_col, max_edit_share):
         def task(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = text_buffers(batch.column(at))
