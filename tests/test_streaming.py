@@ -106,3 +106,23 @@ def test_appended_step_metrics(spark, tmp_path, make):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     run(append_stream_metrics(stream, str(tmp_path / "out"), str(tmp_path / "c")))
     assert spark.read.parquet(str(tmp_path / "out")).drop("batch").collect() == df.collect()
+
+
+def test_open_steps_are_closed_last(spark, tmp_path, make):
+    store, out = str(tmp_path / "store"), str(tmp_path / "out")
+    rows = [(float(t), 1.0) for t in range(8)]
+    make(rows, "t double, num_running_reqs double").write.parquet(f"{store}/batch=0")
+    steps = make([(1, None, 3.0), (2, 3.0, None)], "step long, t_start double, t_end double")
+    close_steps(spark, steps, store, out, 0, horizon=5.0)
+    close_steps(spark, steps, store, out, "last", horizon=None)
+    got = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/summary")
+    assert {r.step: r["srv/samples"] for r in got.collect()} == {1: 3.0, 2: 5.0}
+
+
+def test_streamed_scrapes_are_whole_files(spark, tmp_path):
+    folder = tmp_path / "scrapes"
+    folder.mkdir()
+    (folder / "7.5.txt").write_text(scrape(1, 2, 3))
+    query = stream_scrapes(spark, str(folder)).writeStream.format("memory").queryName("whole_scrapes").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [tuple(r) for r in spark.table("whole_scrapes").collect()] == [(7.5, scrape(1, 2, 3))]

@@ -24,8 +24,8 @@ def read_scrapes(spark: SparkSession, path: str) -> DataFrame:
 
 def stream_scrapes(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
     """The same folder as a stream; each new file is one scrape."""
-    files = (spark.readStream.option("wholetext", "true")
-             .option("maxFilesPerTrigger", str(max_files)).text(path))
+    # As an argument: text() would reset an option of that name.
+    files = spark.readStream.option("maxFilesPerTrigger", str(max_files)).text(path, wholetext=True)
     return _scrape_columns(files)
 
 

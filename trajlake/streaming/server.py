@@ -46,7 +46,7 @@ def close_steps(
     capacity: float | None = None,
     inclusive_end: bool = False,
 ) -> None:
-    """Summarise the steps that ended by ``horizon`` (None: all) and were not yet.
+    """Summarise the steps that ended by ``horizon`` (None: all, also those without an end) and were not yet.
 
     Files are named after the trigger, so running one twice replaces its own output.
     """
@@ -56,11 +56,11 @@ def close_steps(
         # With an inclusive end, a sample at the end itself does not prove the step over.
         ended = F.col("t_end") < F.lit(horizon) if inclusive_end else F.col("t_end") <= F.lit(horizon)
         todo = todo.filter(ended)
-    start = todo.agg(F.min("t_start")).first()[0]
-    if start is None:
+    n, known, start = todo.agg(F.count("*"), F.count("t_start"), F.min("t_start")).first()
+    if not n:
         return
-    # Parquet statistics skip the files of earlier, already closed steps.
-    recent = gauges(kept.filter(F.col("t") >= F.lit(float(start))))
+    # Parquet statistics skip the files of earlier, already closed steps. A step without a start needs them all.
+    recent = gauges(kept.filter(F.col("t") >= F.lit(float(start))) if known == n else kept)
     placed = assign_steps(recent, todo, inclusive_end=inclusive_end)
     server_summary(placed, ("step",), capacity).write.mode("overwrite").parquet(f"{out}/summary/batch={batch_id}")
     todo.select("step").write.mode("overwrite").parquet(
