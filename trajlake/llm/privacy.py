@@ -30,8 +30,6 @@ REMOVE_AT = 0.9
 GENERALISE_AT = 0.75
 # Different texts in which term and entity must occur together.
 MIN_SUPPORT = 3
-# Entities, terms and texts with so many rows are joined by broadcast, 1000 of them at most.
-HOT_ROWS = 1000
 
 
 def _may_hold(kind: str, text: Column) -> Column:
@@ -118,8 +116,7 @@ def disclosing_terms(rows: DataFrame, entities: DataFrame, *, remove_at: float =
         return nothing
     # Rounding must not drop what just reaches the threshold.
     bound = lambda docs: F.lit(total) * F.pow(docs / F.lit(total), F.lit(generalise_at)) * (1 + 1e-9)
-    held = join_group_values(held.drop("n"), protected, ["kind", "value"], how="inner", weight="texts", spread_by=["text_hash"],
-                             hot_rows=HOT_ROWS).drop("texts")
+    held = join_group_values(held.drop("n"), protected, ["kind", "value"], how="inner", spread_by=["text_hash"]).drop("texts")
     held = stored(held, "op1-held")
 
     places = entities.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
@@ -132,7 +129,7 @@ def disclosing_terms(rows: DataFrame, entities: DataFrame, *, remove_at: float =
     terms = words(texts).groupBy("term").agg(F.sum("n").alias("term_docs"), F.count("*").alias("texts"))
     terms = stored(terms.filter((F.col("texts") >= min_support) & (F.col("term_docs") <= bound(F.lit(most)))), "op1-terms")
     concerned = texts.join(held.select("text_hash").distinct(), "text_hash", "left_semi")
-    likely = join_group_values(words(concerned), terms, ["term"], how="inner", weight="texts", spread_by=["text_hash"], hot_rows=HOT_ROWS)
+    likely = join_group_values(words(concerned), terms, ["term"], how="inner", spread_by=["text_hash"])
     pairs = stored(likely.drop("texts").join(held, "text_hash").filter(F.col("term_docs") <= bound(F.col("entity_docs"))), "op1-pairs")
 
     rated = pairs.groupBy("term", "kind", "value").agg(
@@ -147,7 +144,7 @@ def disclosing_terms(rows: DataFrame, entities: DataFrame, *, remove_at: float =
     if not rated.limit(1).count():
         return nothing
     marks = join_group_values(pairs.select("text_hash", "term", "kind", "value"), rated, ["term", "kind", "value"], how="inner",
-                              weight="texts", spread_by=["text_hash"], hot_rows=HOT_ROWS)
+                              spread_by=["text_hash"])
     marks = stored(marks.groupBy("text_hash", "term").agg(F.max("action").alias("action")), "op1-marks")
     marked = texts.join(marks.select("text_hash").distinct(), "text_hash", "left_semi")
     at = marked.select("text_hash", "n", F.posexplode(F.arrays_zip(
@@ -159,8 +156,7 @@ def disclosing_terms(rows: DataFrame, entities: DataFrame, *, remove_at: float =
     found = at.groupBy("text_hash").agg(F.max("n").alias("n"), F.collect_list(F.struct(
         (F.col("end") - F.col("size")).alias("start"), "end", "action")).alias("found"))
     found = stored(found, "op1-found")
-    return join_group_values(rows.select("rid", "text_hash"), found, ["text_hash"], how="inner", weight="n", spread_by=["rid"],
-                             hot_rows=HOT_ROWS).select("rid", F.inline("found"))
+    return join_group_values(rows.select("rid", "text_hash"), found, ["text_hash"], how="inner", spread_by=["rid"]).select("rid", F.inline("found"))
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True,
