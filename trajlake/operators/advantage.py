@@ -15,7 +15,7 @@ GROUP = ("step", "instance_id")
 EPS = 1e-6
 
 
-def group_ordinal(df: DataFrame, arrival: str, keys: Sequence[str] = GROUP) -> DataFrame:
+def group_ordinal(df: DataFrame, arrival: str | Sequence[str], keys: Sequence[str] = GROUP) -> DataFrame:
     """``group_idx``: 0-based arrival position of a trajectory inside its group."""
     return with_positions(df, arrival, keys=keys, name="group_idx")
 
@@ -39,9 +39,10 @@ def attach_advantage(
     eps: float = EPS,
     std_normalize: bool = True,
     spread_by: Sequence[str] | None = None,
+    broadcast: bool | None = None,
 ) -> DataFrame:
     """Give every row its group's statistics and its ``advantage``."""
-    joined = join_group_values(df, stats, keys, weight="group_size", spread_by=spread_by)
+    joined = join_group_values(df, stats, keys, spread_by=spread_by, broadcast=broadcast)
     centered = F.col(reward) - F.col("group_mean")
     scaled = centered / (F.col("group_std") + F.lit(eps)) if std_normalize else centered
     return joined.withColumn(
@@ -56,10 +57,11 @@ def group_advantage(
     eps: float = EPS,
     std_normalize: bool = True,
     spread_by: Sequence[str] | None = None,
+    broadcast: bool | None = None,
 ) -> DataFrame:
     """Reward minus group mean, over group deviation when ``std_normalize``."""
     return attach_advantage(df, group_stats(df, keys, reward), keys, reward, eps=eps,
-                            std_normalize=std_normalize, spread_by=spread_by)
+                            std_normalize=std_normalize, spread_by=spread_by, broadcast=broadcast)
 
 
 def reward_signal(

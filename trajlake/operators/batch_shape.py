@@ -65,10 +65,15 @@ def batch_shape(
         *stats("num_turns", turn_count(F.col("assistant_turns"))))
 
 
-def global_seqlen(df: DataFrame, ranks: int, tokens: str = "n_tokens", index: str = "row_idx") -> DataFrame:
-    """Token sums of the ``ranks`` contiguous row chunks: min, max, mean and spread."""
-    n = df.agg(F.count("*")).scalar()
-    rank = F.floor(F.col(index).cast("long") * F.lit(ranks) / n)
+def global_seqlen(
+    df: DataFrame, ranks: int, tokens: str = "n_tokens", index: str = "row_idx", table: DataFrame | None = None
+) -> DataFrame:
+    """Token sums of the ``ranks`` contiguous row chunks: min, max, mean and spread.
+
+    ``table`` has the same rows without their index; given it, the rows are counted there.
+    """
+    n = (df if table is None else table).agg(F.count("*")).scalar()
+    rank = F.call_function("div", F.col(index).cast("long") * F.lit(ranks), n)
     chunks = df.groupBy(rank.alias("rank")).agg(F.sum(tokens).alias("_tokens"))
     low, high = F.min("_tokens"), F.max("_tokens")
     return chunks.agg(

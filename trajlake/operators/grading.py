@@ -74,12 +74,13 @@ def grade_outcome(
 
 
 def attach_grading(
-    trajectories: DataFrame, grades: DataFrame, keys: Sequence[str] = EPISODE
+    trajectories: DataFrame, grades: DataFrame, keys: Sequence[str] = EPISODE, broadcast: bool | None = None
 ) -> DataFrame:
     """Copy the grading fields onto every episode; an ungraded one gets their defaults.
 
     The keys may be coarser than an episode (one grade for all attempts at an instance),
-    so a heavy instance is kept from filling one task.
+    so a heavy instance, graded or not, is kept from filling one task. ``broadcast``: as in
+    ``join_group_values``.
     """
     zero = F.lit(0).cast("long")
     defaults = {
@@ -87,7 +88,7 @@ def attach_grading(
         "eval_error": F.lit(""), "patch_applied": F.lit(False),
         **{c: zero for c in GRADE_FIELDS[5:]},
     }
-    joined = join_group_values(trajectories, grades.select(*keys, *GRADE_FIELDS), keys)
+    joined = join_group_values(trajectories, grades.select(*keys, *GRADE_FIELDS), keys, broadcast=broadcast)
     return joined.withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
 
 

@@ -9,22 +9,24 @@ from pyspark.sql import functions as F
 
 from trajlake.functions.numbers import total_steps
 from trajlake.functions.predicates import contains_any
-from trajlake.operators.grouping import BROADCAST_ROWS, join_group_values, with_positions
+from trajlake.operators.grouping import join_group_values, row_at, running_sums, with_positions
 
 SPEC_KEYS = ("repo", "version")
 GROUP_SIZE = 8
+# Files whose row counts are broadcast: a path and a number each.
+MAX_FILES = 20_000
 
 
-def _with_spec(df: DataFrame, specs: DataFrame) -> DataFrame:
+def _with_spec(df: DataFrame, specs: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """Attach whether the row's (repo, version) has a spec, and its build error."""
     error = F.max("build_error") if "build_error" in specs.columns else F.lit(None).cast("string")
     known = specs.groupBy(*SPEC_KEYS).agg(error.alias("_error"), F.lit(True).alias("_known"))
-    return join_group_values(df, known, SPEC_KEYS, broadcast_rows=BROADCAST_ROWS)
+    return join_group_values(df, known, SPEC_KEYS, broadcast=broadcast)
 
 
-def keep_gradable(df: DataFrame, specs: DataFrame) -> DataFrame:
-    """Rows whose (repo, version) is in the spec table and builds."""
-    placed = _with_spec(df, specs)
+def keep_gradable(df: DataFrame, specs: DataFrame, broadcast: bool | None = None) -> DataFrame:
+    """Rows whose (repo, version) is in the spec table and builds. ``broadcast``: as in ``join_group_values``."""
+    placed = _with_spec(df, specs, broadcast)
     return placed.filter(F.col("_known") & F.col("_error").isNull()).drop("_known", "_error")
 
 
@@ -34,19 +36,40 @@ def drop_reason(repo: Column, version: Column) -> Column:
                     F.lit(") not in spec map"))
 
 
-def dropped(df: DataFrame, specs: DataFrame, id_col: str = "instance_id") -> DataFrame:
+def dropped(df: DataFrame, specs: DataFrame, id_col: str = "instance_id", broadcast: bool | None = None) -> DataFrame:
     """Rows left out by ``keep_gradable`` with the reason."""
-    placed = _with_spec(df, specs).filter(F.col("_known").isNull() | F.col("_error").isNotNull())
+    placed = _with_spec(df, specs, broadcast).filter(F.col("_known").isNull() | F.col("_error").isNotNull())
     reason = F.when(F.col("_known"), F.col("_error")).otherwise(drop_reason(F.col("repo"), F.col("version")))
     return placed.select(
         *df.columns, F.concat(F.col(id_col).cast("string"), F.lit(": "), reason).alias("reason"))
 
 
-def with_row_index(df: DataFrame, order: str, ties: Sequence[str] = ()) -> DataFrame:
-    """0-based position over the whole table, from chunked sums rather than one sorted task."""
+def with_row_index(df: DataFrame, order: str | Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """0-based position over the whole table along columns of any sortable type, nulls first."""
     return with_positions(df, order, ties=ties, name="row_idx")
 
 
+def in_file_order(df: DataFrame, name: str = "row_idx", *, broadcast: bool | None = None) -> DataFrame:
+    """Rows of a table read from files, with their 0-based position in it: files by name, rows as they lie.
+
+    The reader tells file and place of each row (``_metadata``), so no row is sorted or moved: the rows
+    are counted per file, and the files before give each file's first position. The counts are broadcast
+    if the table has at most ``MAX_FILES`` files; with more, rows and counts meet in a skew-proof join.
+    Call it on the table as read: later steps hide the file columns. Formats without ``row_index`` in
+    their metadata (all but Parquet) raise an error.
+    """
+    placed = df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    counts = placed.groupBy("_file").agg(F.count("*").alias("_rows"))
+    # Ranges only pay for very many files.
+    files = len(df.inputFiles())
+    upto = running_sums(counts, "_file", {"_upto": F.col("_rows")}, ranges=-(-files // MAX_FILES))
+    before = upto.select("_file", (F.col("_upto") - F.col("_rows")).alias("_before"))
+    few = files <= MAX_FILES if broadcast is None else broadcast
+    joined = placed.join(F.broadcast(before), "_file") if few else join_group_values(
+        placed, before, ["_file"], how="inner", spread_by=["_at"], broadcast=False)
+    return joined.select(*df.columns, (F.col("_before") + F.col("_at")).alias(name))
+
+
 def split_first_k(df: DataFrame, k: int = 20, index: str = "row_idx") -> DataFrame:
     """Tag the first ``k`` rows ``val`` and the rest ``train``; no shuffle, no seed."""
     return df.withColumn("split", F.when(F.col(index) < k, F.lit("val")).otherwise(F.lit("train")))
@@ -75,14 +98,16 @@ def prep_report(df: DataFrame, specs: DataFrame, val_size: int = 20) -> DataFram
 
 
 def assign_batches(
-    instances: DataFrame, batch_size: int, steps: int | None = None, *, epochs: int = 3, index: str = "row_idx"
+    instances: DataFrame, batch_size: int, steps: int | None = None, *, epochs: int = 3, index: str = "row_idx",
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """Cyclic batches: slot k (0-based, over all steps) holds instance k mod N.
 
     Every instance lists its own slots, so nothing is joined. ``steps`` defaults to the
-    steps of ``epochs`` passes.
+    steps of ``epochs`` passes. ``table`` has the same rows without their index; given it, the rows are
+    counted there, and the index is worked out once.
     """
-    n = instances.agg(F.count("*")).scalar()
+    n = (instances if table is None else table).agg(F.count("*")).scalar()
     wanted = F.lit(steps) if steps is not None else total_steps(n, batch_size, epochs)
     slots = wanted.cast("long") * F.lit(batch_size)
     mine = F.when(F.col(index) < slots, F.sequence(F.col(index).cast("long"), slots - 1, n.cast("long")))
@@ -97,9 +122,11 @@ def expand_groups(df: DataFrame, group_size: int = GROUP_SIZE) -> DataFrame:
     return df.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(group_size - 1))))
 
 
-def missing(required: DataFrame, present: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
+def missing(
+    required: DataFrame, present: DataFrame, keys: Sequence[str] = ("name",), broadcast: bool | None = None
+) -> DataFrame:
     """Required names that are not present."""
-    return join_group_values(required, present, keys, how="left_anti", broadcast_rows=BROADCAST_ROWS)
+    return join_group_values(required, present, keys, how="left_anti", broadcast=broadcast)
 
 
 def skip_any(df: DataFrame, column: str, parts: Sequence[str]) -> DataFrame:
@@ -124,9 +151,9 @@ def lookup_id(df: DataFrame, instance_id, column: str = "instance_id", order: Se
     return df.filter(F.col(column) == F.lit(instance_id)).orderBy(*(order or [column])).limit(1)
 
 
-def lookup_index(df: DataFrame, index: int, order: str, ties: Sequence[str] = ()) -> DataFrame:
-    """The row at a 0-based position along ``order``, empty if there are fewer rows."""
-    return with_positions(df, order, ties=ties, name="_at").filter(F.col("_at") == index).drop("_at")
+def lookup_index(df: DataFrame, index: int, order: str | Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
+    """The row at a 0-based position along ``order``, empty if there are fewer rows; only its range is sorted."""
+    return row_at(df, index, order, ties=ties)
 
 
 def require_row(df: DataFrame, what: str) -> DataFrame:
@@ -140,6 +167,8 @@ def head_rows(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def attach_instances(rollouts: DataFrame, instances: DataFrame, keys: Sequence[str] = ("instance_id",)) -> DataFrame:
+def attach_instances(
+    rollouts: DataFrame, instances: DataFrame, keys: Sequence[str] = ("instance_id",), broadcast: bool | None = None
+) -> DataFrame:
     """Rollout rows with the columns of their instance; a heavy instance is spread out."""
-    return join_group_values(rollouts, instances, keys, how="inner")
+    return join_group_values(rollouts, instances, keys, how="inner", broadcast=broadcast)

@@ -83,6 +83,34 @@ def large_group_advantage(spark, sf):
     return rounded(out.select("o_orderkey", "o_custkey", "reward", "advantage"))
 
 
+@query("heavy_group_advantage", """
+WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS grp,
+                  CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM orders)
+SELECT o_orderkey, grp, reward,
+       round(CASE WHEN min(reward) OVER g = max(reward) OVER g THEN 0.0
+             ELSE (reward - avg(reward) OVER g) / (stddev_pop(reward) OVER g + 1e-6) END, 6) AS advantage
+FROM r WINDOW g AS (PARTITION BY grp)""")
+def heavy_group_advantage(spark, sf):
+    """One group holds a third of the rows, and the statistics are too large to broadcast."""
+    out = adv.group_advantage(_heavy_orders(spark, sf), ["grp"], spread_by=["o_orderkey"], broadcast=False)
+    return rounded(out.select("o_orderkey", "grp", "reward", "advantage"))
+
+
+def _heavy_orders(spark, sf) -> DataFrame:
+    grp = F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("o_custkey"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", "o_orderdate", grp.alias("grp"), (F.col("o_orderstatus") == "F").cast("double").alias("reward"))
+
+
+@query("heavy_group_ordinal", """
+SELECT o_orderkey, grp, row_number() OVER (PARTITION BY grp ORDER BY o_orderdate, o_orderkey) - 1 AS group_idx
+FROM (SELECT *, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS grp FROM orders)""")
+def heavy_group_ordinal(spark, sf):
+    """Arrival positions by date, of a group with a third of the rows among others."""
+    orders = _heavy_orders(spark, sf)
+    return adv.group_ordinal(orders, ["o_orderdate", "o_orderkey"], ["grp"]).select("o_orderkey", "grp", "group_idx")
+
+
 @query("group_ordinal", """
 SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS group_idx
 FROM orders""")

@@ -87,6 +87,18 @@ def attach_grading(spark, sf):
     return g.attach_grading(docs, grades(spark, sf), ["doc_id"])
 
 
+@query("attach_grading_spread", f"""
+WITH {GRADES_SQL}
+SELECT d.doc_id, d.source, coalesce(resolved, false) AS resolved, coalesce(reward, 0.0) AS reward, coalesce(f2p_passed, 0) AS f2p_passed
+FROM documents d LEFT JOIN grades g ON CASE WHEN d.doc_id % 2 = 0 THEN -1 ELSE d.doc_id END = g.doc_id""")
+def attach_grading_spread(spark, sf):
+    """Half of the rows share a key that was never graded."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source")
+    keyed = docs.withColumn("doc_id", F.when(F.col("id") % 2 == 0, F.lit(-1).cast("long")).otherwise(F.col("id")))
+    out = g.attach_grading(keyed, grades(spark, sf), ["doc_id"], broadcast=False)
+    return out.select(F.col("id").alias("doc_id"), "source", "resolved", "reward", "f2p_passed")
+
+
 @query("degrade_to_zero", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 0.0 ELSE o_totalprice END AS reward,
        o_orderstatus <> 'P' AS resolved, CASE WHEN o_orderstatus = 'P' THEN 'crashed: ' || o_orderpriority ELSE '' END AS eval_error

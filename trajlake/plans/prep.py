@@ -39,6 +39,14 @@ def gradable_split(spark, sf):
     return split_instances(spark, sf).select("instance_id", "row_idx", "split")
 
 
+@query("gradable_spread", f"""
+WITH {SPEC_SQL}
+SELECT p_partkey AS instance_id, repo, version FROM good""")
+def gradable_spread(spark, sf):
+    """The same filter through the skew-proof join, as for spec tables too large to broadcast."""
+    return p.keep_gradable(instances(spark, sf), specs(spark, sf), broadcast=False).select("instance_id", "repo", "version")
+
+
 @query("prepared_rows", f"""
 WITH {SPEC_SQL}
 SELECT 'swebench' AS data_source, 'swebench_agent' AS agent_name, 1 AS n_messages, 'user' AS role, p_name AS content,
@@ -79,6 +87,32 @@ def row_index(spark, sf):
     return p.with_row_index(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@query("row_index_strings", """
+SELECT c_name, c_mktsegment, row_number() OVER (ORDER BY seg NULLS FIRST, c_name) - 1 AS row_idx
+FROM (SELECT *, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment END AS seg FROM customer)""")
+def row_index_strings(spark, sf):
+    """Positions along string columns, of which one is null for a fifth of the rows."""
+    named = table(spark, sf, "customer").select(
+        "c_name", "c_mktsegment", F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment")).alias("seg"))
+    return p.with_row_index(named, ["seg", "c_name"]).drop("seg")
+
+
+@query("row_index_files", """
+SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents""")
+def row_index_files(spark, sf):
+    """Positions in file order; the table's files are in ascending order of doc_id."""
+    return p.in_file_order(table(spark, sf, "documents")).select("doc_id", "source", "row_idx")
+
+
+@query("file_order_split", """
+SELECT p_partkey AS instance_id, CASE WHEN row_number() OVER (ORDER BY p_partkey) <= 20 THEN 'val' ELSE 'train' END AS split
+FROM part""")
+def file_order_split(spark, sf):
+    """First-k split of a task table in file order, by its string id."""
+    rows = p.in_file_order(table(spark, sf, "part"), broadcast=False)
+    return p.split_first_k(rows, 20).select(F.col("p_partkey").alias("instance_id"), "split")
+
+
 CYCLE_SQL = """
 WITH n AS (SELECT count(*) AS n FROM supplier),
 slots AS (SELECT unnest(range(CAST(ceil(n / 7.0) AS BIGINT) * 3 * 7)) AS slot FROM n),
@@ -90,8 +124,8 @@ s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS row_idx FR
 SELECT s_suppkey, slot, slot // 7 AS step, slot % 7 AS position
 FROM slots CROSS JOIN n JOIN s ON row_idx = slot % n.n""")
 def cyclic_batches(spark, sf):
-    suppliers = p.with_row_index(table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey")
-    return p.assign_batches(suppliers, 7, epochs=3).select("s_suppkey", "slot", "step", "position")
+    suppliers = table(spark, sf, "supplier").select("s_suppkey")
+    return p.assign_batches(p.with_row_index(suppliers, "s_suppkey"), 7, epochs=3, table=suppliers).select("s_suppkey", "slot", "step", "position")
 
 
 @query("expand_groups", """
@@ -129,6 +163,17 @@ def missing_names(spark, sf):
     return p.missing(table(spark, sf, "customer").select("c_custkey"), seen, ["c_custkey"])
 
 
+@query("missing_spread", """
+SELECT o_orderkey, grp FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS grp FROM orders)
+WHERE grp NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')""")
+def missing_spread(spark, sf):
+    """A third of the rows hold one key that is nowhere present."""
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(-1).cast("long")).otherwise(F.col("o_custkey")).alias("grp"))
+    present = table(spark, sf, "customer").filter(F.col("c_mktsegment") == "BUILDING").select(F.col("c_custkey").alias("grp"))
+    return p.missing(orders, present, ["grp"], broadcast=False)
+
+
 @query("skip_any", """
 SELECT p_partkey FROM part WHERE NOT contains(p_type, 'BRASS') AND NOT contains(p_type, 'TIN')""")
 def skip_any(spark, sf):

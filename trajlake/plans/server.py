@@ -143,6 +143,37 @@ def assign_steps(spark, sf):
     return sm.assign_steps(e.drop("event_type"), steps, width=3600.0).select("event_id", "step")
 
 
+@query("assign_open_steps", """
+WITH b AS (SELECT epoch_us(min(ts)) / 1e6 AS lo, epoch_us(max(ts)) / 1e6 AS hi FROM events),
+steps AS (
+  SELECT 'from the start' AS step, NULL AS t_start, lo + 86400 AS t_end FROM b
+  UNION ALL SELECT 'to the end', hi - 5 * 86400, NULL FROM b
+  UNION ALL SELECT 'always', NULL, NULL FROM b
+  UNION ALL SELECT 'within', lo + 1000.5, lo + 3 * 86400 FROM b
+  UNION ALL SELECT 'backwards', hi, lo FROM b
+  UNION ALL SELECT 'day ' || epoch_us(ts) // 86400000000, min(epoch_us(ts)) / 1e6, max(epoch_us(ts)) / 1e6 FROM events GROUP BY 1)
+SELECT s.step, count(*) AS n, CAST(sum(e.event_id) AS BIGINT) AS ids FROM events e
+JOIN steps s ON (t_start IS NULL OR epoch_us(e.ts) / 1e6 >= t_start) AND (t_end IS NULL OR epoch_us(e.ts) / 1e6 <= t_end)
+GROUP BY 1""")
+def assign_open_steps(spark, sf):
+    """Nested, overlapping and open windows; the join is dealt over several tasks."""
+    e = table(spark, sf, "events").select("event_id", epoch_seconds(F.col("ts")).alias("t"))
+    none = F.lit(None).cast("double")
+
+    def window(name, start, end):
+        return F.struct(F.lit(name).alias("step"), start.alias("t_start"), end.alias("t_end"))
+
+    b = e.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    lo, hi, day = F.col("lo"), F.col("hi"), 86400
+    made = b.select(F.inline(F.array(
+        window("from the start", none, lo + day), window("to the end", hi - 5 * day, none), window("always", none, none),
+        window("within", lo + 1000.5, lo + 3 * day), window("backwards", hi, lo))))
+    daily = e.groupBy(F.concat(F.lit("day "), F.floor(F.col("t") / day)).alias("step")).agg(
+        F.min("t").alias("t_start"), F.max("t").alias("t_end"))
+    out = sm.assign_steps(e, made.unionByName(daily), broadcast=False)
+    return out.groupBy("step").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
 @query("window_samples", f"""
 WITH {SAMPLES_SQL}, b AS (SELECT min(t) + 86400 AS lo, min(t) + 3 * 86400 AS hi FROM samples)
 SELECT step, count(*) AS n FROM samples, b WHERE t >= lo AND t <= hi GROUP BY 1""")

@@ -64,7 +64,7 @@ SELECT CAST(min(t) AS DOUBLE) AS "global_seqlen/min", CAST(max(t) AS DOUBLE) AS
 FROM c""")
 def global_seqlen(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "n_chars")
-    return rounded(bs.global_seqlen(with_row_index(docs, "doc_id"), 8, tokens="n_chars"), 4)
+    return rounded(bs.global_seqlen(with_row_index(docs, "doc_id"), 8, tokens="n_chars", table=docs), 4)
 
 
 @query("timing_per_token", """
