@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm import decontaminate, exact, jaccard, language, orc, packing, privacy, quality, sharding, suffix
+from trajlake.llm import decontaminate, exact, jaccard, language, orc, packing, privacy, quality, resample, sharding, suffix
 from trajlake.llm.common import documents, work_path
 from trajlake.llm.tokens import public_tokenizer
 
@@ -101,3 +101,39 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc.with_crc32(orc.encode_to_orc(
         documents(spark, sf_dir), work_path(spark, "op10-orc"), public_tokenizer("word_bpe_49k.json")))
+
+
+# DuckDB has no crc32: the polynomial's table for half a byte, walked over the hex digits of each word.
+@query("op11_resampling", r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+goal AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+here AS (SELECT doc_id, unnest(w) AS word FROM docs),
+vocabulary AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM here UNION SELECT word FROM goal)),
+hashed AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_prepend(4294967295, flatten(list_transform(range(1, len(x) + 1, 2), lambda i: [
+      CAST(strpos('0123456789ABCDEF', x[i + 1]) - 1 AS BIGINT), CAST(strpos('0123456789ABCDEF', x[i]) - 1 AS BIGINT)]))),
+    lambda c, h: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580,
+      3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][xor(c, h) % 16 + 1]))) % 10000 AS bucket
+  FROM vocabulary),
+s AS (SELECT bucket, count(*) AS n FROM here JOIN hashed USING (word) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS n FROM goal JOIN hashed USING (word) GROUP BY 1),
+gain AS (
+  SELECT b.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)
+           / ((coalesce(s.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000)))) AS BIGINT) AS g
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+means AS (SELECT doc_id, count(*) AS n, CAST(floor(sum(g) / count(*)) AS BIGINT) AS m
+          FROM here JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(m, 0) AS weight, coalesce(m, 0) + CAST(floor(-1000 * ln(-ln(
+         (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN means USING (doc_id)),
+ordered AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN ordered USING (doc_id)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
