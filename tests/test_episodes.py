@@ -105,9 +105,9 @@ def test_actions_log(make):
                     "trajectory_id long, turn long, call_idx int, name string, command string, returncode int, output string, submitted boolean")
     errors = make([(1, 1, "<tool_call>{"), (2, 1, "hi")], "trajectory_id long, turn long, raw_text string")
     got = {r.trajectory_id: r for r in actions_log(executed, errors).collect()}
-    assert got[1].num_actions == 3
+    assert got[1].num_actions == 4
     tools = [(a.turn, a.tool, a.returncode, a.submitted) for a in got[1].actions]
-    assert tools == [(1, "<format_error>", None, None), (2, "bash", 0, False), (2, "bash", 0, True)]
+    assert tools == [(1, "<format_error>", None, None), (2, "bash", 0, False), (2, "bash", 0, True), (90, "bash", 0, False)]
     assert got[1].actions[1].command == "x" * 300 + "...(truncated)..." + "x" * 300
     assert got[1].actions[1].output == "y" * 200 + "...(truncated)..." + "y" * 200
     assert got[2].actions[0].tool == "<no_tool_call>"

@@ -101,7 +101,8 @@ def test_reports_and_grading(spark, tmp_path, make):
     root = str(tmp_path / "logs")
     counts = grade_counts(records.read_reports(spark, root))
     got = {r.instance_id: r for r in counts.collect()}
-    assert set(got) == {"i1", "i2", "i5", "i6"} and got["i1"].model == "org__model" and got["i1"].run_id == "run1"
+    assert set(got) == {"i1", "i2", "i4", "i5", "i6"} and got["i1"].model == "org__model" and got["i1"].run_id == "run1"
+    assert {i: r.report_status for i, r in got.items() if r.report_status != "ok"} == {"i4": "missing instance"}
     assert (got["i1"].f2p_passed, got["i1"].f2p_total, got["i1"].p2p_passed, got["i1"].p2p_total) == (2, 2, 1, 2)
     assert (got["i2"].resolved, got["i2"].f2p_total, got["i2"].p2p_total) == (False, 1, 0)
 
@@ -156,9 +157,63 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
 def test_metric_sinks(spark, tmp_path, make):
     long = make([("r", 0, "val-x", 0.5), ("r", 1, "a", 1.0), ("r", 3, "a", 2.0)], "run string, step long, metric string, value double")
     tables.write_metric_matrix(long, str(tmp_path / "m"))
-    text = "".join(p.read_text() for p in (tmp_path / "m").glob("*.csv"))
-    assert text == "metric,step_0,step_1,step_2,step_3\na,,1.0,,2.0\nval-x,0.5,,,\n"
+    read = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    assert read("m") == "metric,step_0,step_1,step_3\na,,1.0,2.0\nval-x,0.5,,\n"
+    tables.write_metric_matrix(long, str(tmp_path / "given"), range(4))
+    assert read("given") == "metric,step_0,step_1,step_2,step_3\na,,1.0,,2.0\nval-x,0.5,,,\n"
+    far = make([("m", 0, 1.0), ("m", 2_000_000, 2.0), ('q",', 2_000_000, None), ('q",', 7, -0.5), ("n", None, 3.0)],
+               "metric string, step long, value double")
+    tables.write_metric_matrix(far, str(tmp_path / "far"))
+    assert read("far") == 'metric,step_0,step_7,step_2000000\nm,1.0,,2.0\n"q"",",,-0.5,\n'
+    back = {(r.step, r.metric): r.value for r in tables.read_metric_matrix(spark, str(tmp_path / "far")).collect()}
+    assert back == {(0, "m"): 1.0, (2_000_000, "m"): 2.0, (7, 'q",'): -0.5}
+    tables.write_metric_matrix(make([], "metric string, step long, value double"), str(tmp_path / "none"))
+    assert read("none").strip() in ("", "metric")
     for _ in range(2):
         tables.append_step_metrics(long, str(tmp_path / "steps"))
     back = spark.read.parquet(str(tmp_path / "steps"))
     assert back.count() == 6 and (tmp_path / "steps" / "run=r").exists()
+
+
+def test_reports_that_cannot_be_read(make):
+    """Each as the reader of one report after the other would take it: an error, or counts."""
+    entry = lambda **kw: json.dumps({"i": kw})
+    cases = {
+        "cut off": ('{"i": {"resolved": true', "unreadable report", None),
+        "empty": ("", "unreadable report", None),
+        "twice": ("{} {}", "unreadable report", None),
+        "list": ("[1]", "wrong type: report", None),
+        "other": ('{"j": {}}', "missing instance", (False, 0, 0)),
+        "null entry": ('{"i": null}', "wrong type: instance_id", None),
+        "bare": ('{"i": {}}', "ok", (False, 0, 0)),
+        "status": (entry(resolved=True, tests_status=5), "wrong type: tests_status", None),
+        "bucket": (entry(resolved=True, tests_status={"FAIL_TO_PASS": []}), "wrong type: FAIL_TO_PASS", None),
+        "number": (entry(tests_status={"FAIL_TO_PASS": {"success": 3}}), "wrong type: FAIL_TO_PASS.success", None),
+        "null list": (entry(tests_status={"PASS_TO_PASS": {"failure": None}}), "wrong type: PASS_TO_PASS.failure", None),
+        "text": (entry(resolved=True, tests_status={"FAIL_TO_PASS": {"success": "abc", "failure": {"x": 1}}}), "ok", (True, 3, 4)),
+        "good": (entry(resolved=True, tests_status={"FAIL_TO_PASS": {"success": ["a"], "failure": ["b", "c"]}}), "ok", (True, 1, 3)),
+        "words": (entry(resolved="yes"), "ok", (True, 0, 0)),
+        "zero": (entry(resolved=0), "ok", (False, 0, 0)),
+        "null flag": (entry(resolved=None), "ok", (False, 0, 0)),
+    }
+    files = make([(name, "i", text) for name, (text, _, _) in cases.items()] + [("null", "i", None)], "case string, instance_id string, value string")
+    counts = grade_counts(records.parse_reports(files))
+    got = {r.case: r for r in counts.collect()}
+    assert set(got) == {*cases, "null"} and got["null"].report_status == "unreadable report"
+    for name, (_, status, want) in cases.items():
+        r = got[name]
+        assert (r.report_status, (r.resolved, r.f2p_passed, r.f2p_total)) == (status, want or (False, 0, 0)), name
+    patches = make([(name, "diff") for name in cases], "case string, submission string")
+    graded = {r.case: r for r in grade_outcome(patches, counts.drop("instance_id"), make([], "case string, eval_error string"), keys=["case"]).collect()}
+    for name, (_, status, want) in cases.items():
+        r = graded[name]
+        assert (r.eval_error, r.reward) == (("", float(want[0])) if want else (status, 0.0)), name
+    errors = {r.case: r.eval_error for r in records.report_errors(counts, ["case"]).collect()}
+    assert errors == {**{n: s for n, (_, s, w) in cases.items() if not w}, "null": "unreadable report"}
+
+
+def test_reports_find_their_episode(make):
+    reports = make([("run-7", "i1", "ok"), ("run-8", "i1", "ok")], "run_id string, instance_id string, report_status string")
+    episodes = make([("run-7", "i1", 3, 0), ("run-8", "i1", 3, 1), ("run-9", "i2", 3, 0)], "run_id string, instance_id string, step long, group_idx long")
+    got = sorted((r.run_id, r.step, r.group_idx) for r in records.episode_runs(reports, episodes).collect())
+    assert got == [("run-7", 3, 0), ("run-8", 3, 1)]

@@ -41,7 +41,7 @@ SALVAGE = [
 def test_salvage_fixtures(make):
     df = make([(i, wrap(p)) for i, (p, _) in enumerate(SALVAGE)], "i long, raw string")
     blocks = df.withColumn("b", tc.closed_blocks(F.col("raw")))
-    out = tc.readable_blocks(blocks, "b", "r").withColumn("d", tc.decode_blocks(F.col("r"))).select("i", tc.salvage_calls(F.col("b"), F.col("d")).alias("c"))
+    out = tc.decoded_blocks(blocks, "b", "d").select("i", tc.salvage_calls(F.col("b"), F.col("d")).alias("c"))
     got = {r.i: tuple(r.c[0]) if r.c else None for r in out.collect()}
     assert got == {i: want for i, (_, want) in enumerate(SALVAGE)}
 
@@ -61,7 +61,7 @@ STRICT = [
 
 def test_strict_fixtures(make):
     df = make([(i, [p]) for i, (p, _) in enumerate(STRICT)], "i long, b array<string>")
-    out = tc.readable_blocks(df, "b", "r").select("i", tc.strict_calls(tc.decode_blocks(F.col("r"))).alias("c"))
+    out = tc.decoded_blocks(df, "b", "d").select("i", tc.strict_calls(F.col("d")).alias("c"))
     assert {r.i: tuple(r.c[0]) if r.c else None for r in out.collect()} == {i: want for i, (_, want) in enumerate(STRICT)}
 
 
@@ -222,7 +222,7 @@ def test_random_payloads(make):
     heads = ['{"name":"bash","arguments":{"command":"', '{"name": "x", "arguments": {"command": "', '{"name":"a\\"b","arguments":{"command":"']
     payloads = [rng.choice(heads) + "".join(rng.choice(bits) for _ in range(rng.randrange(7))) + '"}}' for _ in range(1500)]
     df = make([(i, [p]) for i, p in enumerate(payloads)], "i long, b array<string>")
-    got = {r.i: r.d[0] for r in tc.readable_blocks(df, "b", "r").withColumn("d", tc.decode_blocks(F.col("r"))).collect()}
+    got = {r.i: r.d[0] for r in tc.decoded_blocks(df, "b", "d").collect()}
     for i, payload in enumerate(payloads):
         try:
             obj = json.loads(payload)
@@ -231,3 +231,11 @@ def test_random_payloads(make):
             continue
         args = obj["arguments"]
         assert (got[i].strict, got[i].name, got[i].command) == (True, obj["name"], args.get("command", "")), payload
+
+
+def test_no_row_is_lost_for_null_payloads(make):
+    rows = [(1, ['{"name": "a", "arguments": {"command": "ls"}}']), (2, None), (3, [None, '{"name": "b", "arguments": {}}']),
+            (4, ['{"name": "c", "name": "d", "arguments": {"command": "x"}}', None]), (5, []), (6, ["{not json}"])]
+    out = tc.decoded_blocks(make(rows, "i int, b array<string>"), "b", "d").withColumn("c", tc.strict_calls(F.col("d")))
+    got = {r.i: None if r.c is None else [(c.name, c.command) for c in r.c] for r in out.collect()}
+    assert got == {1: [("a", "ls")], 2: None, 3: [("b", "")], 4: [("d", "x")], 5: [], 6: []}

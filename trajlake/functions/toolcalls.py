@@ -28,14 +28,25 @@ def closed_blocks(text: Column) -> Column:
     return F.transform(F.coalesce(found, F.array().cast("array<string>")), strip_space)
 
 
+def _bracketed(text: Column) -> Column:
+    """Text between brackets and before a zero: what follows a JSON value there breaks the syntax or shifts the zero."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
+
+
+def _alone(whole: Column) -> Column:
+    """The one value of a ``_bracketed`` text, null if there is none or something else besides."""
+    one = (F.try_variant_get(whole, "$[1]", "int") == 0) & F.try_variant_get(whole, "$[2]", "variant").isNull()
+    return F.when(one, F.try_variant_get(whole, "$[0]", "variant"))
+
+
 def parsed(text: Column) -> Column:
-    """The JSON value of a text as a variant; null if the text is not one JSON value and nothing else.
+    """The JSON value of a text as a variant; null if the text is not one JSON value and nothing else."""
+    return parsed_all(F.array(text))[0]
 
-    Set between brackets and before a zero, text after the value breaks the syntax or shifts the zero.
-    """
-    whole = F.try_parse_json(F.concat(F.lit("["), text, F.lit(",0]")))
-    alone = (F.try_variant_get(whole, "$[1]", "int") == 0) & F.try_variant_get(whole, "$[2]", "variant").isNull()
-    return F.when(alone, F.try_variant_get(whole, "$[0]", "variant"))
+
+def parsed_all(texts: Column) -> Column:
+    """``parsed`` of an array of texts. Arrays in between hold each text's value, which lambdas would work out again."""
+    return F.transform(F.transform(texts, _bracketed), _alone)
 
 
 def _field(value: Column, key: str) -> Column:
@@ -63,14 +74,8 @@ def arguments_command(arguments: Column) -> Column:
     return F.coalesce(_command(parsed(arguments)), F.lit(""))
 
 
-def _may_be_json(text: Column) -> Column:
-    """Whether a text that ``parsed`` rejects may still be an object with repeated keys or NaN, which some parsers take."""
-    return parsed(text).isNull() & text.rlike(r"(?s)^\s*\{.*\}\s*$")
-
-
-def _open_block(block: Column) -> Column:
-    inner = _text(_field(parsed(block), "arguments"))
-    return _may_be_json(block) | F.coalesce(_may_be_json(inner), F.lit(False))
+# JSON by its looks: an object, which some parsers take even with repeated keys or NaN.
+LOOKS_LIKE_OBJECT = r"(?s)^\s*\{.*\}\s*$"
 
 
 def _rewritten(blocks: pd.Series) -> pd.Series:
@@ -84,40 +89,52 @@ def _rewritten(blocks: pd.Series) -> pd.Series:
             value["arguments"] = again(value["arguments"], 0)
         return json.dumps(value, ensure_ascii=False).encode("utf-8", "replace").decode()
 
-    return blocks.map(lambda row: [again(block) for block in row])
+    return blocks.map(lambda row: None if row is None else [block if block is None else again(block) for block in row])
 
 
-def readable_blocks(df: DataFrame, blocks: str, name: str) -> DataFrame:
-    """Add the payloads of ``blocks`` in a form that ``parsed`` decides.
+def decoded_blocks(df: DataFrame, blocks: str, name: str) -> DataFrame:
+    """Add what ``decode_blocks`` makes of the payloads in ``blocks``, an array of texts that may be null or hold nulls.
 
-    Only rows with a payload that may be JSON in spite of it go through Python, in a branch of their own.
+    Rows with a payload that looks like an object and yet is none by the strict rules have their payloads
+    written anew by the JSON module, and decoded again. The other rows send a null through Python; the
+    input is read once.
     """
-    undecided = F.exists(F.col(blocks), _open_block)
-    return df.filter(~undecided).withColumn(name, F.col(blocks)).unionByName(
-        df.filter(undecided).withColumn(name, F.pandas_udf(_rewritten, "array<string>")(F.col(blocks))))
+    first = df.withColumn("_first", decode_blocks(F.col(blocks)))
+    doubtful = F.coalesce(F.exists("_first", lambda d: d["doubtful"]), F.lit(False))
+    again = F.pandas_udf(_rewritten, "array<string>")(F.when(doubtful, F.col(blocks)))
+    second = first.withColumn("_again", again)
+    return second.withColumn(name, F.when(F.col("_again").isNull(), F.col("_first")).otherwise(
+        decode_blocks(F.col("_again")))).drop("_first", "_again")
 
 
 def decode_blocks(blocks: Column) -> Column:
-    """Per payload: whether it is a strict call, the call, and the near-miss call.
+    """Per payload: whether it is a strict call, the call, the near-miss call, and whether its JSON is doubtful.
 
     A strict call is an object with ``name`` and ``arguments``. Arguments may be an object or JSON text of
     one; a command that cannot be read is empty. A near miss needs an object only: its name defaults to
     the shell, its command is the argument text itself where that is no JSON, else the ``command`` of the
-    arguments or of the object.
+    arguments or of the object. A null payload is no call.
     """
-    values = F.transform(blocks, lambda b: F.struct(parsed(b).alias("value")))
-    fields = F.transform(values, lambda x: F.struct(
-        _is_object(x["value"]).alias("object"), _field(x["value"], "name").alias("name"),
-        _field(x["value"], "arguments").alias("arguments"), _text(_field(x["value"], "command")).alias("command")))
+    def read(block: Column, value: Column) -> Column:
+        # A payload that parses and begins with a brace is an object.
+        is_object = F.coalesce(value.isNotNull() & block.startswith("{"), F.lit(False))
+        return F.struct(
+            is_object.alias("object"), _field(value, "name").alias("name"), _field(value, "arguments").alias("arguments"),
+            _text(_field(value, "command")).alias("command"),
+            (value.isNull() & F.coalesce(block.rlike(LOOKS_LIKE_OBJECT), F.lit(False))).alias("doubtful"))
+
+    fields = F.zip_with(blocks, parsed_all(blocks), read)
     texts = F.transform(fields, lambda x: F.struct(
-        x["object"].alias("object"), x["command"].alias("command"),
+        x["object"].alias("object"), x["command"].alias("command"), x["doubtful"].alias("doubtful"),
         (x["object"] & x["name"].isNotNull() & x["arguments"].isNotNull()).alias("strict"),
         _text(x["name"]).alias("name"), x["arguments"].alias("arguments"), _text(x["arguments"]).alias("text")))
-    inner = F.transform(texts, lambda x: F.struct(
+    given = parsed_all(F.transform(texts, lambda x: x["text"]))
+    inner = F.zip_with(texts, given, lambda x, v: F.struct(
         x["object"].alias("object"), x["command"].alias("command"), x["strict"].alias("strict"), x["name"].alias("name"),
-        x["text"].alias("text"), F.coalesce(parsed(x["text"]), F.when(x["text"].isNull(), x["arguments"])).alias("inner")))
+        x["text"].alias("text"), F.coalesce(v, F.when(x["text"].isNull(), x["arguments"])).alias("inner"),
+        (x["doubtful"] | (v.isNull() & F.coalesce(x["text"].rlike(LOOKS_LIKE_OBJECT), F.lit(False)))).alias("doubtful")))
     return F.transform(inner, lambda x: F.struct(
-        x["strict"].alias("strict"),
+        x["doubtful"].alias("doubtful"), x["strict"].alias("strict"),
         F.when(x["strict"], F.coalesce(x["name"], F.lit(""))).alias("name"),
         F.when(x["strict"], F.coalesce(_command(x["inner"]), F.lit(""))).alias("command"),
         F.when(x["object"], F.coalesce(x["name"], F.lit(BASH))).alias("near_name"),

@@ -31,8 +31,7 @@ def extract_calls(turns: DataFrame) -> DataFrame:
     made from ``raw_text``. Salvage applies only to a turn whose strict parse is empty.
     """
     blocks = turns.withColumn("_blocks", toolcalls.closed_blocks(F.coalesce(F.col("raw_text"), F.lit(""))))
-    decoded = toolcalls.readable_blocks(blocks, "_blocks", "_readable").withColumn(
-        "_decoded", toolcalls.decode_blocks(F.col("_readable")))
+    decoded = toolcalls.decoded_blocks(blocks, "_blocks", "_decoded")
     parsed = toolcalls.strict_calls(F.col("_decoded"))
     if "strict_calls" in turns.columns:
         given = F.col("strict_calls").cast(f"array<{toolcalls.CALL}>")
@@ -43,7 +42,7 @@ def extract_calls(turns: DataFrame) -> DataFrame:
     return with_strict.withColumn(
         "calls", F.when(use_salvage, repaired).otherwise(F.col("_strict"))).withColumn(
         "salvaged", use_salvage & (F.size("calls") > 0)).withColumn(
-        "attempted", attempted(F.col("raw_text"))).drop("_blocks", "_readable", "_decoded", "_strict")
+        "attempted", attempted(F.col("raw_text"))).drop("_blocks", "_decoded", "_strict")
 
 
 def extract_tool_calls(turns: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
@@ -179,13 +178,11 @@ def actions_log(
     executed: DataFrame,
     errors: DataFrame,
     keys: Sequence[str] = TRAJECTORY,
-    *,
-    max_turns: int = MAX_TURNS,
 ) -> DataFrame:
-    """Per episode the ordered array of clipped action records.
+    """Per episode the ordered array of clipped action records, all that were made.
 
     ``executed(keys, turn, call_idx, name, command, returncode, output, submitted)`` and
-    ``errors(keys, turn, raw_text)``; at most ``max_turns`` turns of an episode are kept.
+    ``errors(keys, turn, raw_text)``. Texts are clipped before the records of an episode meet.
     """
     none = F.lit(None).cast("string")
     raw = F.coalesce(F.col("raw_text"), F.lit(""))
@@ -201,7 +198,7 @@ def actions_log(
         kind.alias("tool"), none.alias("command"), truncate_text(raw, 600).alias("raw_response"),
         F.lit(None).cast("long").alias("returncode"), none.alias("output"),
         F.lit(None).cast("boolean").alias("submitted"))
-    rows = done.unionByName(failed).filter(F.col("turn") <= max_turns)
+    rows = done.unionByName(failed)
     fields = ["turn", "call_idx", "tool", "command", "raw_response", "returncode", "output", "submitted"]
     gathered = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_a"))
     return gathered.select(*keys, F.size("_a").cast("long").alias("num_actions"), F.transform(

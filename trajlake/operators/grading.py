@@ -50,15 +50,21 @@ def grade_outcome(
 
     ``reports`` holds the columns of ``grade_counts``, ``errors(keys, eval_error)`` the
     failed gradings, ``sizes(keys, pytest_output_length)`` the test-log sizes. A patch with
-    none of them scores 0 with all counts 0.
+    none of them scores 0 with all counts 0. Where reports carry a ``report_status``, one that could
+    not be read is a failed grading with that status as its error.
     """
+    if "report_status" in reports.columns:
+        broken = ~F.col("report_status").isin("ok", "missing instance")
+        reports = reports.withColumn("_report_error", F.when(broken, F.col("report_status"))).drop("report_status")
+    else:
+        reports = reports.withColumn("_report_error", F.lit(None).cast("string"))
     df = patches.join(reports, list(keys), "left").join(errors, list(keys), "left")
     if sizes is not None:
         df = df.join(sizes, list(keys), "left")
     else:
         df = df.withColumn("pytest_output_length", F.lit(0).cast("long"))
     empty = is_empty_patch(F.col("submission"))
-    error = F.when(~empty, F.coalesce(F.col("eval_error"), F.lit(""))).otherwise(F.lit(""))
+    error = F.when(~empty, F.coalesce(F.col("eval_error"), F.col("_report_error"), F.lit(""))).otherwise(F.lit(""))
     graded = ~empty & (error == "")
 
     def if_graded(name: str, default: Column) -> Column:

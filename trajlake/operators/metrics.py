@@ -65,8 +65,8 @@ def trajectory_partials(df: DataFrame, by: Sequence[str] = ("step",)) -> DataFra
         *[expr.alias(name) for name, expr in sums.items()])
 
 
-def finish_partials(partials: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
-    """The fixed metrics, one wide row per batch."""
+def _finished() -> dict[str, Column]:
+    """The fixed metrics as aggregates over the partials of a batch."""
     def s(name: str) -> Column:
         return F.sum(f"`sum:{name}`")
 
@@ -76,21 +76,30 @@ def finish_partials(partials: DataFrame, by: Sequence[str] = ("step",)) -> DataF
         "reward/f2p_pass_rate": safe_ratio(s("f2p_passed"), s("f2p_total")),
         "reward/p2p_pass_rate": safe_ratio(s("p2p_passed"), s("p2p_total")),
         "tokens/mean_obs": safe_ratio(s("obs"), s("n_obs")),
-        "tokens/max_obs": F.coalesce(F.max("`max:obs`"), F.lit(0)).cast("double"),
+        "tokens/max_obs": F.coalesce(F.max("`max:obs`"), F.lit(0)),
         "latency/max_trajectory_s": F.max("`max:trajectory_s`"),
     }
-    return partials.groupBy(*by).agg(*[expr.cast("double").alias(name) for name, expr in sorted(out.items())])
+    return {name: expr.cast("double") for name, expr in sorted(out.items())}
+
+
+def finish_partials(partials: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
+    """The fixed metrics, one wide row per batch."""
+    return partials.groupBy(*by).agg(*[expr.alias(name) for name, expr in _finished().items()])
+
+
+def _exits() -> list[Column]:
+    """Aggregates of a batch over its partials: the rows of each status, and all rows."""
+    return [F.collect_list(F.struct("exit_status", "n")).alias("_exits"), F.sum("n").alias("_total")]
+
+
+def _exit_pairs() -> Column:
+    return F.transform("_exits", lambda e: F.struct(
+        F.concat(F.lit("traj/exit/"), e["exit_status"]).alias("metric"), (e["n"] / F.col("_total")).alias("value")))
 
 
 def exit_shares(partials: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
     """Long rows ``traj/exit/<Status>`` -> share; a status appears only where it was seen."""
-    totals = partials.groupBy(*by).agg(F.sum("n").alias("_total"))
-    totals = totals.select(*[F.col(c).alias(f"_t_{c}") for c in by], "_total")
-    on = [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by]
-    counted = partials.groupBy(*by, "exit_status").agg(F.sum("n").alias("_n"))
-    return counted.join(totals, on, "inner").select(
-        *by, F.concat(F.lit("traj/exit/"), F.col("exit_status")).alias("metric"),
-        (F.col("_n") / F.col("_total")).alias("value"))
+    return partials.groupBy(*by).agg(*_exits()).select(*by, F.inline(_exit_pairs()))
 
 
 def to_long(wide: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
@@ -107,8 +116,14 @@ def summarize_trajectories(df: DataFrame, by: Sequence[str] = ("step",)) -> Data
 
 
 def batch_metrics(partials: DataFrame, by: Sequence[str] = ("step",)) -> DataFrame:
-    """Exit shares and fixed metrics as long rows."""
-    return exit_shares(partials, by).unionByName(to_long(finish_partials(partials, by), by))
+    """Exit shares and fixed metrics as long rows, from one aggregation of the partials.
+
+    ``partials`` has one row per batch and exit status, as ``trajectory_partials`` gives them.
+    """
+    finished = _finished()
+    wide = partials.groupBy(*by).agg(*_exits(), *[expr.alias(name) for name, expr in finished.items()])
+    fixed = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(f"`{c}`").alias("value")) for c in finished])
+    return wide.select(*by, F.inline(F.concat(_exit_pairs(), fixed)))
 
 
 def merge_metrics(sources: Sequence[DataFrame], by: Sequence[str] = ("step",)) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trajlake.functions.numbers import decimal_double, finite
 from trajlake.functions.predicates import is_error_line, is_noise_line
 from trajlake.functions.text import failure_class, failure_tail, strip_ansi
+from trajlake.operators.grouping import join_group_values, with_positions
 
 STEP_LINE = r"step:\d+ - "
 FINAL_STEP = 6
@@ -32,14 +33,63 @@ def parse_step_lines(lines: DataFrame, keep: Sequence[str] = (), line: str = "va
         (F.col("metric") != "") & finite(F.col("value")))
 
 
+# Columns of a matrix whose steps are not given.
+MAX_COLUMNS = 5000
+# A comma outside quotes.
+CSV_FIELD_END = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+
+def csv_field(text: Column) -> Column:
+    """A CSV field; quoted where it holds a comma, a quote or a line end."""
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[,"\\r\\n]'), quoted).otherwise(text)
+
+
+def csv_text(field: Column) -> Column:
+    inner = F.replace(F.regexp_replace(field, '^"|"$', ""), F.lit('""'), F.lit('"'))
+    return F.when(field.startswith('"'), inner).otherwise(field)
+
+
+def matrix_lines(long: DataFrame, steps: Sequence[int] | None = None) -> DataFrame:
+    """``(rank, metric, line)``: the header (rank 0) and the metrics (rank 1) of the matrix as CSV lines.
+
+    Steps that occur get a column number each (a narrow table of steps, numbered by the segmented scan);
+    a metric's line is made of its values alone, with commas for the gaps between their columns. Only the
+    values of one line ever meet, so neither the number of metrics nor the distance of steps matters.
+    """
+    cells = long.filter(F.col("step").isNotNull())
+    if steps is None:
+        known = cells.select("step").distinct()
+    else:
+        wanted = F.array(*[F.lit(s).cast("long") for s in sorted(set(steps))]) if steps else F.array().cast("array<bigint>")
+        known = long.sparkSession.range(1).select(F.explode(wanted).alias("step"))
+    numbered = with_positions(known, "step", name="column")
+    n = known.agg(F.count("*").cast("int")).scalar()
+    one = cells.groupBy("metric", "step").agg(F.max("value").alias("value"))
+    placed = join_group_values(one, numbered, ["step"], how="inner")
+    entry = F.struct(F.col("column").cast("int").alias("column"), F.col("value").cast("string").alias("text"))
+    grouped = placed.groupBy("metric").agg(F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), entry))).alias("cells"))
+    gap = lambda x, i: x["column"] - F.coalesce(F.get("cells", i - 1)["column"], F.lit(-1))
+    values = F.transform("cells", lambda x, i: F.concat(F.repeat(F.lit(","), gap(x, i)), x["text"]))
+    last = F.coalesce(F.get("cells", F.size("cells") - 1)["column"], F.lit(-1))
+    line = F.concat(csv_field(F.col("metric")), F.array_join(values, ""), F.repeat(F.lit(","), n - 1 - last))
+    body = grouped.select(F.lit(1).alias("rank"), "metric", line.alias("line"))
+    names = numbered.agg(F.array_sort(F.collect_list("step")).alias("steps"))
+    header = names.select(F.lit(0).alias("rank"), F.lit("").alias("metric"), F.concat_ws(
+        ",", F.lit("metric"), F.transform("steps", lambda s: F.concat(F.lit("step_"), s.cast("string")))).alias("line"))
+    return header.unionByName(body)
+
+
 def metric_matrix(long: DataFrame, steps: Sequence[int] | None = None) -> DataFrame:
     """``metric, step_0, step_1, ...``; null where a metric was not emitted.
 
-    The columns are the steps given, or all between the smallest and largest one.
+    The columns are the steps given, or those that occur. More than ``MAX_COLUMNS`` of these make no
+    DataFrame; ``sources.tables.write_metric_matrix`` writes a table of any width.
     """
     if steps is None:
-        low, high = long.agg(F.min("step"), F.max("step")).first()
-        steps = [] if low is None else range(low, high + 1)
+        steps = sorted(r["step"] for r in long.filter(F.col("step").isNotNull()).select("step").distinct().limit(MAX_COLUMNS + 1).collect())
+        if len(steps) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} steps; name the steps or write the matrix to a file")
     steps = list(steps)
     cells = [F.max_by("value", F.struct("step", "value"))]
     wide = long.filter(F.col("step").isin(steps)) if steps else long.filter(F.lit(False))

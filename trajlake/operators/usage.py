@@ -33,21 +33,34 @@ def usage_fields(df: DataFrame) -> dict[str, Column]:
 
 def fold_usage(messages: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
     """Peak prompt, summed completion and summed cached tokens per trajectory."""
+    return messages.groupBy(*keys).agg(*_usage(messages))
+
+
+def _usage(messages: DataFrame) -> list[Column]:
     f = usage_fields(messages)
     zero = F.lit(0).cast("long")
-    return messages.groupBy(*keys).agg(
+    return [
         F.greatest(F.coalesce(F.max(f["prompt_tokens"]), zero), zero).alias("prompt_tokens"),
         F.coalesce(F.sum(f["completion_tokens"]), zero).alias("completion_tokens"),
-        F.coalesce(F.sum(f["cached_tokens"]), zero).alias("cached_prompt_tokens"))
+        F.coalesce(F.sum(f["cached_tokens"]), zero).alias("cached_prompt_tokens")]
 
 
 def count_actions(messages: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
     """Actions and edit actions per trajectory; an action counts once whatever its markers."""
+    return messages.groupBy(*keys).agg(*_actions())
+
+
+def _actions() -> list[Column]:
     actions = F.coalesce(F.col("actions"), F.array())
     edits = F.filter(actions, lambda a: is_edit(a["command"]))
-    return messages.groupBy(*keys).agg(
-        F.sum(F.size(actions).cast("long")).alias("tool_call_count"),
-        F.sum(F.size(edits).cast("long")).alias("edit_count"))
+    return [F.sum(F.size(actions).cast("long")).alias("tool_call_count"), F.sum(F.size(edits).cast("long")).alias("edit_count")]
+
+
+def fold_messages(messages: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
+    """Usage and action counts per trajectory in one aggregation; without a column of actions there are none."""
+    known = messages if "actions" in messages.columns else messages.withColumn(
+        "actions", F.lit(None).cast("array<struct<command:string>>"))
+    return known.groupBy(*keys).agg(*_usage(known), *_actions())
 
 
 def loop_profile(actions: DataFrame, keys: Sequence[str] = TRAJECTORY, command: str = "command") -> DataFrame:

@@ -6,7 +6,7 @@ from trajlake.plans.catalog import ORACLES, QUERIES
 def load() -> None:
     """Import every catalogue module."""
     from trajlake.plans import (  # noqa: F401
-        advantage, episodes, grading, messages, metrics, prep, runlog, server, shape, sources, streams, text, toolcalls,
+        advantage, assembly, episodes, grading, messages, metrics, prep, runlog, server, shape, sources, streams, text, toolcalls,
     )
 
 

@@ -109,7 +109,7 @@ WITH t AS (
 SELECT trajectory_id, count(*) AS num_actions, count(*) FILTER (flag = 'R') AS n_errors,
        count(*) FILTER (flag = 'R' AND st = 'F') AS n_attempted,
        md5(string_agg(CASE WHEN flag <> 'R' THEN 'ls ' || part ELSE '-' END, '|' ORDER BY turn)) AS commands
-FROM t WHERE turn <= 6 GROUP BY 1""")
+FROM t GROUP BY 1""")
 def actions_log(spark, sf):
     li = table(spark, sf, "lineitem")
     turns = li.groupBy(F.col("l_orderkey").alias("trajectory_id"), F.col("l_linenumber").alias("turn")).agg(
@@ -124,7 +124,7 @@ def actions_log(spark, sf):
     errors = turns.filter(failed).select(
         "trajectory_id", "turn", F.when(F.col("st") == "F", F.lit("<tool_call>{")).otherwise(F.lit("done")
                                                                                             ).alias("raw_text"))
-    log = ep.actions_log(executed, errors, max_turns=6)
+    log = ep.actions_log(executed, errors)
 
     def matching(cond):
         return F.size(F.filter("actions", cond)).cast("long")

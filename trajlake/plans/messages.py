@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions import arrays
+from trajlake.operators import chat
 from trajlake.operators import tokens as tk
 from trajlake.plans.catalog import query, rounded, table
 
@@ -101,6 +102,65 @@ def prefix_deltas(spark, sf):
     return out.select("conv_id", "turn", "msg_idx", F.size("ids").cast("long").alias("n_delta"))
 
 
+# Assistant messages open with reasoning, which the template drops once the user has spoken again.
+PREFIX_SQL = """
+said AS (
+  SELECT conv_id AS trajectory_id, turn AS msg_idx, role,
+         CASE WHEN role = 'assistant' THEN '<think>' || left(text, 40) || '</think>' || chr(10) || text ELSE text END AS content, text,
+         max(CASE WHEN role = 'user' THEN turn END) OVER w AS asked,
+         lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND role <> 'assistant' AS prompt
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+prefixes AS (
+  SELECT a.trajectory_id, a.msg_idx, any_value(a.role) AS role, regexp_extract_all(
+         string_agg('<|im_start|>' || b.role || chr(10) || CASE WHEN b.role = 'assistant' AND b.msg_idx < a.asked
+                    THEN ltrim(b.text, chr(10)) ELSE b.content END || '<|im_end|>' || chr(10), '' ORDER BY b.msg_idx)
+         || CASE WHEN any_value(a.prompt) THEN '<|im_start|>assistant' || chr(10) ELSE '' END, '\\S+') AS words
+  FROM said a JOIN said b ON a.trajectory_id = b.trajectory_id AND b.msg_idx <= a.msg_idx GROUP BY 1, 2),
+deltas AS (
+  SELECT trajectory_id, msg_idx, role, len(words) AS n, list_slice(words, coalesce(lag(len(words)) OVER w, 0) + 1, len(words)) AS added
+  FROM prefixes WINDOW w AS (PARTITION BY trajectory_id ORDER BY msg_idx))"""
+
+
+def word_model():
+    """Words as tokens, each under its length. Words end at the template's marks only with the line after them."""
+    template = chat.TEMPLATES["chatml-thinking"]
+    return chat.ChatModel(lambda text: [len(w) for w in text.split()], template.render, lambda text: text.rfind("<|im_end|>\n") + 11
+                          if "<|im_end|>\n" in text else 0)
+
+
+def _thinking(spark, sf) -> DataFrame:
+    content = F.when(F.col("role") == "assistant", F.concat(
+        F.lit("<think>"), F.left("content", F.lit(40)), F.lit("</think>\n"), F.col("content"))).otherwise(F.col("content"))
+    return messages(spark, sf).withColumn("content", content)
+
+
+@query("chat_prefixes", f"""
+WITH {PREFIX_SQL}
+SELECT trajectory_id, msg_idx, CAST(n AS BIGINT) AS n_prefix, CAST(len(added) AS BIGINT) AS n_delta,
+       CAST(coalesce(list_sum(list_transform(added, lambda x: length(x))), 0) AS BIGINT) AS id_sum, false AS fallback
+FROM deltas""")
+def chat_prefixes(spark, sf):
+    out = chat.tokenize_chat(_thinking(spark, sf), word_model)
+    return out.select("trajectory_id", "msg_idx", "n_prefix", F.size("ids").cast("long").alias("n_delta"),
+                      arrays.total(F.col("ids")).alias("id_sum"), "fallback")
+
+
+@query("chat_trajectories", f"""
+WITH {PREFIX_SQL},
+back AS (SELECT *, len(added) AS k, sum(len(added)) OVER (PARTITION BY trajectory_id ORDER BY msg_idx DESC) AS upto FROM deltas),
+kept AS (SELECT *, least(k, greatest(90 - (upto - k), 0)) AS r FROM back)
+SELECT trajectory_id, CAST(sum(r) AS BIGINT) AS total_trajectory_tokens,
+       CAST(sum(r) FILTER (role = 'assistant') AS BIGINT) AS response_tokens, sum(k) > 90 AS truncated,
+       CAST(sum(coalesce(list_sum(list_transform(list_slice(added, k - r + 1, k), lambda x: length(x))), 0)) AS BIGINT) AS id_sum
+FROM kept GROUP BY 1 HAVING count(*) FILTER (role = 'assistant') > 0""")
+def chat_trajectories(spark, sf):
+    """Training rows of the most recent 90 tokens, from a template that rewrites earlier messages."""
+    out = tk.adapt_trajectories(chat.tokenize_chat(_thinking(spark, sf), word_model), budget=90)
+    spoken = messages(spark, sf).filter(F.col("role") == "assistant").select("trajectory_id")
+    return out.join(spoken, "trajectory_id", "left_semi").select(
+        "trajectory_id", "total_trajectory_tokens", "response_tokens", "truncated", arrays.total(F.col("input_ids")).alias("id_sum"))
+
+
 @query("chat_text", """
 SELECT conv_id, turn,
        md5('system: You are a helpful assistant that can interact with a computer shell.' || chr(10)

@@ -71,7 +71,7 @@ def episodes(spark, sf) -> DataFrame:
         "total_trajectory_tokens": F.col("prompt_tokens") + F.col("completion_tokens")})
 
 
-@query("trajectory_metrics", f"""
+TRAJECTORY_METRICS_SQL = f"""
 WITH {EPISODES_SQL}
 SELECT step,
   round(avg(CASE WHEN o_orderkey % 50 = 0 THEN 1.0 ELSE 0.0 END), 6) AS "reward/eval_error_rate",
@@ -95,7 +95,10 @@ SELECT step,
   round(avg(traj_s), 6) AS "latency/mean_trajectory_s", round(max(traj_s), 6) AS "latency/max_trajectory_s",
   round(avg(tool_s), 6) AS "latency/mean_tool_s",
   round(avg(greatest(traj_s - tool_s, 0.0)), 6) AS "latency/mean_generation_s"
-FROM episodes GROUP BY step""")
+FROM episodes GROUP BY step"""
+
+
+@query("trajectory_metrics", TRAJECTORY_METRICS_SQL)
 def trajectory_metrics(spark, sf):
     return rounded(m.summarize_trajectories(episodes(spark, sf)))
 
@@ -110,17 +113,18 @@ def exit_shares(spark, sf):
     return rounded(m.exit_shares(m.trajectory_partials(orders)))
 
 
-@query("batch_metrics_long", f"""
-WITH {EPISODES_SQL},
-c AS (SELECT step, status, count(*) AS n FROM episodes GROUP BY 1, 2),
-w AS (SELECT step, round(avg(turns), 6) AS t, round(avg(completion), 6) AS k FROM episodes GROUP BY step)
+# Every metric and exit share as long rows.
+ALL_METRICS_SQL = f"""
+WITH wide AS ({TRAJECTORY_METRICS_SQL}),
+{EPISODES_SQL},
+c AS (SELECT step, status, count(*) AS n FROM episodes GROUP BY 1, 2)
 SELECT step, 'traj/exit/' || status AS metric, round(n / sum(n) OVER (PARTITION BY step), 6) AS value FROM c
-UNION ALL SELECT step, 'traj/mean_turns', t FROM w
-UNION ALL SELECT step, 'tokens/mean_completion', k FROM w""")
+UNION ALL SELECT step, metric, value FROM (UNPIVOT wide ON COLUMNS(* EXCLUDE step) INTO NAME metric VALUE value)"""
+
+
+@query("batch_metrics_long", ALL_METRICS_SQL)
 def batch_metrics_long(spark, sf):
-    long = m.batch_metrics(m.trajectory_partials(episodes(spark, sf)))
-    shown = F.col("metric").startswith("traj/exit/") | F.col("metric").isin("traj/mean_turns", "tokens/mean_completion")
-    return rounded(long.filter(shown))
+    return rounded(m.batch_metrics(m.trajectory_partials(episodes(spark, sf))))
 
 
 @query("merged_metrics", """

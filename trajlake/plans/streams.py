@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.functions.numbers import epoch_seconds
+from trajlake.operators import servermon as sm
 from trajlake.plans.catalog import query, rounded, table
 from trajlake.plans.episodes import states_sql
+from trajlake.plans.metrics import ALL_METRICS_SQL, episodes
 from trajlake.plans.server import DRAIN_COLUMNS, DRAIN_SQL, LATENCY_COLUMNS, LATENCY_SQL, samples
-from trajlake.plans.sources import work_folder
+from trajlake.plans.sources import SCRAPES_SQL, scrape_files, work_folder
+from trajlake.session import DEFAULTS
+from trajlake.sources import logs
 from trajlake.streaming.episodes import stream_episodes
-from trajlake.streaming.metrics import stream_run_verdict, stream_trajectory_metrics
-from trajlake.streaming.server import close_steps, stream_server_summary
+from trajlake.streaming.metrics import read_stream_metrics, stream_run_verdict, stream_trajectory_metrics
+from trajlake.streaming.server import stream_server_summary
+from trajlake.streaming.state import PROVIDER
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -20,44 +27,84 @@ def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that stateful processors need, for sessions that are not of ``build_session``."""
+    held = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, DEFAULTS[PROVIDER])
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if held is None else spark.conf.set(PROVIDER, held)
+
+
 def _run(writer) -> None:
     started = writer.trigger(availableNow=True).start()
     started.awaitTermination()
 
 
-@query("stream_trajectory_metrics", """
-WITH o AS (SELECT strftime(o_orderdate, '%Y') AS step, * FROM orders),
+@query("stream_trajectory_metrics", ALL_METRICS_SQL)
+def streamed_metrics(spark, sf):
+    """All metrics and exit shares, from episodes that arrive in several files, with a fold of the sums in between."""
+    folder = work_folder(spark)
+    episodes(spark, sf).repartition(6).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", "2").parquet(f"{folder}/in")
+    _run(stream_trajectory_metrics(arriving, f"{folder}/out", f"{folder}/checkpoint", compact_every=2))
+    return rounded(read_stream_metrics(spark, f"{folder}/out"))
+
+
+@query("stream_windowed_metrics", """
+WITH o AS (SELECT strftime(o_orderdate, '%Y') AS step, o_orderpriority, o_totalprice FROM orders),
 c AS (SELECT step, o_orderpriority, count(*) AS n FROM o GROUP BY 1, 2)
 SELECT step, 'traj/exit/' || o_orderpriority AS metric, round(n / sum(n) OVER (PARTITION BY step), 6) AS value FROM c
-UNION ALL SELECT step, 'traj/mean_reward', round(avg(CASE WHEN o_orderstatus = 'F' THEN 1.0 ELSE 0.0 END), 6) FROM o GROUP BY 1
+UNION ALL SELECT step, 'latency/mean_trajectory_s', round(avg(o_totalprice), 6) FROM o GROUP BY 1
 UNION ALL SELECT step, 'latency/max_trajectory_s', max(o_totalprice) FROM o GROUP BY 1""")
-def streamed_metrics(spark, sf):
+def streamed_windows(spark, sf):
+    """Sums per thirty days of event time, whose state is given up behind the watermark."""
     orders = _stream(spark, sf, "orders").select(
         F.date_format("o_orderdate", "yyyy").alias("step"), F.col("o_orderpriority").alias("exit_status"),
-        (F.col("o_orderstatus") == "F").cast("double").alias("reward"),
-        F.col("o_totalprice").alias("total_trajectory_time"))
+        F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_totalprice").alias("total_trajectory_time"))
     folder = work_folder(spark)
-    _run(stream_trajectory_metrics(orders, f"{folder}/out", f"{folder}/checkpoint"))
-    long = spark.read.parquet(f"{folder}/out")
-    shown = F.col("metric").startswith("traj/exit/") | F.col("metric").isin("traj/mean_reward", "latency/max_trajectory_s")
+    _run(stream_trajectory_metrics(orders, f"{folder}/out", f"{folder}/checkpoint", time="ts", length="30 days", late="1 day"))
+    long = read_stream_metrics(spark, f"{folder}/out")
+    shown = F.col("metric").startswith("traj/exit/") | F.col("metric").isin("latency/mean_trajectory_s", "latency/max_trajectory_s")
     return rounded(long.filter(shown))
 
 
+@query("stream_scrapes", f"""
+WITH {SCRAPES_SQL}
+SELECT replica, day * 86400.0::DOUBLE AS t, n + 1.0::DOUBLE AS running, top * 1.0::DOUBLE AS requests FROM scrapes""")
+def streamed_scrapes(spark, sf):
+    """Scrape files of three servers, some delivered twice."""
+    arriving = logs.stream_scrapes(spark, scrape_files(spark, sf), by_replica=True)
+    samples = sm.gauges(sm.to_samples(logs.distinct_scrapes(arriving, late="40 days"), ["replica", "t"]))
+    folder = work_folder(spark)
+    _run(samples.select("replica", "t", "running", F.col("num_requests_total").alias("requests")).writeStream.format("parquet")
+         .outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out")
+
+
 @query("stream_server_summary", f"""
 WITH {DRAIN_SQL}, {LATENCY_SQL}
 SELECT d.step, {DRAIN_COLUMNS}, {LATENCY_COLUMNS} FROM drain d LEFT JOIN lat l ON d.step = l.step""".replace(
     "strftime(ts, '%Y-%m-%d') AS step", "epoch_us(ts) // 86400000000 AS step"))
 def streamed_summary(spark, sf):
-    stream = samples(spark, sf, _stream(spark, sf, "events")).drop("step")
-    day = F.floor(epoch_seconds(F.col("ts")) / 86400)
-    steps = table(spark, sf, "events").select(day.alias("step")).distinct().select(
+    """Samples in files that overlap in time; one long after the last step lets the watermark pass it."""
+    day = F.floor(F.col("t") / 86400)
+    whole = samples(spark, sf).drop("step")
+    steps = whole.select(day.alias("step")).distinct().select(
         "step", (F.col("step") * 86400.0).alias("t_start"), ((F.col("step") + 1) * 86400.0).alias("t_end"))
     folder = work_folder(spark)
-    store, out = f"{folder}/samples", f"{folder}/out"
-    _run(stream_server_summary(stream, steps, store, out, f"{folder}/checkpoint", parsed=True))
-    close_steps(spark, steps, store, out, "last", horizon=None)
-    summary = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/summary")
-    return rounded(summary, 3)
+    after = whole.agg(F.max("t").alias("t")).select((F.col("t") + 10 * 86400).alias("t"))
+    closing = after.select("t", *[F.lit(0.0).alias(c) for c in whole.columns if c != "t"]).select(*whole.columns)
+    whole.repartition(4).write.parquet(f"{folder}/in")
+    closing.write.mode("append").parquet(f"{folder}/in")
+    later = steps.unionByName(closing.select(F.lit(-1).cast("long").alias("step"), F.col("t").alias("t_start"), (F.col("t") + 1).alias("t_end")))
+    arriving = spark.readStream.schema(whole.schema).parquet(f"{folder}/in")
+    with rocksdb(spark):
+        _run(stream_server_summary(arriving, later, parsed=True).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out"))
+    return rounded(spark.read.parquet(f"{folder}/out"), 3)
 
 
 @query("stream_run_verdict", """
@@ -112,6 +159,8 @@ def streamed_episodes(spark, sf):
         (F.col("role") == "user").alias("attempted"), F.when(size % 5 == 0, F.lit(0)).alias("submitted_call_idx"),
         F.when(size % 31 == 0, F.lit("Timeout")).alias("crashed_type"))
     folder = work_folder(spark)
-    _run(stream_episodes(turns, **CONV_LIMITS).writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out"))
-    return spark.read.parquet(f"{folder}/out").filter(F.col("exit_status") != "IncompleteRollout")
+    with rocksdb(spark):
+        _run(stream_episodes(turns, **CONV_LIMITS).writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out"))
+    return spark.read.parquet(f"{folder}/out").filter(F.col("exit_status") != "IncompleteRollout").select(
+        "trajectory_id", "exit_status", "num_turns", "tool_call_count", "format_errors", "salvaged_tool_calls")
