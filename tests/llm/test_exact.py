@@ -63,3 +63,12 @@ def test_keep_one_and_empty(spark, docs, odd_rows):
     nothing = work_path(spark, "test-none")
     docs([(1, "x")]).limit(0).write.parquet(nothing)
     assert exact.deduplicate(spark, nothing).count() == 0
+
+
+def test_columns_named_like_the_locator(spark, tmp_path):
+    path = str(tmp_path / "in")
+    rows = [(1, "a", "f", 5, "m"), (2, "a", "g", 6, "n"), (3, None, "h", 7, "o")]
+    spark.createDataFrame(rows, "doc_id long, text string, _file string, _row long, _metadata string").write.parquet(path)
+    assert sorted((r.doc_id, r.keep_id) for r in exact.deduplicate(spark, path).collect()) == [(1, 2), (2, 2), (3, 3)]
+    kept = exact.keep_one(spark, path)
+    assert kept.columns == ["doc_id", "text", "_file", "_row", "_metadata"] and sorted(map(tuple, kept.collect())) == rows[1:]

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,10 +53,10 @@ def sha256(text: Column) -> Column:
 def _rows(table: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     """Digest, text and the row's order of preference: doc_id (null last), then its locator."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lies = table.metadataColumn("_metadata")  # also where a column of the table has that name
     return table.select(
         digest(text).alias("digest"), text.alias("text"),
-        F.struct(F.col(id_col).cast("long").alias("doc_id"), F.col("_metadata.file_path").alias("file"),
-                 F.col("_metadata.row_index").alias("row")).alias("place"))
+        F.struct(F.col(id_col).cast("long").alias("doc_id"), lies["file_path"].alias("file"), lies["row_index"].alias("row")).alias("place"))
 
 
 def stream_digests(spark: SparkSession, path: str, schema, *, checkpoint: str, log: str, id_col: str = "doc_id",
@@ -105,8 +106,8 @@ def deduplicate(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
     changes = "digest string, place struct<doc_id: long, file: string, row: long>, group_size long"
     try:
         state = spark.read.schema(changes).parquet(log)
-    except Exception as error:  # a stream without files never wrote
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # a stream without files never wrote
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         state = spark.createDataFrame([], changes)
     hits = (state.groupBy("digest").agg(F.max("group_size").alias("group_size"))
@@ -140,12 +141,13 @@ def deduplicate(spark: SparkSession, path: str, *, id_col: str = "doc_id", text_
 def keep_one(spark: SparkSession, path: str, **options) -> DataFrame:
     """The rows of the Parquet files at ``path`` that stay, with all their columns."""
     table = spark.read.parquet(path)
-    gone = deduplicate(spark, path, **options).filter(~F.col("kept")).select(
-        F.col("file").alias("_file"), F.col("row").alias("_row"))
+    gone = deduplicate(spark, path, **options).filter(~F.col("kept")).select("file", "row")
     out = work_path(spark, "op4-gone")
     gone.write.parquet(out)
-    gone = spark.read.schema("_file string, _row long").parquet(out)
-    rows = table.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    gone = spark.read.schema("file string, row long").parquet(out)
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    return rows.join(gone, ["_file", "_row"], "left_anti").select(*table.columns)
+    # The table's own columns, whatever their names, stay in a struct of theirs.
+    lies = table.metadataColumn("_metadata")
+    rows = table.select(F.struct(*[table[f"`{c}`"] for c in table.columns]).alias("own"), lies["file_path"].alias("file"), lies["row_index"].alias("row"))
+    return rows.join(gone, ["file", "row"], "left_anti").select("own.*")
