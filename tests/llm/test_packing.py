@@ -17,7 +17,6 @@ def ids_of(path, text, end=2):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [end]
 
 
@@ -105,7 +104,7 @@ def test_encoder_equals_library(name):
     from trajlake.llm.tokens import Encoder
 
     rng = random.Random(3)
-    texts = ["", " ", "\n", "a\tb c", "  a  b. \n\n c,d . e", "don't. it's, x", "naïve. é.", "×. ÷.", "<|endoftext|> hi", "a b", "١٢ 3 .",
+    texts = ["", " ", "\n", "a\tb c", "  a  b. \n\n c,d . e", "don't. it's, x", "naïve. é.", "×. ÷.", "<|endoftext|> hi", "hello <|endoftext|>world", "A<|ENDOFTEXT|><|startoftext|>.", "<|end", "a b", "١٢ 3 .",
              "x" * 100 + " " * 50 + "y", "\nThe cat.\nThe dog, \n end", "a .", "\r\n q", ".", ",a", "A,B. C", "é́ x. é.", "\n\nA", "Σ ΑΣ."]
     texts += ["".join(rng.choice(" \n.,ab'é×́\t Z9-日") for _ in range(rng.randint(0, 30))) for _ in range(1500)]
     texts.append(" ".join("".join(rng.choice("abcdé.") for _ in range(6)) for _ in range(400_000)))  # cut into runs

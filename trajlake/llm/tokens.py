@@ -100,7 +100,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        # What all added tokens begin with, and any of them in whatever case.
+        self.added_start = os.path.commonprefix(added)
+        self.added = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.end = np.array([] if end_id is None else [end_id], np.uint32)
         self.pieces = PieceIds(known_pieces)
         suffix = self.tokenizer.model.end_of_word_suffix or ""
@@ -204,12 +207,18 @@ class Encoder:
         return flat, np.diff(total, prepend=0)
 
     def _odd_rows(self, text: np.ndarray, at: np.ndarray) -> list[int]:
+        """Rows that the library must see whole: with unusual spaces, or with the text of a token outside the model."""
+        found = set()
+        if self.added is not None:
+            raw = text.tobytes()
+            if self.added_start in raw:
+                hits = np.array([m.start() for m in self.added.finditer(raw)], np.int64)
+                found.update((np.searchsorted(at, hits, side="right") - 1).tolist())
         hits = np.flatnonzero(_ODD_SPACE[text])
-        if not len(hits):
-            return []
-        rows = np.unique(np.searchsorted(at, hits, side="right") - 1)
-        return [r for r in rows.tolist()
-                if _OTHER_SPACE.search(text[at[r]:at[r + 1]].tobytes().decode("utf-8", "replace"))]
+        if len(hits):
+            rows = np.unique(np.searchsorted(at, hits, side="right") - 1)
+            found.update(r for r in rows.tolist() if _OTHER_SPACE.search(text[at[r]:at[r + 1]].tobytes().decode("utf-8", "replace")))
+        return sorted(found)
 
 
 def _cut_long(data: np.ndarray, rows: np.ndarray) -> np.ndarray:
