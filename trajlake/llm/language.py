@@ -133,11 +133,13 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
                        F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull())
-    # Which rows are taken is settled on ids alone; texts join afterwards.
-    picked = (rows.select("doc_id", "lang").withColumn(
+    # Which rows are taken is settled on ids alone; texts join afterwards. Of rows that share id and
+    # language one takes part: that with the smallest text.
+    picked = (rows.select("doc_id", "lang").distinct().withColumn(
         "rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
-        .filter(F.col("rank") <= sample_per_language).select("doc_id", "lang").distinct())
-    sample = rows.join(F.broadcast(picked), ["doc_id", "lang"]).select("lang", "text")
+        .filter(F.col("rank") <= sample_per_language).select("doc_id", "lang"))
+    sample = rows.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select(
+        "lang", "text")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -151,7 +151,9 @@ def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col
     graded = (ratings.filter(F.col("doc_id").isNotNull() & F.col("grade").isNotNull()).groupBy("doc_id")
               .agg(F.min("grade").cast("int").alias("grade")))
     sample = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("grade", "text")
+    rated = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    # Of rows that share a rated id one takes part: that with the smallest text.
+    rows = rated.groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
     found = _feature_rows(rows).toArrow()
     features = [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()]
     return fit_ordinal(features, found.column("grade").to_numpy().astype(np.int64))
