@@ -1,7 +1,12 @@
 """A corpus pipeline over the documents table: each stage works on all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, and any others that docs
+has, whatever their names.
+
+A null or empty text is a document without words: it is rated, one of all such texts stays, it is nobody's
+near copy, holds no benchmark item and packs as a single end id. Repeated rows are equal texts. Null ids come
+after all others where the largest or smallest id decides. An empty table passes as an empty table.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")), "pipeline-near")
     if gone.count() <= jaccard.BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(gone, (text_hash == F.col("gone_hash")) & F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(gone, (text_hash == gone["gone_hash"]) & docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def free_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
