@@ -24,12 +24,16 @@ TRAJECTORY = ("trajectory_id",)
 GROUP = ("step", "instance_id")
 
 
-def store_bucketed(df: DataFrame, table: str, keys: Sequence[str] = TRAJECTORY, buckets: int = 200) -> DataFrame:
+def store_bucketed(
+    df: DataFrame, table: str, keys: Sequence[str] = TRAJECTORY, buckets: int = 200, path: str | None = None
+) -> DataFrame:
     """Keep a part as a table in buckets of the episode key, sorted by it; returns the table.
 
-    Parts with the same keys and number of buckets are folded and joined where they lie.
+    Parts with the same keys and number of buckets are folded and joined where they lie. ``path`` is where the
+    files go; without it, into the warehouse.
     """
-    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(table)
+    writer = df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).format("parquet")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
     return df.sparkSession.table(table)
 
 

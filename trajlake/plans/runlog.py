@@ -3,6 +3,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trajlake.functions.predicates import ERROR_PATTERN, NOISE_PATTERN
 from trajlake.operators import runlog as rl
 from trajlake.plans.catalog import query, rounded, table
 
@@ -89,8 +90,8 @@ def doc_lines(spark, sf) -> DataFrame:
     return split.select("doc_id", "source", F.col("line_no").cast("long").alias("line_no"), value.alias("value"))
 
 
-_ERROR = "(?i)Traceback|RuntimeError|CUDA error|has no attribute ''dim''|OutOfMemory|Permission denied|Killed|Error:"
-_NOISE = "^\\s*$|RouterReplay|NPU not support|UserWarning|warnings.warn|file_system_monitor|Loading checkpoint shards"
+_ERROR = ERROR_PATTERN.replace("'", "''")
+_NOISE = NOISE_PATTERN
 
 
 @query("error_lines", f"""

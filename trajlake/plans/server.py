@@ -179,7 +179,7 @@ WITH {SAMPLES_SQL}, b AS (SELECT min(t) + 86400 AS lo, min(t) + 3 * 86400 AS hi
 SELECT step, count(*) AS n FROM samples, b WHERE t >= lo AND t <= hi GROUP BY 1""")
 def window_samples(spark, sf):
     s = samples(spark, sf).select("step", "t")
-    first = s.agg(F.min("t")).first()[0]
+    first = s.agg(F.min("t")).scalar()
     return sm.window_samples(s, first + 86400, first + 3 * 86400).groupBy("step").agg(F.count("*").alias("n"))
 
 
