@@ -13,11 +13,12 @@ connected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm import units as U
@@ -30,6 +31,8 @@ from trajlake.llm.units import NO_ID, UNIT_BYTES
 MORE_ORDERS = (2, 3)
 # Tokens of two blocks of a bundle that a task compares, at most about.
 BLOCK_TOKENS = 1_000_000
+# Up to so many blocks of a bundle all meet; beyond, only those of like sizes.
+FEW_BLOCKS = 3
 SALTS = 16
 BROADCAST_ROWS = 200_000
 
@@ -254,6 +257,38 @@ def _verify(percent: int):
     return task
 
 
+def size_band(n: Column, percent: int) -> Column:
+    """Number of the band of sizes that ``n`` falls into; sets that are near lie in one band or in neighbouring ones."""
+    # A little wider than the ratio, so that rounding cannot part sets at its bounds.
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    return F.floor(F.log(n.cast("double")) / F.lit(width)).cast("long")
+
+
+def _blocked(labelled: DataFrame, percent: int, block_tokens: int) -> DataFrame:
+    """Each set of a bundle of two or more with its block (``side``) and the blocks (``others``) it must meet.
+
+    A bundle of few blocks is cut by a hash of the set, and all blocks meet. A larger one is cut by size band
+    and hash: only blocks of neighbouring bands can hold near sets.
+    """
+    banded = labelled.withColumn("band", size_band(F.col("n"), percent))
+    per_band = banded.groupBy("bundle", "band").agg(F.count("*").alias("sets"), F.sum("n").alias("all"))
+    blocks = F.ceil(F.col("all") * 2 / block_tokens).cast("int")
+    sizes = per_band.groupBy("bundle").agg(
+        F.sum("sets").alias("sets"), F.sum("all").alias("all"), F.collect_list(F.struct("band", blocks.alias("blocks"))).alias("bands"))
+    sizes = sizes.filter("sets > 1").select("bundle", blocks.alias("blocks"), F.when(blocks > FEW_BLOCKS, F.col("bands")).alias("bands"))
+    # A block's number: its band, or 0, and its place among the band's blocks.
+    numbered = lambda band, i: band * F.lit(1 << 24) + i
+    dealt = lambda n: F.pmod(F.xxhash64("node"), n)
+    mine = F.array_max(F.filter("bands", lambda x: x["band"] == F.col("band")))["blocks"]
+    near = F.filter("bands", lambda x: F.abs(x["band"] - F.col("band")) <= 1)
+    whole = F.col("bands").isNull()
+    others = F.when(whole, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: i.cast("long"))).otherwise(
+        F.flatten(F.transform(near, lambda x: F.transform(F.sequence(F.lit(0), x["blocks"] - 1), lambda i: numbered(x["band"], i)))))
+    return banded.join(sizes, "bundle").select(
+        F.col("s1").alias("w1"), F.col("s2").alias("w2"), F.col("least").alias("w_least"), "node", "bundle",
+        F.when(whole, dealt(F.col("blocks"))).otherwise(numbered(F.col("band"), dealt(mine))).alias("side"), others.alias("others"))
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                     block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Connected components of documents whose shingle sets have a Jaccard similarity of percent/100 or more.
@@ -293,16 +328,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     bundled = by_set.dropna().select("s", F.xxhash64(*[f"label_{o}" for o in (1, *MORE_ORDERS)]).alias("bundle"))
     labelled = stored(sets.join(bundled, F.col("s1").bitwiseAND(F.lit(~3)) == F.col("s")).select(
         "s1", "s2", "n", "least", "node", "bundle"), "op5-labelled")
-    sizes = labelled.groupBy("bundle").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).filter("sets > 1").select(
-        "bundle", F.ceil(F.col("all") * 2 / block_tokens).cast("int").alias("blocks"))
+    wanted = _blocked(labelled, percent, block_tokens)
     # The sets themselves join last, and once.
-    wanted = labelled.join(sizes, "bundle").select(
-        F.col("s1").alias("w1"), F.col("s2").alias("w2"), F.col("least").alias("w_least"), "node", "bundle", "blocks",
-        F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("side"))
     held = surveyed.filter(F.octet_length("tokens") > 0).select("s1", "s2", least.alias("own"), "tokens")
     tasks = held.hint("merge").join(
         wanted, (F.col("s1") == F.col("w1")) & (F.col("s2") == F.col("w2")) & F.col("own").eqNullSafe(F.col("w_least"))).withColumn(
-        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "other", F.explode("others")).select(
         "bundle", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "tokens")
     links = tasks.repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j").mapInArrow(_verify(percent), "a long, b long")
     final = components(links, "op5-links")
