@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import stored
+from trajlake.llm.common import discard, stored
 from trajlake.operators.grouping import join_group_values
 
 # Kinds in the order in which spans with one start are listed. Possessive quantifiers and the look-behind
@@ -94,10 +94,12 @@ def _blanked(text: Column, places: Column) -> Column:
 
 
 def disclosing_terms(rows: DataFrame, entities: DataFrame, *, remove_at: float = REMOVE_AT, generalise_at: float = GENERALISE_AT,
-                     min_support: int = MIN_SUPPORT) -> DataFrame:
+                     min_support: int = MIN_SUPPORT, texts_of: DataFrame | None = None) -> DataFrame:
     """(rid, start, end, action) of all occurrences of the terms that disclose an entity of their document beyond a threshold.
 
-    ``rows``: (rid, text_hash, text), all of them counted; ``entities``: mentions with text_hash. Counts
+    ``rows``: (rid, text_hash), all of them counted; ``entities``: mentions with text_hash; ``texts_of``: the stored
+    table (rid, text) of the rows, which is discarded once the texts are taken from it (default: ``rows`` itself
+    has the texts, and stays). Counts
     are of whole documents, without the letters inside mentions; the support is of different texts, so that
     copies do not pass for evidence. Equal texts, told by 64-bit hashes, are worked on once and count as often
     as they occur.
@@ -121,9 +123,11 @@ def disclosing_terms(rows: DataFrame, entities: DataFrame, *, remove_at: float =
 
     places = entities.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
         F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")))).alias("places"))
-    texts = rows.select("rid", "text").join(copies, "rid").join(places, "rid", "left").select(
+    texts = (rows if texts_of is None else texts_of).select("rid", "text").join(copies, "rid").join(places, "rid", "left").select(
         "text_hash", "n", F.when(F.col("places").isNull(), F.col("text")).otherwise(_blanked(F.col("text"), F.col("places"))).alias("text"))
     texts = stored(texts, "op1-texts")
+    if texts_of is not None:
+        discard(texts_of)
     hits = F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0))
     words = lambda of: of.select("text_hash", "n", F.explode(F.array_distinct(F.transform(hits, F.lower))).alias("term"))
     terms = words(texts).groupBy("term").agg(F.sum("n").alias("term_docs"), F.count("*").alias("texts"))
@@ -173,9 +177,10 @@ def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text"))
     # The places of patterns and terms are settled on a copy with row numbers.
-    rows = stored(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text")), "op1-rows")
-    entities = stored(mentions(rows).join(rows.select("rid", "text_hash"), "rid"), "op1-mentions")
-    extra = disclosing_terms(rows, entities, **thresholds)
+    whole = stored(rows.withColumn("rid", F.monotonically_increasing_id()).withColumn("text_hash", F.xxhash64("text")), "op1-rows")
+    rows = whole if keep_text else stored(whole.drop("text"), "op1-ids")
+    entities = stored(mentions(whole).join(rows.select("rid", "text_hash"), "rid"), "op1-mentions")
+    extra = disclosing_terms(rows, entities, texts_of=None if keep_text else whole, **thresholds)
     base = entities.select("rid", F.col("start").cast("long"), F.col("end").cast("long"), "kind", F.lit("mask").alias("action"))
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     both = base.unionByName(extra.select("rid", F.col("start").cast("long"), F.col("end").cast("long"), F.lit("term").alias("kind"), "action"))
