@@ -13,6 +13,15 @@ from trajlake.streaming.server import late_samples, stream_server_summary
 from trajlake.streaming.state import PROVIDER
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Each partition of a stateful stream is a store of its own; two are enough to tell them apart."""
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 def run(writer):
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination(180)
