@@ -259,3 +259,15 @@ def test_scrapes_by_replica(spark, tmp_path):
     assert got == [("a", 5.0), ("a", 5.25), ("b", 5.0), ("b", 9.0)]
     missed = missed_ticks(scrapes, 1.0).collect()
     assert [(r.replica, r.after, r.until, r.missed) for r in missed] == [("b", 5.0, 9.0, 3)]
+
+
+@pytest.mark.parametrize("name,tables", [
+    ("stream_episodes", ["conversations"])])
+def test_tables_of_part_files_stream_whole(spark, tmp_path, name, tables):
+    for table in tables:
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
+    from trajlake import plans
+
+    plans.load()
+    want = plans.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert rounded_rows(plans.QUERIES[name](spark, str(tmp_path))) == rounded_rows(want)

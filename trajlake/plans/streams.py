@@ -23,8 +23,9 @@ from trajlake.streaming.state import PROVIDER
 
 
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """A table as a stream, whether it is one file or a folder of part files."""
+    # A pattern, as a file source takes a single file only under one.
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @contextmanager
