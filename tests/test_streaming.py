@@ -262,7 +262,7 @@ def test_scrapes_by_replica(spark, tmp_path):
 
 
 @pytest.mark.parametrize("name,tables", [
-    ("stream_episodes", ["conversations"])])
+    ("stream_episodes", ["conversations"]), ("stream_run_verdict", ["documents"]), ("stream_windowed_metrics", ["orders"])])
 def test_tables_of_part_files_stream_whole(spark, tmp_path, name, tables):
     for table in tables:
         spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").repartition(3).write.parquet(str(tmp_path / f"{table}.parquet"))
