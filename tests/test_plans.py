@@ -33,3 +33,8 @@ def test_only_used_columns_are_read(spark):
 def test_first_filters_reach_the_scan(spark):
     plan = plans.QUERIES["missing_names"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(o_orderstatus,P\)", plan)
+
+
+def test_calls_are_parsed_once(spark):
+    plan = plans.QUERIES["tool_call_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and not re.search(r"Filter .*_rewritten|Filter .*parseJson", plan)

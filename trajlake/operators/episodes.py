@@ -47,8 +47,9 @@ def extract_calls(turns: DataFrame) -> DataFrame:
 
 def extract_tool_calls(turns: DataFrame, keys: Sequence[str] = TRAJECTORY) -> DataFrame:
     """One row per call: ``call_idx, name, command, salvaged`` and the error it meets, if any."""
+    # From the plain form Spark infers a filter on the array's size, moves it below the parse and so parses every text again.
     exploded = extract_calls(turns).select(
-        *keys, "turn", "salvaged", F.posexplode("calls").alias("call_idx", "call"))
+        *keys, "turn", "salvaged", F.posexplode_outer("calls").alias("call_idx", "call")).filter(F.col("call_idx").isNotNull())
     name, command = F.col("call.name"), F.col("call.command")
     return exploded.select(
         *keys, "turn", "call_idx", name.alias("name"), command.alias("command"), "salvaged",
