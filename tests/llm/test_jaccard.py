@@ -86,3 +86,13 @@ def test_components_of_chains_stars_and_nothing(make):
 def test_empty_table(docs):
     out = jaccard.near_duplicates(docs([(1, "x")]).limit(0))
     assert out.count() == 0 and out.columns == ["doc_id", "n_shingles", "component_id", "text_hash", "keep"]
+
+
+def test_a_task_names_one_set_for_all_tokens_of_a_group():
+    joined = jaccard._Joined()
+    # Tokens 1, 2 and 3 tie the sets 10, 20, 30 and 40 in a chain; token 9 is of set 50 alone.
+    joined.add(np.array([1, 1, 2, 2]), np.array([40, 30, 30, 20]))
+    joined.add(np.array([3, 3, 9]), np.array([20, 10, 50]))
+    rows = joined.rows(1).to_pylist()
+    assert {(r["token"], r["a"]) for r in rows if r["token"] is not None} == {(1, 10), (2, 10), (3, 10), (9, 50)}
+    assert {(r["a"], r["b"]) for r in rows if r["b"] is not None} == {(20, 10), (30, 10), (40, 10)}

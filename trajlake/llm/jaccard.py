@@ -117,7 +117,11 @@ _ROW_SCHEMA = "order int, token long, a long, b long, doc_id long, text_hash lon
 
 
 class _Joined:
-    """Within a task: the first set seen under each token, and a link from every later one to it."""
+    """Within a task: the least set reached from the sets of each token, and a link to it from every set that reaches it.
+
+    A group of near copies shares many tokens. They all name the same set here, so that the links between tasks
+    are one per group and task, however many tokens the group shares.
+    """
 
     def __init__(self) -> None:
         self.tokens, self.sets = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -133,19 +137,22 @@ class _Joined:
         new = np.ones(len(token), bool)
         new[1:] = token[1:] != token[:-1]
         head = own[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
-        links = np.stack(thinned(own[~new], head[~new]), 1)
-        n, m = int(new.sum()), len(links)
+        tied, least = thinned(own[~new], head[~new])
+        named, n, m = own[new], int(new.sum()), len(tied)
+        if m:
+            at = np.minimum(np.searchsorted(tied, named), m - 1)
+            named = np.where(tied[at] == named, least[at], named)
         none = pa.nulls(n + m, pa.int64())
         return pa.RecordBatch.from_arrays([
             pa.array(np.full(n + m, order, np.int32)),
             pa.array(np.concatenate([token[new], np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n),
-            pa.array(np.concatenate([own[new], links[:, 0]])),
-            pa.array(np.concatenate([np.zeros(n, np.int64), links[:, 1]]), mask=np.arange(n + m) < n),
+            pa.array(np.concatenate([named, tied])),
+            pa.array(np.concatenate([np.zeros(n, np.int64), least]), mask=np.arange(n + m) < n),
             none, none, none, none, none, pa.nulls(n + m, pa.binary())], _ROW_NAMES)
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """Links of sets that share a token: those found within tasks, and of each task's first set to the least of all.
+    """Links of sets that share a token: those found within tasks, and of the set each task names to the least of all.
 
     A token's rows are one per task at most, however many sets hold it.
     """
