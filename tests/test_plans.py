@@ -5,6 +5,7 @@ import re
 import pytest
 
 from trajlake import plans
+from trajlake.plans.catalog import greatest_is, least_is, turn_rows
 
 plans.load()
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,10 @@ def test_first_filters_reach_the_scan(spark):
 def test_calls_are_parsed_once(spark):
     plan = plans.QUERIES["tool_call_rows"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and not re.search(r"Filter .*_rewritten|Filter .*parseJson", plan)
+
+
+def test_turns_are_summed_without_sorting_the_rows(spark):
+    assert "SortAggregate" not in turn_rows(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([(1, "A"), (1, "R"), (2, "R"), (2, "S"), (3, None), (4, None), (4, "R"), (5, "A")], "k int, x string")
+    found = rows.groupBy("k").agg(greatest_is("x", "R").alias("top"), least_is("x", "R").alias("low")).orderBy("k").collect()
+    assert [tuple(r) for r in found] == [(1, True, False), (2, False, True), (3, None, None), (4, True, True), (5, False, False)]

@@ -38,6 +38,15 @@ def month(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM")
 
 
+def greatest_is(column: str, value: str) -> Column:
+    """Whether the greatest text of a group is ``value``. Spark sorts all rows for the greatest of texts, not for that of booleans."""
+    return F.max(F.col(column) == value) & ~F.max(F.col(column) > value)
+
+
+def least_is(column: str, value: str) -> Column:
+    return F.max(F.col(column) == value) & ~F.max(F.col(column) < value)
+
+
 def turn_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Line items as turns: an order is an episode, a line number a turn.
 
@@ -49,14 +58,14 @@ def turn_rows(spark: SparkSession, sf: str) -> DataFrame:
                        F.col("l_linenumber").cast("long").alias("turn")).agg(
         F.sum("l_quantity").cast("long").alias("gen_tokens"),
         F.sum(F.col("l_partkey") % 20).alias("tool_tokens"),
-        F.count("*").alias("_n"), F.max("l_returnflag").alias("_flag"), F.min("l_linestatus").alias("_status"),
+        F.count("*").alias("_n"), greatest_is("l_returnflag", "R").alias("_returned"), least_is("l_linestatus", "F").alias("_tried"),
         F.sum("l_suppkey").alias("_supp"), F.sum("l_partkey").alias("_part"))
     return turns.select(
         "trajectory_id", "turn", "gen_tokens", "tool_tokens",
-        F.when(F.col("_flag") == "R", F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_calls"),
-        F.when((F.col("_flag") != "R") & (F.col("_supp") % 3 == 0), F.col("_n")).otherwise(F.lit(0)
+        F.when(F.col("_returned"), F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_calls"),
+        F.when(~F.col("_returned") & (F.col("_supp") % 3 == 0), F.col("_n")).otherwise(F.lit(0)
                ).cast("long").alias("n_salvaged"),
-        (F.col("_status") == "F").alias("attempted"),
+        F.col("_tried").alias("attempted"),
         F.when(F.col("_supp") % 7 == 0, F.lit(0)).alias("submitted_call_idx"),
         F.when(F.col("_part") % 97 == 0, F.lit("Timeout")).alias("crashed_type"))
 
