@@ -1,7 +1,9 @@
+import math
 import random
 import struct
+import tracemalloc
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -113,3 +115,25 @@ def test_encoder_equals_library(name):
     want = encode.tokenizer.encode_batch(texts, add_special_tokens=False)
     for i, x in enumerate(want):
         assert flat[bounds[i]:bounds[i + 1]].tolist() == x.ids + [2], texts[i][:80]
+
+
+def test_waiting_nodes_share_their_counts(monkeypatch):
+    """Memory of the search follows the nodes on its way down, not all children that wait."""
+    histogram = {s: 5 + round(80 * math.exp(-((s - 400) / 150) ** 2)) + s * s % 5 for s in range(20, 900)}
+
+    def pairs(counts, sizes, largest, capacity):
+        return [((largest, 1), (s, 1)) for s in reversed(sizes) if s < largest and s + largest <= capacity][:packing.FILLINGS_PER_NODE]
+
+    monkeypatch.setattr(packing, "_fillings", pairs)
+    monkeypatch.setattr(packing, "MAX_NODES", 60)
+    tracemalloc.start()
+    try:
+        plan = packing.plan_sequences(histogram, 1024)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    used = Counter()
+    for pattern, times in plan:
+        used.update({s: n * times for s, n in pattern})
+    assert used == histogram
+    assert peak < 15e6

@@ -142,6 +142,15 @@ def _complete(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]
     return out
 
 
+def _steps(path: tuple | None) -> list[tuple[Pattern, int]]:
+    """The steps of a chain of (earlier steps, step), first to last."""
+    out = []
+    while path is not None:
+        path, step = path
+        out.append(step)
+    return out[::-1]
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Patterns and how many sequences follow each, over all pieces of the histogram.
 
@@ -155,24 +164,25 @@ def plan_sequences(histogram: dict[int, int], capacity: int) -> list[tuple[Patte
     least = -(-total // capacity)
     best = _complete(histogram, capacity)
     best_n = sum(n for _, n in best)
-    stack: list[tuple[dict[int, int], list[tuple[Pattern, int]], int, int]] = [(histogram, [], 0, 0)]
+    # A child is held as its parent's counts, shared with its siblings, and its own pattern; its path as a chain.
+    stack: list[tuple[dict[int, int], Pattern | None, tuple | None, int, int]] = [(histogram, None, None, 0, 0)]
     nodes = 0
     while stack and best_n > least and nodes < MAX_NODES:
-        counts, path, used, wasted = stack.pop()
+        counts, pattern, path, used, wasted = stack.pop()
+        if pattern is not None:
+            counts = dict(counts)
+            times = _apply(counts, pattern)
+            path, used = (path, (pattern, times)), used + times
+            wasted += (capacity - sum(s * n for s, n in pattern)) * times
         nodes += 1
         if wasted > (best_n - 1) * capacity - total or not counts:
             continue
         rest = _complete(counts, capacity)
         if used + sum(n for _, n in rest) < best_n:
-            best, best_n = path + rest, used + sum(n for _, n in rest)
+            best, best_n = _steps(path) + rest, used + sum(n for _, n in rest)
         sizes = sorted(counts)
-        children = []
-        for pattern in _fillings(counts, sizes, sizes[-1], capacity):
-            left = dict(counts)
-            times = _apply(left, pattern)
-            waste = (capacity - sum(s * n for s, n in pattern)) * times
-            children.append((left, [*path, (pattern, times)], used + times, wasted + waste))
-        stack.extend(reversed(children))
+        children = _fillings(counts, sizes, sizes[-1], capacity)
+        stack.extend((counts, pattern, path, used, wasted) for pattern in reversed(children))
     return best
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import (LOWER_VALUES, binary_array, id_and_text, mix, prefix_hashes, runs, segment_hashes,
-                                 spaced, text_buffers, word_bounds)
+                                 spaced, text_buffers, trim, word_bounds)
 
 BITS = 18
 GRADES = 3
@@ -95,7 +95,9 @@ def fit_ordinal(features: list[np.ndarray], grades: np.ndarray, *, epochs: int =
     Features of fewer than ``min_rows`` rows get no weight: they would only tell the rows apart.
     Thresholds stay ordered: the gaps between them are kept positive. Without rows, all scores are 0.
     """
-    rows_of = np.bincount(np.concatenate([np.unique(f) for f in features] or [np.empty(0, np.int64)]), minlength=1 << BITS)
+    rows_of = np.zeros(1 << BITS, np.int64)
+    for f in features:
+        rows_of[np.unique(f)] += 1
     features = [f[rows_of[f] >= min_rows] for f in features]
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-6)
     cut, c2 = np.arange(GRADES - 1) * 2.0 - 3.0, np.full(GRADES - 1, 1e-6)
@@ -155,8 +157,13 @@ def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col
     # Of rows that share a rated id one takes part: that with the smallest text.
     rows = rated.groupBy("doc_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
     found = _feature_rows(rows).toArrow()
-    features = [np.frombuffer(x, np.int32) for x in found.column("features").to_pylist()]
-    return fit_ordinal(features, found.column("grade").to_numpy().astype(np.int64))
+    # Views of the gathered table, no copies.
+    features = [np.frombuffer(x.as_buffer(), np.int32) for x in found.column("features")]
+    model = fit_ordinal(features, found.column("grade").to_numpy().astype(np.int64))
+    # The driver lives on: what the fit took goes back to the system.
+    del found, features
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
