@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from trajlake.llm import jaccard
+from trajlake.llm import common, graph, jaccard
 from trajlake.llm.graph import components
 
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -96,3 +96,28 @@ def test_a_task_names_one_set_for_all_tokens_of_a_group():
     rows = joined.rows(1).to_pylist()
     assert {(r["token"], r["a"]) for r in rows if r["token"] is not None} == {(1, 10), (2, 10), (3, 10), (9, 50)}
     assert {(r["a"], r["b"]) for r in rows if r["b"] is not None} == {(20, 10), (30, 10), (40, 10)}
+
+
+def test_no_task_runs_two_python_steps(docs, monkeypatch):
+    """Each Python step of a task is a worker of its own beside the others, in every core of an executor."""
+    plans, stored = [], graph.stored
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")))
+        return stored(df, name)
+
+    monkeypatch.setattr(graph, "stored", kept)
+    rng = random.Random(3)
+    rows = list(enumerate(near_copies(60, 80, rng, 4)))
+    got = jaccard.near_duplicates(docs(rows), block_tokens=300).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 5, 80)[0])
+    assert {name for name, _ in plans} == {"op5-bundles", "op5-links"}
+    assert max(steps for _, steps in plans) == 1, plans
+
+
+def test_a_task_gives_its_memory_back_at_its_end(monkeypatch):
+    ends = []
+    monkeypatch.setattr(common, "trim", lambda: ends.append(1))
+    run = common.trimmed(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))
+    assert next(run) == 2 and not ends
+    assert list(run) == [4, 6] and ends == [1]

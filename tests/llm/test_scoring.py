@@ -1,12 +1,14 @@
 """Language identification, quality classifier and decontamination."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from trajlake.llm import decontaminate, language, quality
+from trajlake.llm.common import runs
 
 SF = "/root/testdata/sf0.1"
 
@@ -183,3 +185,16 @@ def test_short_items_are_all_found_up_to_the_limit(size):
         if want <= int(0.1 * lengths[i]):
             assert best[i, i] == want
     assert sum((i, i) in best for i in range(60)) >= 55
+
+
+def test_a_step_over_texts_stays_small():
+    rng = np.random.default_rng(1)
+    words = np.array([f"w{i}".encode() for i in range(5000)])
+    text = np.frombuffer(b" ".join(words[rng.integers(0, 5000, 800_000)]), np.uint8)
+    offsets = np.append(np.arange(0, len(text), 3000), len(text))
+    tracemalloc.start()
+    for first, last in runs(offsets):
+        quality._features(text, offsets[first:last + 1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6, peak

@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from trajlake.session import ensure_checkpoint_dir
 
-# Bytes of text that one numpy step works on; arrays of 64-bit values take eight times as much.
-RUN_BYTES = 2 << 20
+# Bytes of text that one numpy step works on; arrays of 64-bit values take eight times as much, and a step holds several.
+RUN_BYTES = 1 << 20
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -94,6 +94,15 @@ def trim() -> None:
             release(0)
 
 
+def trimmed(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The task over Arrow batches, with its worker's memory given back at its end."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        trim()
+
+    return run
+
+
 def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """Rows of ``data`` between byte offsets, as an Arrow binary column."""
     data = np.ascontiguousarray(data)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import id_and_text, mix, text_buffers, runs
+from trajlake.llm.common import id_and_text, mix, text_buffers, trimmed, runs
 
 REPETITIONS = 3
 STEPS = 64
@@ -306,7 +306,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
                         ["doc_id", "item_id", "edit_distance", "item_length"])
 
         part = id_and_text(docs, id_col, text_col).mapInArrow(
-            task, "doc_id long, item_id long, edit_distance long, item_length long")
+            trimmed(task), "doc_id long, item_id long, edit_distance long, item_length long")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -325,5 +325,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                         keep[first + f[0]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(task, docs.schema)
+        docs = docs.mapInArrow(trimmed(task), docs.schema)
     return docs

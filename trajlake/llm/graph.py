@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import discard, stored
+from trajlake.llm.common import discard, stored, trimmed
 
 # A hub's neighbours are spread over this many keys where its smallest neighbour is joined back.
 SALTS = 16
@@ -49,7 +49,7 @@ def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 THIN_ROWS = 1 << 20
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Replace the links of a task, a bounded number at a time, by links to the smallest node reached within them."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -72,14 +72,16 @@ def _is_stars(edges: DataFrame) -> bool:
     return n == nodes and not edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", thin: bool = True) -> DataFrame:
     """(node, label) of every node that has a link to another: label is the smallest node it reaches.
 
-    Links are first thinned out within each task. Each round links every node to the smallest node next
+    Links are first thinned out within each task, unless ``thin`` is false: where a Python task makes them, it
+    calls ``forest`` itself, as a second Python step in a task takes a second worker beside it. Each round links every node to the smallest node next
     to it, from both sides, and thins out again; written per round, the links end as stars. Nulls link
     nothing.
     """
-    current = stored(_directed(edges.select("a", "b").dropna().mapInArrow(_forest, "a long, b long")), name)
+    edges = edges.select("a", "b").dropna()
+    current = stored(_directed(edges.mapInArrow(trimmed(forest), "a long, b long") if thin else edges), name)
     while not _is_stars(current):
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             current.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -88,7 +90,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         small = _star(down)
         links = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        after = stored(_directed(links.filter("a <> b").mapInArrow(_forest, "a long, b long")), name)
+        after = stored(_directed(links.filter("a <> b").mapInArrow(trimmed(forest), "a long, b long")), name)
         discard(current)
         current = after
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(

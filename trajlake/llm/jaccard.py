@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from trajlake.llm import units as U
 from trajlake.llm.common import (LOWER_VALUES, binary_array, mix, prefix_hashes, runs, segment_hashes, spaced, stored, trim,
-                                 word_bounds)
-from trajlake.llm.graph import components, thinned
+                                 trimmed, word_bounds)
+from trajlake.llm.graph import components, forest, thinned
 from trajlake.llm.units import NO_ID, UNIT_BYTES
 
 # Orders beyond the first.
@@ -233,8 +233,9 @@ def link_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndar
 
 
 def _verify(percent: int):
-    """Task over (bundle, i, j, node, side, tokens) sorted by the first three: links of each node to the least in its component."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task over (bundle, i, j, node, side, tokens) sorted by the first three: links of each node to the least in its component,
+    thinned out over all that the task reads."""
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +262,7 @@ def _verify(percent: int):
             x, y = done(held)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    return task
+    return trimmed(lambda batches: forest(links(batches)))
 
 
 def size_band(n: Column, percent: int) -> Column:
@@ -343,7 +344,7 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
         "other", F.explode("others")).select(
         "bundle", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "tokens")
     links = tasks.repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j").mapInArrow(_verify(percent), "a long, b long")
-    final = components(links, "op5-links")
+    final = components(links, "op5-links", thin=False)
     in_component = labelled.join(final, "node").select("s1", "s2", "label")
     merged = sets.join(in_component, ["s1", "s2"], "left")
     linked = merged.filter(F.col("label").isNotNull())

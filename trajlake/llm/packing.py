@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import binary_array, id_and_text, stored, text_buffers
+from trajlake.llm.common import binary_array, id_and_text, stored, text_buffers, trimmed
 from trajlake.llm.tokens import encoder
 
 # Search limits of the planner. They bound its time, never the rows: the incumbent is always a full plan.
@@ -63,7 +63,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int, end_id
                 ], ["doc_id", "piece", "start", "length", "ids", "part", "rank"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        task, "doc_id long, piece int, start long, length long, ids binary, part int, rank long")
+        trimmed(task), "doc_id long, piece int, start long, length long, ids binary, part int, rank long")
 
 
 def _best_fit(counts: dict[int, int], sizes: list[int], largest: int, capacity: int) -> Pattern:
@@ -243,4 +243,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, capacity: int = 1024
                 [*(batch.column(c) for c in extra), pa.array(sequence), pa.array(offset)], [*extra, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name in extra)
-    return ranked.mapInArrow(task, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(trimmed(task), f"{schema}, sequence_id long, offset long")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import (LOWER_VALUES, binary_array, id_and_text, mix, prefix_hashes, runs, segment_hashes,
-                                 spaced, text_buffers, trim, word_bounds)
+                                 spaced, text_buffers, trim, trimmed, word_bounds)
 
 BITS = 18
 GRADES = 3
@@ -140,7 +140,7 @@ def _feature_rows(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[first:last], binary_array(feature.astype(np.int32), at)], ["grade", "features"])
 
-    return docs.mapInArrow(task, "grade int, features binary")
+    return docs.mapInArrow(trimmed(task), "grade int, features binary")
 
 
 def fit(docs: DataFrame, ratings: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_
                     ["doc_id", "expected_grade", "p_at_least_1", "p_at_least_2"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(
-        task, "doc_id long, expected_grade double, p_at_least_1 double, p_at_least_2 double")
+        trimmed(task), "doc_id long, expected_grade double, p_at_least_1 double, p_at_least_2 double")
 
 
 def grade_of(quality: Column, toxic: Column) -> Column:
@@ -215,4 +215,4 @@ def keep_good(docs: DataFrame, ratings: DataFrame, *, min_tail: float = 0.5, sam
                 keep[first:last] = tails[:, -1] >= min_tail
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(trimmed(task), docs.schema)
