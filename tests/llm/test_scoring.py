@@ -187,6 +187,45 @@ def test_short_items_are_all_found_up_to_the_limit(size):
     assert sum((i, i) in best for i in range(60)) >= 55
 
 
+def test_stretches_that_share_a_window_only_are_not_measured(monkeypatch):
+    rng = random.Random(3)
+    texts = [words(rng, 60) for _ in range(40)]
+    # Two fifths of an item stand in a text, too little to be it; the last text holds one whole.
+    rows = [words(rng, 40) + " " + t[:2 * len(t) // 5] + " " + words(rng, 40) for t in texts] + [words(rng, 9) + " " + texts[7] + " end"]
+    data, offsets = np.frombuffer("".join(rows).encode(), np.uint8), np.append(0, np.cumsum([len(r) for r in rows]))
+    measured, best_match = [], decontaminate.best_match
+    monkeypatch.setattr(decontaminate, "best_match", lambda item, *more: measured.append(item) or best_match(item, *more))
+    items = decontaminate.index_items(list(range(40)), texts)
+    found = decontaminate.find_items(data, offsets, items)
+    assert [f[:3] for f in found] == [(40, 7, 0)]
+    assert set(measured) == {items.texts[7]}, len(set(measured))
+
+
+@pytest.mark.parametrize("repetition", range(3))
+def test_a_walk_ends_early_but_loses_no_window(repetition):
+    rng = random.Random(repetition)
+    item, other = words(rng, 300).encode(), words(rng, 3000).encode()
+    pad = bytes(decontaminate.STEPS + 1)
+    walk = decontaminate.Walk(decontaminate.STEPS, repetition)
+    keys, sieves = walk.index(np.frombuffer(item + pad, np.uint8), np.arange(0, len(item) - decontaminate.STEPS, 5))
+    text = np.frombuffer(other + item + other + pad, np.uint8)
+    every = np.arange(len(text) - len(pad))
+    full, _ = walk.index(text, every)
+    want = every[np.isin(full, keys)]
+    left, key = walk.near(text, every, sieves)
+    assert len(want) >= len(keys) and set(want.tolist()) <= set(left.tolist()) and (full[left] == key).all()
+    assert len(left) < len(every) / 10
+
+
+def test_nothing_to_compare():
+    some = np.frombuffer(b"one two three, four five", np.uint8)
+    for texts in ([], ["", "...", "a"], ["x" * 300]):
+        items = decontaminate.index_items(list(range(len(texts))), texts)
+        assert decontaminate.find_items(some, np.array([0, 0, 24]), items) == []
+        assert decontaminate.find_items(some[:0], np.array([0, 0]), items) == []
+        assert decontaminate.find_items(np.frombuffer(b"?! .", np.uint8), np.array([0, 2, 4]), items) == []
+
+
 def test_a_step_over_texts_stays_small():
     rng = np.random.default_rng(1)
     words = np.array([f"w{i}".encode() for i in range(5000)])

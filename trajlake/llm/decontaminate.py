@@ -10,7 +10,8 @@ distance of the item to the best stretch there.
 An item of n words has up to n windows per repetition, so one of them matches with high probability
 even if single windows seldom do: README lists the measured recall. Shorter items have too few windows for
 that and are looked up exactly: cut into one piece more than edits are allowed, one piece stands unchanged
-wherever the item does, so none is missed. Shared 4-byte grams thin out the candidates before the distances.
+wherever the item does, so none is missed. A walk goes on only where the bytes it has sampled occur in some
+item, and shared 4-byte grams thin out the candidates of both ways before the distances; neither loses any.
 """
 
 from __future__ import annotations
@@ -32,9 +33,12 @@ SHORT = 200
 LEAST = 8
 SAMPLED = 11
 MAX_EDIT_SHARE = 0.1
+# Sampled bytes of a walk from which on it asks whether an item has the like; fewer occur nearly everywhere.
+ASK_FROM = 4
 # Items are sent to tasks in blocks of this many bytes at most, one pass over the documents per block.
 BLOCK_BYTES = 16 << 20
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 _NORMAL = np.full(256, 32, np.uint8)
 _NORMAL[48:58] = np.arange(48, 58)
 _NORMAL[97:123] = _NORMAL[65:91] = np.arange(97, 123)
@@ -78,51 +82,72 @@ class Walk:
 
     def __init__(self, steps: int, repetition: int, sampled: int = SAMPLED):
         rng = np.random.default_rng((steps, repetition, 8))
-        self.moves = rng.integers(0, 2, (steps, 256), dtype=np.int32)
-        self.places = set(rng.choice(steps, min(sampled, steps), replace=False).tolist())
-        self.last = max(self.places)
-
-    def keys(self, text: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Keys of the windows at ``start``. ``text`` must go on for as many bytes as the walk has steps."""
-        at = start.astype(np.int32)
-        key = np.zeros(len(start), np.uint64)
-        for step in range(self.last + 1):
-            byte = text[at]
-            if step in self.places:
-                key *= np.uint64(0x100000001B3)
-                key += byte
-            at += self.moves[step][byte]
-        return mix(key)
+        self.moves = rng.integers(0, 2, (steps, 256), dtype=np.int32).astype(np.int64)
+        self.places = sorted(rng.choice(steps, min(sampled, steps), replace=False).tolist())
+
+    def _samples(self, text: np.ndarray, at: np.ndarray, key: np.ndarray, k: int) -> None:
+        """Walk from the sampled place before the k-th on to it, and take its byte into the keys."""
+        for step in range(self.places[k - 1] if k else 0, self.places[k]):
+            at += self.moves[step].take(text.take(at))
+        key *= np.uint64(0x100000001B3)
+        key += text.take(at)
+
+    def index(self, text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Keys of the windows at ``start``, and a sieve of what they have sampled at each place from ``ASK_FROM`` on.
+
+        ``text`` must go on for as many bytes as the walk has steps."""
+        at, key = start.astype(np.int64), np.zeros(len(start), np.uint64)
+        bits = min(max(16, (16 * len(start)).bit_length()), 20)
+        sieves = []
+        for k in range(len(self.places)):
+            self._samples(text, at, key, k)
+            if k + 1 >= ASK_FROM:
+                sieves.append(_sieve(key * _ODD, bits))
+        return mix(key), sieves
+
+    def near(self, text: np.ndarray, start: np.ndarray, sieves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Those of ``start`` that may have the key of an indexed window, and their keys.
+
+        Windows with an indexed key have sampled the same as that one at all places before, so they pass all sieves."""
+        at, key = start.astype(np.int64), np.zeros(len(start), np.uint64)
+        for k in range(len(self.places)):
+            self._samples(text, at, key, k)
+            if k + 1 >= ASK_FROM:
+                left = _sifted(key * _ODD, sieves[k + 1 - ASK_FROM])
+                start, at, key = start[left], at[left], key[left]
+        return start, mix(key)
 
 
 @dataclass
 class Items:
-    """Normalised items, per walk the sorted keys of the windows of long ones with item and place, and per
-    size the same of the pieces of short ones, with their last 8 bytes."""
+    """Normalised items, per walk its sieves and the sorted keys of the windows of long ones with item and place,
+    and per size the same of the pieces of short ones, with their last 8 bytes."""
 
     ids: list[int]
     texts: list[bytes]
-    index: list[tuple[Walk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    index: list[tuple[Walk, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]
     pieces: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
 
 
-def _sieve(keys: np.ndarray) -> np.ndarray:
-    sieve = np.zeros(1 << 20, bool)
-    sieve[(keys >> np.uint64(44)).astype(np.int64)] = True
+def _sieve(keys: np.ndarray, bits: int = 20) -> np.ndarray:
+    sieve = np.zeros(1 << bits, bool)
+    sieve[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
     return sieve
 
 
+def _sifted(keys: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    """Places of the keys that may be among those of the sieve."""
+    return np.flatnonzero(sieve.take((keys >> np.uint64(65 - len(sieve).bit_length())).astype(np.int64)))
+
+
 def _words(padded: np.ndarray, n: int) -> np.ndarray:
     """The 8 bytes from each of the first n places on, as one number."""
-    out = np.zeros(n, np.uint64)
-    for i in range(8):
-        out |= padded[i:n + i].astype(np.uint64) << np.uint64(8 * i)
-    return out
+    return np.ndarray(n, "<u8", padded, strides=1).astype(np.uint64)
 
 
 def _piece_keys(words: np.ndarray, size: int) -> np.ndarray:
     """Keys of the first ``size`` bytes, 8 at most."""
-    return (words & np.uint64((1 << 8 * size) - 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (words & np.uint64((1 << 8 * size) - 1)) * _ODD
 
 
 def _piece_index(words: np.ndarray, bounds: np.ndarray, share: float) -> list:
@@ -159,9 +184,9 @@ def index_items(ids: list[int], texts: list[str], repetitions: int = REPETITIONS
     own = (length[item] >= SHORT) & (bounds[item + 1] - start >= STEPS)
     for r in range(repetitions if own.any() else 0):
         walk = Walk(STEPS, r)
-        keys = walk.keys(padded, start[own])
+        keys, sieves = walk.index(padded, start[own])
         order = np.argsort(keys, kind="stable")
-        index.append((walk, _sieve(keys), keys[order], item[own][order], (start[own] - bounds[item[own]])[order]))
+        index.append((walk, sieves, keys[order], item[own][order], (start[own] - bounds[item[own]])[order]))
     return Items(ids, [norm[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], index,
                  _piece_index(_words(padded, len(norm)), bounds, share))
 
@@ -189,12 +214,11 @@ def best_match(item: bytes, stretch: bytes, limit: int) -> tuple[int, int] | Non
     return best
 
 
-def _pairs(key: np.ndarray, sieve: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(key: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places in ``key`` and in the sorted ``keys`` that hold the same."""
-    near = np.flatnonzero(sieve[(key >> np.uint64(44)).astype(np.int64)])
-    low, high = (np.searchsorted(keys, key[near], side=s) for s in ("left", "right"))
+    low, high = (np.searchsorted(keys, key, side=s) for s in ("left", "right"))
     n = high - low
-    return np.repeat(near, n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(np.arange(len(key)), n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _grams(words: np.ndarray) -> np.ndarray:
@@ -202,26 +226,42 @@ def _grams(words: np.ndarray) -> np.ndarray:
     return ((words.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(20)).astype(np.uint16)
 
 
-def _piece_hits(text: np.ndarray, padded: np.ndarray, bounds: np.ndarray, items: Items, share: float) -> Iterator[np.ndarray]:
-    """(row, item, begin) where a piece of a short item stands and enough of its 4-byte grams are near.
-
-    An edit changes 4 of the item's grams at most, so all others of them stand in the stretch around it.
-    """
-    words = _words(padded, len(text))
-    found = []
+def _piece_hits(words: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[np.ndarray]:
+    """(row, item, begin) where a piece of a short item stands."""
     for size, sieve, keys, item, place, tail in items.pieces:
-        at, which = _pairs(_piece_keys(words, size), sieve, keys)
+        key = _piece_keys(words, size)
+        near = _sifted(key, sieve)
+        at, which = _pairs(key[near], keys)
+        at = near[at]
         end = at + tail[which, 0].astype(np.int64)
-        same = end < len(text)
+        same = end < len(words)
         same[same] = _piece_keys(words[end[same]], size) == tail[which[same], 1]
         at, which = at[same], which[same]
-        found.append(np.stack([np.searchsorted(bounds, at, side="right") - 1, item[which], at - place[which]], 1))
-    if not found:
-        return
-    hits = np.unique(np.concatenate(found), axis=0)
-    hits = hits[np.argsort(hits[:, 1], kind="stable")]
+        yield np.stack([np.searchsorted(bounds, at, side="right") - 1, item[which], at - place[which]], 1)
+
+
+def _walk_hits(padded: np.ndarray, start: np.ndarray, bounds: np.ndarray, items: Items) -> Iterator[np.ndarray]:
+    """(row, item, begin) where a window has the key of a window of a long item."""
+    for walk, sieves, keys, item, place in items.index:
+        near, key = walk.near(padded, start, sieves)
+        at, which = _pairs(key, keys)
+        at = near[at]
+        yield np.stack([np.searchsorted(bounds, at, side="right") - 1, item[which], at - place[which]], 1)
+
+
+def _likely(hits: np.ndarray, words: np.ndarray, bounds: np.ndarray, items: Items, share: float) -> Iterator[np.ndarray]:
+    """(row, item, low, high) of the stretches around the hits that hold enough of their item's 4-byte grams.
+
+    An edit changes 4 of the item's grams at most, so all others of them stand in a stretch that holds the item.
+    """
+    length = np.array([len(t) for t in items.texts], np.int64)[hits[:, 1]]
+    limit = (share * length).astype(np.int64)
+    low = np.maximum(bounds[hits[:, 0]], hits[:, 2] - limit)
+    high = np.minimum(bounds[hits[:, 0] + 1], hits[:, 2] + length + limit)
+    stretches = np.stack([hits[:, 0], hits[:, 1], low, high], 1)[high - low >= length - limit]
+    stretches = stretches[np.argsort(stretches[:, 1], kind="stable")]
     grams = _grams(words)
-    for own in np.split(hits, np.flatnonzero(np.diff(hits[:, 1])) + 1):
+    for own in np.split(stretches, np.flatnonzero(np.diff(stretches[:, 1])) + 1):
         if not len(own):
             continue
         item = items.texts[own[0, 1]]
@@ -229,10 +269,12 @@ def _piece_hits(text: np.ndarray, padded: np.ndarray, bounds: np.ndarray, items:
         least = len(item) - 3 - 4 * limit
         table = np.zeros(1 << 12, bool)
         table[_grams(_words(np.frombuffer(item + bytes(8), np.uint8), len(item) - 3))] = True
-        for part in np.split(own, range(1 << 14, len(own), 1 << 14)):
-            places = part[:, 2:] + np.arange(-limit, len(item) + limit - 3)
-            inside = (places >= bounds[part[:, 0]][:, None]) & (places < bounds[part[:, 0] + 1][:, None])
-            near = table[grams[np.clip(places, 0, len(text) - 1)]] & inside
+        width = int((own[:, 3] - own[:, 2]).max()) - 3
+        rows = max(1, (1 << 20) // max(1, width))
+        for part in np.split(own, range(rows, len(own), rows)):
+            places = part[:, 2:3] + np.arange(width)
+            inside = places < part[:, 3:] - 3
+            near = table.take(grams.take(places, mode="clip")) & inside
             yield part[near.sum(1) >= least]
 
 
@@ -241,29 +283,26 @@ def find_items(data: np.ndarray, offsets: np.ndarray, items: Items, share: float
 
     ``share`` must be the one the items were indexed for."""
     text, bounds, _ = normalise(data, offsets)
+    if not len(text):
+        return []
     padded = np.append(text, np.zeros(STEPS + 1, np.uint8))
-    hits: list[np.ndarray] = []
-    if items.pieces and len(text):
-        hits += _piece_hits(text, padded, bounds, items, share)
-    start = _starts(text, bounds) if items.index else None
-    for walk, sieve, keys, item, place in items.index:
-        near, which = _pairs(walk.keys(padded, start), sieve, keys)
-        at = start[near]
-        row = np.searchsorted(bounds, at, side="right") - 1
-        hits.append(np.stack([row, item[which], at - place[which]], 1))
+    words = _words(padded, len(text))
+    hits = list(_piece_hits(words, bounds, items))
+    if items.index:
+        hits += _walk_hits(padded, _starts(text, bounds), bounds, items)
     out: dict[tuple[int, int], tuple[int, int]] = {}
+    if not hits:
+        return []
+    hits = list(_likely(np.unique(np.concatenate(hits), axis=0), words, bounds, items, share))
     if not hits:
         return []
     done: dict[tuple[bytes, bytes], tuple[int, int] | None] = {}
-    for row, i, begin in np.unique(np.concatenate(hits), axis=0).tolist():
+    for row, i, low, high in np.unique(np.concatenate(hits), axis=0).tolist():
         item = items.texts[i]
         limit = int(share * len(item))
         if (row, i) in out and out[row, i][0] == 0:
             continue
-        low, high = max(bounds[row], begin - limit), min(bounds[row + 1], begin + len(item) + limit)
-        stretch = text[low:max(low, high)].tobytes()
-        if len(stretch) < len(item) - limit:
-            continue
+        stretch = text[low:high].tobytes()
         if (item, stretch) not in done:
             done[item, stretch] = best_match(item, stretch, limit)
         found = done[item, stretch]
