@@ -61,6 +61,24 @@ def test_components(docs, odd_rows, words, percent, block):
     assert groups <= sum(r.keep for r in got) <= groups + repeated
 
 
+def test_unlike_sets_that_share_passages_make_no_large_bundle(docs, monkeypatch):
+    """Chains of common passages tie most of a large table; the rows of a bundle's blocks grow with its square."""
+    rng = random.Random(8)
+    passages = [" ".join(f"p{i}x{j}" for j in range(14)) for i in range(200)]
+    texts = [" ".join(rng.sample(passages, 8)) for _ in range(300)] + near_copies(30, 80, rng, 2)
+    rows = list(enumerate(texts))
+    sizes, blocked = [], jaccard._blocked
+
+    def seen(labelled, percent, block_tokens):
+        sizes.extend(r["count"] for r in labelled.groupBy("bundle").count().collect())
+        return blocked(labelled, percent, block_tokens)
+
+    monkeypatch.setattr(jaccard, "_blocked", seen)
+    got = jaccard.near_duplicates(docs(rows), block_tokens=1500).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows, 5, 80)[0])
+    assert 20 <= max(sizes) <= 40, sorted(sizes)[-5:]
+
+
 def test_link_sets_compares_what_is_open():
     rng = np.random.default_rng(2)
     sets = [rng.choice(60, rng.integers(1, 30), replace=False).astype(np.uint64) for _ in range(80)]

@@ -43,9 +43,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished queries now.
+
+    It deletes them once the driver's garbage collector finds their plans; a query over a large table fills the
+    disks long before the driver's heap.
+    """
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files of a table made by ``stored`` that nothing reads any more."""
     spark = df.sparkSession

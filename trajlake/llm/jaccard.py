@@ -2,13 +2,15 @@
 
 Two sets whose similarity reaches the threshold share a token among the first few of each, under any
 order that holds for all sets. The first order puts tokens that one document alone holds before all
-others (of a quarter of the tokens, whose documents are counted exactly): most sets then have a prefix of
+others (of half of the tokens, whose documents are counted exactly): most sets then have a prefix of
 such tokens and are done. All sets joined by shared prefix tokens, directly or through others, form a
 bundle; each further order splits the bundles in the same way. What is linked is in one bundle under every
 order, so sets are compared only within the intersection of the bundles. The filters name bundles
-instead of pairs: a group of thousands of near copies costs one row per set, not one per pair. Within a
-bundle links are verified on the whole sets until every pair of sets is either compared or known to be
-connected.
+instead of pairs: a group of thousands of near copies costs one row per set, not one per pair. In a large
+table common tokens chain unlike sets to bundles that grow faster than the table. Such a large bundle is
+split by an order of its own, which counts all tokens over the bundle's sets alone, again and again while that
+helps. Within a bundle links are verified on the whole sets until every pair of sets is either compared or
+known to be connected.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.llm import units as U
-from trajlake.llm.common import (LOWER_VALUES, binary_array, mix, prefix_hashes, runs, segment_hashes, spaced, stored, trim,
-                                 trimmed, word_bounds)
+from trajlake.llm.common import (LOWER_VALUES, binary_array, discard, mix, prefix_hashes, runs, segment_hashes, spaced, stored,
+                                 trim, trimmed, word_bounds)
 from trajlake.llm.graph import components, forest, thinned
 from trajlake.llm.units import NO_ID, UNIT_BYTES
 
@@ -87,19 +89,19 @@ def _signatures(row: np.ndarray, gram: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def _counted(gram: np.ndarray) -> np.ndarray:
-    """The quarter of the tokens whose documents are counted."""
-    return (mix(gram, 90) & np.uint64(3)) == 0
+    """The half of the tokens whose documents are counted."""
+    return (mix(gram, 90) & np.uint64(1)) == 0
 
 
 def _prefix(row: np.ndarray, gram: np.ndarray, size: np.ndarray, order: int, level: np.ndarray | None, percent: int) -> np.ndarray:
     """Places of the tokens of each set's prefix: its first n - ceil(percent n / 100) + 1 under the order.
 
-    The first order: counted tokens by their level, then the others; ties, and the further orders as a
-    whole, go by a hash of the order's own. Tokens with one hash stay in the order of ``gram``.
+    Tokens go by their level, if there are any; ties, and orders without levels as a whole, go by a hash of the
+    order's own. Tokens with one hash stay in the order of ``gram``.
     """
     rank = mix(gram, 100 + order) >> np.uint64(25)
     if level is not None:
-        rank |= np.where(_counted(gram), level, 255).astype(np.uint64) << np.uint64(39)
+        rank |= level.astype(np.uint64) << np.uint64(39)
     at = np.argsort((row.astype(np.uint64) << np.uint64(48)) | rank, kind="stable")
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     length = size - (percent * size + 99) // 100 + 1
@@ -156,9 +158,9 @@ def _links(rows: DataFrame) -> DataFrame:
 
     A token's rows are one per task at most, however many sets hold it.
     """
-    shared = rows.filter(F.col("token").isNotNull())
-    least = shared.groupBy("order", "token").agg(F.min("a").alias("b"), F.max("a").alias("top")).filter("top > b")
-    across = shared.select("order", "token", "a").join(least.select("order", "token", "b"), ["order", "token"]).filter("a <> b")
+    # So a window holds few rows, and the rows pass one exchange.
+    least = F.min("a").over(Window.partitionBy("order", "token"))
+    across = rows.filter(F.col("token").isNotNull()).select("order", "a", least.alias("b")).filter("a <> b")
     return rows.filter(F.col("b").isNotNull()).select("order", "a", "b").unionByName(across.select("order", "a", "b"))
 
 
@@ -173,11 +175,11 @@ def _prefixes(words: int, percent: int, units: int):
             n = last - first
             row, gram = shingle_sets(text, bounds[first:last + 1], words)
             size, s1, s2 = _signatures(row, gram, n)
-            level = np.zeros(len(gram), np.uint8)
+            level = np.full(len(gram), 255, np.uint8)  # tokens that are not counted come last
             counted = _counted(gram)
             level[counted] = U.levels_of(U.names(gram[counted], units), known)
             at = _prefix(row, gram, size, 1, level, percent)
-            at = at[(level[at] > 0) | ~counted[at]]  # a token of one document links nothing
+            at = at[level[at] > 0]  # a token of one document links nothing
             joined[1].add(gram[at].view(np.int64), s1[row[at]])
             candidate = np.zeros(n, bool)
             candidate[row[at]] = True
@@ -198,6 +200,75 @@ def _prefixes(words: int, percent: int, units: int):
     return task
 
 
+def _led_tokens(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the tokens of sets; eight bytes of the bundle lead each set, and its tokens are those of the bundle only."""
+    whole = data[bounds[0]:bounds[-1]].view(np.uint64)
+    start = (bounds - bounds[0]) // 8
+    row = np.repeat(np.arange(len(start) - 1), np.diff(start) - 1)
+    own = np.ones(len(whole), bool)
+    own[start[:-1]] = False
+    return row, mix(whole[own] ^ mix(whole[start[:-1]], 91)[row], 92)
+
+
+def _rare_prefixes(percent: int, order: int, units: int):
+    """Task per unit of sets led by their bundles: links by the prefix tokens that another set of the bundle holds."""
+    def task(table: pa.Table) -> pa.Table:
+        nodes, _, data, bounds, found = U.unpacked(table)
+        known, joined = U.known_names(found), _Joined()
+        for first, last in _runs(bounds):
+            row, gram = _led_tokens(data, bounds[first:last + 1])
+            level = U.levels_of(U.names(gram, units), known)
+            at = _prefix(row, gram, np.bincount(row, minlength=last - first), order, level, percent)
+            at = at[level[at] > 0]
+            joined.add(gram[at].view(np.int64), nodes[first:last][row[at]])
+        rows = joined.rows(order)
+        trim()
+        return pa.Table.from_batches([rows]).select(["order", "token", "a", "b"])
+
+    return task
+
+
+def _split(labelled: DataFrame, held: DataFrame, percent: int, block_tokens: int) -> DataFrame:
+    """The sets of ``labelled`` (stored), in finer bundles where a bundle has more than a few blocks; others that link to none go.
+
+    Near sets share a token among the first of each under any order, also one made for their bundle alone. There all
+    tokens are counted, and only over the bundle's sets: few unlike sets stay chained. A round that leaves
+    more than three quarters of the tokens in large bundles is the last.
+    """
+    before, order = math.inf, max(MORE_ORDERS)
+    while True:
+        large = labelled.groupBy("bundle").agg(F.count("*").alias("sets"), F.sum("n").alias("all")).filter(
+            (F.col("sets") > 1) & (F.ceil(F.col("all") * 2 / block_tokens) > FEW_BLOCKS))
+        tokens = large.agg(F.sum("all")).first()[0] or 0
+        if not tokens or tokens > 0.75 * before:
+            return labelled
+        before, order = tokens, order + 1
+        # Few, as each has a fixed number of tokens at least.
+        few = F.broadcast(large.select("bundle"))
+        inside = labelled.join(few, "bundle")
+        units = -(-tokens * 8 // UNIT_BYTES)
+        lead = F.unhex(F.lpad(F.hex("bundle"), 16, "0"))
+        members = inside.select(F.col("s1").alias("w1"), F.col("s2").alias("w2"), F.col("least").alias("w_least"), "node", "bundle")
+        sets = stored(_with_tokens(held, members).select(
+            "node", F.lit(0).cast("long").alias("none"), F.pmod(F.xxhash64("node"), F.lit(units)).cast("int").alias("unit"),
+            F.concat(lead, "tokens").alias("tokens")), "op5-large")
+        both = U.packed_texts(sets).unionByName(U.shared_tags(sets, _led_tokens, units))
+        links = stored(both.groupBy("unit").applyInArrow(
+            _rare_prefixes(percent, order, units), "order int, token long, a long, b long"), "op5-large")
+        labels = components(_links(links).select("a", "b"), "op5-bundles")
+        parted = inside.join(labels, "node").withColumn("bundle", F.xxhash64("bundle", "label")).select(labelled.columns)
+        after = stored(labelled.join(few, "bundle", "left_anti").select(labelled.columns).unionByName(parted), "op5-labelled")
+        for gone in (sets, links, labelled):
+            discard(gone)
+        labelled = after
+
+
+def _with_tokens(held: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (w1, w2, w_least and others) with the tokens of the row that stands for the set."""
+    return held.hint("merge").join(
+        members, (F.col("s1") == F.col("w1")) & (F.col("s2") == F.col("w2")) & F.col("own").eqNullSafe(F.col("w_least")))
+
+
 def link_sets(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray:
     """Component (smallest place) of each set under links between sets of unlike ``side`` (or all, if one side).
 
@@ -319,8 +390,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
             found.append((first + row[counted], gram[counted]))
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    both = U.packed_texts(dealt).unionByName(U.shared_tags(dealt, tags, units))
+    # Stored, so that the files of the tags' exchange are gone before the texts are moved.
+    answers = stored(U.shared_tags(dealt, tags, units), "op5-answers")
+    both = U.packed_texts(dealt).unionByName(answers)
     surveyed = stored(both.groupBy("unit").applyInArrow(_prefixes(words, percent, units), _ROW_SCHEMA), "op5-sets")
+    discard(answers)
     rows = surveyed.filter(F.col("order").isNull()).select("doc_id", "text_hash", "n", "s1", "s2")
     # One row stands for all with the same set.
     least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
@@ -336,12 +410,10 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     bundled = by_set.dropna().select("s", F.xxhash64(*[f"label_{o}" for o in (1, *MORE_ORDERS)]).alias("bundle"))
     labelled = stored(sets.join(bundled, F.col("s1").bitwiseAND(F.lit(~3)) == F.col("s")).select(
         "s1", "s2", "n", "least", "node", "bundle"), "op5-labelled")
-    wanted = _blocked(labelled, percent, block_tokens)
-    # The sets themselves join last, and once.
     held = surveyed.filter(F.octet_length("tokens") > 0).select("s1", "s2", least.alias("own"), "tokens")
-    tasks = held.hint("merge").join(
-        wanted, (F.col("s1") == F.col("w1")) & (F.col("s2") == F.col("w2")) & F.col("own").eqNullSafe(F.col("w_least"))).withColumn(
-        "other", F.explode("others")).select(
+    labelled = _split(labelled, held, percent, block_tokens)
+    # The sets themselves join last, and once.
+    tasks = _with_tokens(held, _blocked(labelled, percent, block_tokens)).withColumn("other", F.explode("others")).select(
         "bundle", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "side", "tokens")
     links = tasks.repartition("bundle", "i", "j").sortWithinPartitions("bundle", "i", "j").mapInArrow(_verify(percent), "a long, b long")
     final = components(links, "op5-links", thin=False)
