@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from trajlake.llm import simhash
+from trajlake.llm import common, graph, simhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -124,3 +124,29 @@ def test_shingles_in_parts(monkeypatch):
 
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs([])).collect() == []
+
+
+def test_cells_are_not_broadcast(make):
+    """A fingerprint has ten cells or more, which Spark takes for one: the table read is far smaller than the side of the join."""
+    fps = made_fingerprints(3)
+    table = common.stored(make([(simhash._signed(x),) for x in fps], "fp long"), "test-fingerprints")
+    links = simhash.fingerprint_links(table, parts=5)
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not re.search(r"Broadcast(HashJoin|Exchange)[^\n]*(cell|grid)", plan), plan
+
+
+def test_many_links_are_not_broadcast(make, monkeypatch):
+    """The smallest neighbours are repeated for each salt, which Spark does not count."""
+    plans, stored = [], graph.stored
+
+    def kept(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(graph, "stored", kept)
+    links = [(i, i + 1) for i in range(8000)]
+    random.Random(4).shuffle(links)
+    got = graph.components(make(links, "a long, b long").repartition(7)).collect()
+    assert {(r.node, r.label) for r in got} == {(i, 0) for i in range(8001)}
+    assert any("Join" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)

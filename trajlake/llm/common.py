@@ -21,6 +21,8 @@ from trajlake.session import ensure_checkpoint_dir
 
 # Bytes of text that one numpy step works on; arrays of 64-bit values take eight times as much, and a step holds several.
 RUN_BYTES = 1 << 20
+# Rows of a join's side that may be broadcast, at most.
+BROADCAST_ROWS = 200_000
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -64,6 +66,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def not_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join whose smaller side has so many rows: beyond ``BROADCAST_ROWS`` Spark broadcasts neither side.
+
+    Its own estimate is the size of compressed files, and takes no account of the rows that an explode adds.
+    """
+    return df if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns every operator reads, under fixed names; others, whatever their names, are left behind."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import discard, stored, trimmed
+from trajlake.llm.common import discard, not_broadcast, stored, trimmed
 
 # A hub's neighbours are spread over this many keys where its smallest neighbour is joined back.
 SALTS = 16
@@ -19,12 +19,12 @@ def _directed(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
 
 
-def _star(pairs: DataFrame) -> DataFrame:
-    """(u, v) pairs with the smallest of u and all its v as ``m``."""
+def _star(pairs: DataFrame, links: int) -> DataFrame:
+    """(u, v) pairs with the smallest of u and all its v as ``m``; u and v are the ends of so many links."""
     salt = F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")
     least = (pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-    return pairs.withColumn("salt", salt).join(least, ["u", "salt"]).select("u", "v", "m")
+    return not_broadcast(pairs.withColumn("salt", salt), 2 * links * SALTS).join(least, ["u", "salt"]).select("u", "v", "m")
 
 
 def thinned(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +66,11 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def _is_stars(edges: DataFrame) -> bool:
+def _is_stars(edges: DataFrame, links: int) -> bool:
     """Whether every node links to one node, which links to none."""
-    n, nodes = edges.agg(F.count("*"), F.countDistinct("a")).first()
-    return n == nodes and not edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
+    nodes = edges.agg(F.countDistinct("a")).first()[0]
+    heads = not_broadcast(edges.select("b").distinct(), links)
+    return links == nodes and not heads.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
 
 
 def components(edges: DataFrame, name: str = "components", thin: bool = True) -> DataFrame:
@@ -82,15 +83,15 @@ def components(edges: DataFrame, name: str = "components", thin: bool = True) ->
     """
     edges = edges.select("a", "b").dropna()
     current = stored(_directed(edges.mapInArrow(trimmed(forest), "a long, b long") if thin else edges), name)
-    while not _is_stars(current):
+    while not _is_stars(current, links := current.count()):
         both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        large = _star(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = _star(both, links).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").distinct().select(F.col("a").alias("u"), F.col("b").alias("v"))
-        small = _star(down)
-        links = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
+        small = _star(down, links)
+        turned = small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             small.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        after = stored(_directed(links.filter("a <> b").mapInArrow(trimmed(forest), "a long, b long")), name)
+        after = stored(_directed(turned.filter("a <> b").mapInArrow(trimmed(forest), "a long, b long")), name)
         discard(current)
         current = after
     return current.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.llm import units as U
-from trajlake.llm.common import (LOWER_VALUES, binary_array, discard, mix, prefix_hashes, runs, segment_hashes, spaced, stored,
-                                 trim, trimmed, word_bounds)
+from trajlake.llm.common import (BROADCAST_ROWS, LOWER_VALUES, binary_array, discard, mix, not_broadcast, prefix_hashes, runs,
+                                 segment_hashes, spaced, stored, trim, trimmed, word_bounds)
 from trajlake.llm.graph import components, forest, thinned
 from trajlake.llm.units import NO_ID, UNIT_BYTES
 
@@ -36,7 +36,6 @@ BLOCK_TOKENS = 1_000_000
 # Up to so many blocks of a bundle all meet; beyond, only those of like sizes.
 FEW_BLOCKS = 3
 SALTS = 16
-BROADCAST_ROWS = 200_000
 
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -424,7 +423,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     classes = linked.join(best, "label").select("s1", "s2", "best").unionByName(
         merged.filter(F.col("label").isNull() & (F.col("copies") > 1)).select("s1", "s2", F.col("least").alias("best")))
     salted = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")).join(
+    out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int"))
+    out = not_broadcast(out, sets.count() * SALTS).join(
         salted, ["s1", "s2", "salt"], "left").withColumn("own", least)
     out = out.withColumn("best", F.when((F.col("n") > 0) & F.col("best").isNotNull(), F.col("best")).otherwise(F.col("own")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("best.doc_id").alias("component_id"), "text_hash",

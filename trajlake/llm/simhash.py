@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import discard, id_and_text, runs, spaced, stored, text_buffers, trim, word_bounds
+from trajlake.llm.common import BROADCAST_ROWS, discard, id_and_text, not_broadcast, runs, spaced, stored, text_buffers, trim, word_bounds
 from trajlake.llm.graph import components, thinned
 from trajlake.operators.grouping import join_group_values
 
@@ -231,12 +231,15 @@ def near_duplicates(
     rows = stored(fingerprint_rows(id_and_text(docs, id_col, text_col), words, seed), "simhash-rows")
     distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     labels = components(fingerprint_links(distinct.select("fp"), distance=distance, parts=parts, block=block), "simhash-links")
-    grouped = distinct.join(labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    n = distinct.count()
+    # Each of these sides has a row per fingerprint at most.
+    grouped = not_broadcast(distinct, n).join(
+        labels.select(F.col("node").alias("fp"), "label"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = stored(grouped.groupBy("label").agg(F.min("least").alias("component_id")), "simhash-least")
-    values = grouped.select("fp", "label").join(least, "label").select("fp", "component_id")
+    values = not_broadcast(grouped.select("fp", "label"), n).join(least, "label").select("fp", "component_id")
     values = stored(values, "simhash-values")
     discard(distinct)
-    return join_group_values(rows, values, ["fp"], spread_by=["doc_id"])
+    return join_group_values(rows, values, ["fp"], spread_by=["doc_id"], broadcast=None if n <= BROADCAST_ROWS else False)
 
 
 def hexadecimal(fp: Column) -> Column:

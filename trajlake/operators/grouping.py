@@ -80,7 +80,8 @@ def join_group_values(
     spread over no more tasks than the input has partitions.
 
     Values that Catalyst itself would broadcast are joined plainly (``broadcast`` overrides the guess).
-    Otherwise ``rows`` is read twice: once for the bucket counts, which need the keys only.
+    Otherwise ``rows`` is read twice: once for the bucket counts, which need the keys only. Neither side of that
+    join is broadcast, however small Spark takes it to be: it estimates exploded rows as if there was one each.
     """
     keys = list(keys)
     extra = [c for c in values.columns if c not in keys]
@@ -107,7 +108,7 @@ def join_group_values(
     dealt = tagged(rows, keys).withColumn("_share", F.when(F.col("_h_splits").isNull(), 0).otherwise(share)).drop("_h_splits")
     copies = F.sequence(F.lit(0), F.coalesce("_h_splits", F.lit(1)) - 1)
     side = tagged(side, [f"_v_{k}" for k in keys]).withColumn("_copy", F.explode(copies)).drop("_h_splits")
-    return dealt.join(side, [*match, F.col("_share") == F.col("_copy")], how).select(*out)
+    return dealt.hint("merge").join(side, [*match, F.col("_share") == F.col("_copy")], how).select(*out)
 
 
 class _Ranges(NamedTuple):
